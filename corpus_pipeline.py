@@ -1,17 +1,65 @@
-"""A corpus pipeline over ``documents``: each stage works on all that its predecessor kept."""
+"""A corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+The stages return the columns of documents, the last one the packed batches.
+They have no SQL form (a fitted classifier, link components, a bisected
+exponent), so the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import read, written
+from tidemark.llm.line_dedup import drop_lines, line_dedup
+from tidemark.llm.mixing import mix_rows
+from tidemark.llm.ngram_join import ngram_jaccard_join
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import co_train, keep_quality
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier rejects go."""
+    return keep_quality(docs, co_train(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 20 characters or more in three documents or more stay in one of them; n_chars follows the text."""
+    return drop_lines(docs, line_dedup(docs, min_chars=20, min_docs=3)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group linked by five-word shingles at a similarity of 0.8 or more: its smallest doc_id."""
+    found = ngram_jaccard_join(docs, k=5, num=80, den=100)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of small sources are repeated, twice at most, towards even weights; none goes."""
+    return mix_rows(docs, entropy=0.98, repeats=2.0)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, budget=16_384, n_buckets=8)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("source_mixing", mix_sources),
+    ("packing", pack_documents),
+]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
     return docs
