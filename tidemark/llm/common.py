@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.textops import word_counts
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,3 +75,32 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+
+
+def _count_words(texts: pd.Series) -> pd.Series:
+    return pd.Series(word_counts(pa.array(texts, pa.large_string())))
+
+
+def count_words(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; null has none."""
+    return F.pandas_udf(_count_words, "long")(text)
+
+
+ROWS_PER_SHARD = 200_000
+
+
+def running(df: DataFrame, keys: list[str], shard: str, order: list[str], weight: Column) -> DataFrame:
+    """df with ``_rank`` (rows) and ``_before`` (sum of weight) of the rows before each one of the same keys, in the
+    order of (shard, order).
+
+    Sums inside a shard come from a window, those of earlier shards from a table of
+    one row per shard; a key of any size is so many shards, never one group.
+    """
+    df = df.withColumn("_weight", weight)
+    sums = df.groupBy(*keys, shard).agg(F.count("*").alias("_n"), F.sum("_weight").alias("_w"))
+    earlier = Window.partitionBy(*keys).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, shard, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_w0"))
+    inside = Window.partitionBy(*keys, shard).orderBy(*order)
+    rows = df.withColumn("_rank", F.row_number().over(inside) - 1).withColumn("_before", F.coalesce(F.sum("_weight").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(offsets, [*keys, shard])
+    return rows.withColumn("_rank", F.col("_rank") + F.col("_n0")).withColumn("_before", F.col("_before") + F.col("_w0")).drop("_n0", "_w0", "_weight")

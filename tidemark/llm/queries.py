@@ -3,17 +3,127 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.ann import nearest
+from tidemark.llm.chunk_media import media_columns
 from tidemark.llm.common import read
+from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams
+from tidemark.llm.line_dedup import line_dedup, line_digests
+from tidemark.llm.lm_score import lm_score
+from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_jaccard_join
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import co_train, score_quality
+from tidemark.llm.url_filter import url_filter
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), budget=16_384, n_buckets=8)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"), entropy=0.98, repeats=4.0, block_tokens=1 << 20)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_digests(docs, line_dedup(docs, min_chars=20, min_docs=3))
+
+
+URL_ALLOW = ["org/", "com/fr/"]
+URL_BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read(spark, sf_dir, "pages"), allow=URL_ALLOW, block=URL_BLOCK)
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(read(spark, sf_dir, "documents"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(read(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_quality(docs, co_train(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"), threshold=0.8)
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op6_nearest": op6_nearest,
+    "op7_media": op7_media,
+    "op8_lm_score": op8_lm_score,
+    "op9_quality": op9_quality,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "E' \\t\\n\\x0b\\x0c\\r'"
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+), keyed AS (SELECT *, {_FOLDED.format(f"trim(line, {_SPACE})")} AS key FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE holder IS NOT NULL AND holder <> doc_id))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
+"""
+
+_OP5_SQL = f"""
+WITH parts AS (
+  SELECT page_id, {_FOLDED.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules(host, path, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fits AS (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host) DESC NULLS LAST, length(r.path) DESC) AS n
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+_GRAMS = ", ".join("{{'name': '{}', 'grams': [{}]}}".format(n, ", ".join(f"'{g}'" for g in template_bigrams(t))) for n, t in sorted(TEMPLATES.items()))
+_OP10_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, i AS line_no, list_filter(string_split(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[i]), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), ' '), lambda w: w <> '') AS raw
+  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+), words AS (
+  SELECT doc_id, line_no, list_filter(list_transform(raw, lambda w: regexp_replace(w, '\\.+$', '')), lambda w: w <> '') AS w FROM lines
+), grams AS (
+  SELECT doc_id, line_no, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) ELSE w END) AS g FROM words
+), templates AS (SELECT t.name, t.grams FROM (SELECT unnest([{_GRAMS}]) AS t)),
+hits AS (
+  SELECT doc_id, line_no, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score
+  FROM grams, templates WHERE len(g) > 0 AND list_has_any(g, grams)
+), good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, name) AS n FROM hits WHERE score >= 0.8),
+counted AS (SELECT doc_id, count(DISTINCT line_no) AS n_lines FROM good GROUP BY doc_id)
+SELECT d.doc_id, g.name AS license, round(coalesce(g.score, 0.0::DOUBLE), 6) AS score, g.line_no::BIGINT AS line_no, coalesce(c.n_lines, 0)::BIGINT AS n_lines_matched
+FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id AND g.n = 1 LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _OP4_SQL, "op5_url_filter": _OP5_SQL, "op10_license_scan": _OP10_SQL}

@@ -138,3 +138,16 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         hashes, bounds = shingles(Words(raw, offsets), k)
         for a, b in zip(bounds[:-1], bounds[1:]):
             yield np.unique(hashes[a:b])
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Words of each row."""
+    counts = []
+    for _, raw, offsets in slices(column, 1 << 23):
+        inside = np.append(_IS_WORD[raw], False)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[offsets[:-1]] |= inside[offsets[:-1]]
+        total = np.concatenate([[0], np.cumsum(first[:-1])])
+        counts.append(total[offsets[1:]] - total[offsets[:-1]])
+    return np.concatenate(counts) if counts else np.zeros(0, np.int64)
