@@ -16,10 +16,13 @@ lose no link; which shingles count as frequent changes the work, never the
 result.  The number of groups follows the set's size; a set near a power of two
 signs for both numbers.
 
-Candidates of a signature are compared with one hub first, which joins most of
-a group of near copies without naming its pairs; what then still lies in
-different components under one signature is compared in full.  Before any set
-moves, parity sketches give an exact lower bound of the symmetric difference.
+Candidates of a signature are compared with one hub first, the set with the
+fewest rare shingles, which is the middle of a group of near copies; that joins
+the group without naming its pairs.  What then still lies in different
+components under one signature is compared in full, closest pairs of each
+component first, so that pairs which a merge settles are not verified.  Before
+any set moves, parity sketches give an exact lower bound of the symmetric
+difference.
 
 Edge cases.  Null or blank text: an empty set, linked with nothing; its
 component is its own doc_id.  Repeated rows: one result row each.  Null doc_id:
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, written
@@ -144,7 +147,7 @@ def _heavy(docs: DataFrame, k: int, top: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n, node, sketch, signatures."""
+    """Per document: doc_id, n, node, sketch, number of rare shingles, signatures."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +175,13 @@ def _index(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> Da
                         pa.array(sizes, pa.int64()),
                         pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([len(s) - int(hit[e - len(s) : e].sum()) for s, e in zip(sets, ends)], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(many), values),
                     ],
-                    ["doc_id", "n", "node", "sketch", "sigs"],
+                    ["doc_id", "n", "node", "sketch", "rare", "sigs"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, node long, sketch binary, sigs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, node long, sketch binary, rare long, sigs array<long>")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -243,13 +247,13 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = written(_index(docs, k, num, den, _heavy(docs, k, top)))
     nodes = written(index.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies")))
-    postings = index.where("node is not null").select("node", F.explode("sigs").alias("sig"))
+    postings = index.where("node is not null").select("node", "rare", F.explode("sigs").alias("sig"))
     shared = postings.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
     members = written(postings.join(shared, "sig").distinct())
 
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    hubs = members.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", "sig")).alias("y"))
-    stars = members.withColumnRenamed("node", "x").join(hubs, "sig").where("x <> y").select(*pair).distinct()
+    hubs = members.groupBy("sig").agg(F.min_by("node", F.struct("rare", F.xxhash64("node", "sig"))).alias("y"))
+    stars = members.select("sig", F.col("node").alias("x")).join(hubs, "sig").where("x <> y").select(*pair).distinct()
     stars = cut(_close(stars, nodes, num, den))
     best = stars.select(F.col("a").alias("x"), F.col("b").alias("y"), "gap").union(stars.select(F.col("b").alias("x"), F.col("a").alias("y"), "gap"))
     best = best.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")).select(*pair).distinct()
@@ -259,7 +263,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     word = lambda i: F.conv(F.substring(F.hex("sketch"), 16 * i + 1, 16), 16, -10).cast("long")
     cells = nodes.withColumn("_short", F.col("n") <= 512)  # sketches of 256 cells as they are; longer ones are compared after
     cells = cells.select("node", "n", *[F.when(F.col("_short"), word(i)).alias(f"w{i}") for i in range(4)])
-    placed = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = members.drop("rare").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
     placed = cut(placed.join(mixed, "sig").join(cells, "node"))
     x, y = placed.alias("x"), placed.alias("y")
@@ -268,8 +272,19 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     possible &= F.coalesce((num + den) * gap <= (den - num) * (F.col("x.n") + F.col("y.n")), F.lit(True))
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = cut(_close(rest, nodes, num, den).join(best, ["a", "b"], "left_anti"))
-    more = _verified(rest, nodes, docs, k, num, den)
-    label = components(links.union(more))
+    for most in (2, 16, None):
+        sides = [label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+        rest = rest.select("a", "b", "gap").join(sides[0], "a", "left").join(sides[1], "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
+        if most:
+            near = [F.row_number().over(Window.partitionBy(c).orderBy("gap", "a", "b")) for c in ("la", "lb")]
+            rest = rest.withColumns({"ra": near[0], "rb": near[1]})
+        rest = cut(rest)
+        if rest.isEmpty():
+            break
+        now = rest.where(F.least("ra", "rb") <= most) if most else rest
+        links = cut(links.union(_verified(now.select("a", "b"), nodes, docs, k, num, den)))
+        label = components(links)
+        rest = rest.where(F.least("ra", "rb") > most) if most else rest.limit(0)
 
     named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
