@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import BY
+from tidemark.operators.windows import by_ticker
 
 
 def add_months(day: date, months: int) -> date:
@@ -43,7 +43,7 @@ def walk_forward(spark: SparkSession, rows: DataFrame, *, train_months: int, tes
         raise ValueError("the embargo must cover the label horizon")
     span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
     bounds = spark.createDataFrame(fold_bounds(span["a"], span["b"], train_months, test_months), "fold int, test_start date, test_end date")
-    placed = rows.select("ticker", "date").withColumn("position", F.row_number().over(BY) - 1)
+    placed = rows.select("ticker", "date").withColumn("position", F.row_number().over(by_ticker()) - 1)
     tests = placed.join(F.broadcast(bounds), (F.col("date") >= F.col("test_start")) & (F.col("date") < F.col("test_end")))
     windows = tests.groupBy("ticker", "fold").agg(F.min("position").alias("test_from"), (F.max("position") + 1).alias("gap_from"))
     gaps = windows.select("ticker", F.col("fold").alias("gap_fold"), F.struct(F.col("gap_from").alias("a"), (F.col("gap_from") + embargo).alias("z")).alias("gap"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import is_true
-from tidemark.operators.windows import BY
+from tidemark.operators.windows import by_ticker
 
 
 def _broken(frame: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def action_violations(actions: DataFrame, bars: DataFrame) -> DataFrame:
 
 def split_discontinuities(bars_with_actions: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """Splits at which the open does not move by the ratio."""
-    off = F.abs(F.lag("close").over(BY) / F.col("open") / F.col("split") - 1)
+    off = F.abs(F.lag("close").over(by_ticker()) / F.col("open") / F.col("split") - 1)
     return bars_with_actions.withColumn("off", off).where((F.col("split") != 1) & ~is_true(F.col("off") <= tolerance)).select("ticker", "date", "split", "off")
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import full, is_true, latch
-from tidemark.operators.windows import BY, observed_window, panel_log_returns, past_return
+from tidemark.operators.windows import by_ticker, observed_window, panel_log_returns, past_return
 
 MONTH = 21
-ROW = Window.partitionBy("date")
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def _named(frame: DataFrame, held: Column, name: str = "held") -> DataFrame:
@@ -27,7 +28,7 @@ def momentum(panel: DataFrame, months: int) -> DataFrame:
 def trend(panel: DataFrame, sessions: int) -> DataFrame:
     """Above the average of the closes seen; a difference under 1e-9 is the running mean's own rounding."""
     c = F.col("close")
-    return _named(panel, observed_window(sessions) & (F.round(c - full(F.avg(c), c, BY, sessions), 9) > 0))
+    return _named(panel, observed_window(sessions) & (F.round(c - full(F.avg(c), c, by_ticker(), sessions), 9) > 0))
 
 
 def risk_parity(panel: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def top_k(frame: DataFrame, score: str, eligible: str, k: int, highest: bool) ->
     """``held``: the k best eligible scores of a session, ties to the earlier ticker; none while fewer than k are eligible."""
     order = [F.desc(score) if highest else F.asc(score), F.asc("ticker")]
     place = F.row_number().over(Window.partitionBy("date", eligible).orderBy(*order))
-    enough = F.sum(F.col(eligible).cast("int")).over(ROW) >= k
+    enough = F.sum(F.col(eligible).cast("int")).over(by_date()) >= k
     return _named(frame, F.col(eligible) & enough & (place <= k))
 
 
@@ -56,15 +57,15 @@ def dual_momentum(panel: DataFrame, months: int, safe: str) -> DataFrame:
     scored = scored.withColumn("risky_ok", risky & F.col("eligible"))
     place = F.row_number().over(Window.partitionBy("date", "risky_ok").orderBy(F.desc("score"), "ticker"))
     scored = scored.withColumn("winner", F.col("risky_ok") & (place == 1))
-    top = F.max(F.when(F.col("winner"), F.col("score"))).over(ROW)
-    safe_ok = F.max(F.when(~risky, F.col("eligible"))).over(ROW)
-    beats = is_true(safe_ok & (top > F.max(F.when(~risky, F.col("score"))).over(ROW)))
+    top = F.max(F.when(F.col("winner"), F.col("score"))).over(by_date())
+    safe_ok = F.max(F.when(~risky, F.col("eligible"))).over(by_date())
+    beats = is_true(safe_ok & (top > F.max(F.when(~risky, F.col("score"))).over(by_date())))
     return _named(scored, F.when(risky, F.col("winner") & beats).otherwise(F.col("eligible") & ~beats))
 
 
 def low_volatility(panel: DataFrame, group: list[str], k: int = 3) -> DataFrame:
     r = F.col("log_return")
-    scored = panel_log_returns(panel.where(F.col("ticker").isin(group))).withColumns({"score": full(F.stddev_samp(r), r, BY, 60), "eligible": observed_window(61)})
+    scored = panel_log_returns(panel.where(F.col("ticker").isin(group))).withColumns({"score": full(F.stddev_samp(r), r, by_ticker(), 60), "eligible": observed_window(61)})
     return top_k(scored, "score", "eligible", k, highest=False)
 
 
@@ -89,7 +90,7 @@ def hypotheses(safe: str, group: list[str]) -> dict[str, Callable[[DataFrame], D
 
 def buy_and_hold(bars: DataFrame) -> DataFrame:
     """Decided on the first row, entered at the second row's open, never left."""
-    n = F.row_number().over(BY)
+    n = F.row_number().over(by_ticker())
     return bars.withColumns({"buy_next_open": n == 2, "sell_next_open": F.lit(False)})
 
 
@@ -116,7 +117,7 @@ def random_selection(panel: DataFrame, decisions: DataFrame, *, enter: float, le
         .when(~to_long & to_flat, 0)
     )
     flips = F.when(F.col("decides") & (F.col("date") != first) & to_long & to_flat, 1).otherwise(0)
-    past = BY.rowsBetween(Window.unboundedPreceding, 0)
+    past = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_fixed": fixed, "_flips": flips})
     rows = rows.withColumns({"_run": F.sum("_flips").over(past)})
     rows = rows.withColumn("_base", F.when(F.col("_fixed").isNotNull(), F.struct(F.col("_fixed").alias("v"), F.col("_run").alias("r"))))
@@ -128,7 +129,7 @@ def random_selection(panel: DataFrame, decisions: DataFrame, *, enter: float, le
 def matched_activity(held: DataFrame) -> DataFrame:
     """One row: enter, exit and initial rates of a selection on its decision rows; wants close, held, decides."""
     rows = held.where("decides").withColumn("present", F.col("close").isNotNull())
-    rows = rows.withColumns({"was": F.lag("held").over(BY), "both": F.col("present") & is_true(F.lag("present").over(BY))})
+    rows = rows.withColumns({"was": F.lag("held").over(by_ticker()), "both": F.col("present") & is_true(F.lag("present").over(by_ticker()))})
     rate = lambda moved, base: F.coalesce(F.try_divide(F.count_if(moved).cast("double"), F.count_if(base).cast("double")), F.lit(0.0))
     was, now, both = F.col("was"), F.col("held"), F.col("both")
     return rows.agg(rate(both & ~was & now, both & ~was).alias("enter_probability"), rate(both & was & ~now, both & was).alias("exit_probability"), rate(now, F.col("present")).alias("initial_probability"))
@@ -143,14 +144,14 @@ def cost_hurdle(price: Column, commission: float, slippage_bps: float, shares: i
 def hysteresis_positions(rows: DataFrame, exit_threshold: float = 0.0) -> DataFrame:
     """Enter above the hurdle, stay until below the exit; an unknown prediction is flat.  Wants prediction, hurdle."""
     p = F.col("prediction")
-    return rows.withColumn("desired_long", latch(p > F.col("hurdle"), p.isNull() | (p < exit_threshold), BY))
+    return rows.withColumn("desired_long", latch(p > F.col("hurdle"), p.isNull() | (p < exit_threshold), by_ticker()))
 
 
 def orders_of(rows: DataFrame) -> DataFrame:
     """Changes of desired_long, then one row later as orders."""
-    before = F.lag("desired_long", 1, False).over(BY)
+    before = F.lag("desired_long", 1, False).over(by_ticker())
     moved = rows.withColumns({"_in": F.col("desired_long") & ~before, "_out": ~F.col("desired_long") & before})
-    return moved.withColumns({"buy_next_open": F.lag("_in", 1, False).over(BY), "sell_next_open": F.lag("_out", 1, False).over(BY)}).drop("_in", "_out")
+    return moved.withColumns({"buy_next_open": F.lag("_in", 1, False).over(by_ticker()), "sell_next_open": F.lag("_out", 1, False).over(by_ticker())}).drop("_in", "_out")
 
 
 def select_universe(pool: DataFrame, size: int, class_cap: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("date")
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
 
 
 def volatility_target(confidence: Column, volatility: Column, target: float) -> Column:
@@ -16,7 +17,7 @@ def volatility_target(confidence: Column, volatility: Column, target: float) ->
 
 def gross_cap(weight: Column, cap: float) -> Column:
     """Scaled down in proportion where a session's total is over the cap."""
-    total = F.sum(weight).over(ROW)
+    total = F.sum(weight).over(by_date())
     return F.when(total > cap, weight * cap / total).otherwise(weight)
 
 
@@ -42,14 +43,14 @@ def correlation_adjusted(weights: DataFrame, correlation: DataFrame) -> DataFram
 
 def equal_weight(selection: DataFrame, cap: float) -> DataFrame:
     """cap / k for each of the k names held in a session."""
-    k = F.sum(F.col("held").cast("int")).over(ROW)
+    k = F.sum(F.col("held").cast("int")).over(by_date())
     return selection.withColumn("weight", F.when(F.col("held"), F.lit(cap) / k).otherwise(0.0))
 
 
 def fixed_allocation(panel: DataFrame, allocation: dict[str, float]) -> DataFrame:
     """The allocation where all its names have a close, else flat."""
     share = F.coalesce(*[F.when(F.col("ticker") == t, F.lit(float(w))) for t, w in allocation.items()], F.lit(0.0))
-    legs = F.count(F.when(F.col("ticker").isin(list(allocation)), F.col("close"))).over(ROW)
+    legs = F.count(F.when(F.col("ticker").isin(list(allocation)), F.col("close"))).over(by_date())
     return panel.withColumn("weight", F.when(legs == len(allocation), share).otherwise(0.0))
 
 

@@ -89,7 +89,7 @@ def _(spark, d):
     from tidemark.functions.columns import full
 
     scored = win.panel_log_returns(_weekly(spark, d).where(F.col("ticker").isin(_SECTORS)))
-    scored = scored.withColumns({"score": F.round(full(F.stddev_samp(r), r, win.BY, 60), 9), "eligible": win.observed_window(61)})
+    scored = scored.withColumns({"score": F.round(full(F.stddev_samp(r), r, win.by_ticker(), 60), 9), "eligible": win.observed_window(61)})
     return signals.top_k(scored, "score", "eligible", 3, highest=False).select("ticker", "date", "held")
 
 
@@ -143,7 +143,7 @@ mv AS (SELECT *, desired_long AND NOT coalesce(lag(desired_long) OVER ({_W}), fa
 
 
 def _positions(spark, d):
-    b = src.bars(spark, d).withColumns({"prediction": F.log(F.col("close") / F.lag("close").over(win.BY)), "hurdle": F.lit(0.05)})
+    b = src.bars(spark, d).withColumns({"prediction": F.log(F.col("close") / F.lag("close").over(win.by_ticker())), "hurdle": F.lit(0.05)})
     return signals.hysteresis_positions(b, -0.05)
 
 
