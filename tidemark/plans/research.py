@@ -292,9 +292,9 @@ b AS (SELECT *, coalesce(s > l AND lag(s) OVER ({_W}) <= lag(l) OVER ({_W}), fal
 sig AS (SELECT *, coalesce(lag(up) OVER ({_W}), false) AS buy_next_open, coalesce(lag(down) OVER ({_W}), false) AS sell_next_open FROM b)"""
 
 
-@query("win_01_sma_crossover", "bars", _SMA + " SELECT ticker, date, round(s, 4) AS short_sma, round(l, 4) AS long_sma, buy_next_open, sell_next_open FROM sig")
+@query("win_01_sma_crossover", "bars", _SMA + " SELECT ticker, date, round(s / l, 6) AS sma_ratio, buy_next_open, sell_next_open FROM sig")
 def win_01(spark, d):
-    return rounded(win.sma_crossover(src.bars(spark, d)).select("ticker", "date", "short_sma", "long_sma", "buy_next_open", "sell_next_open"), 4)
+    return rounded(win.sma_crossover(src.bars(spark, d)).select("ticker", "date", (F.col("short_sma") / F.col("long_sma")).alias("sma_ratio"), "buy_next_open", "sell_next_open"))
 
 
 @query(
