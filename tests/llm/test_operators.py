@@ -206,8 +206,10 @@ def test_media_round_trip(spark):
         box = media.container(parts)
         assert media.read_container(box) == data and (x.media_bytes, x.media_sha256) == (len(box), hashlib.sha256(box).hexdigest())
         assert x.feature.startswith(f"chunks={len(parts)};") and all(len(p) <= 8192 for p in parts)
-    store = media.chunk_store(docs)
-    assert store.count() == store.select("digest").distinct().count() < media.chunk_rows(docs).count()
+    lists = media.chunk_lists(docs).distinct()
+    store = media.chunk_store(media.placed_payloads(docs, media.marked_lists(docs)))
+    digests = {bytes(x.digest) for x in lists.collect()}
+    assert {bytes(x.digest) for x in store.collect()} == digests and store.count() == len(digests) < lists.count()
     with pytest.raises(ValueError):
         media.read_container(box[:-1] + bytes([box[-1] ^ 1]))
 

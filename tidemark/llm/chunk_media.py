@@ -7,8 +7,8 @@ SHA-256; Spark deduplicates them by digest, and joins the ordered chunk lists
 with the store to bring each payload back, which is then verified.
 
 The stored form of a payload is its container: ``CDC1``, the number of chunks,
-then for each chunk its length and digest, then the chunks' bytes.  Chunk bytes
-travel deflated between tasks.
+then for each chunk its length and digest, then the chunks' bytes.  Chunks travel
+deflated between tasks.
 
 Edge cases.  Null text: as empty.  Equal texts share one chunk list, so repeated
 rows and very large groups of copies are stored and rebuilt once; each row gets
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
 from tidemark.llm.textops import constants
 
 FRAME = 576
@@ -77,91 +78,143 @@ def read_container(stored: bytes) -> bytes:
     return b"".join(parts)
 
 
-def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, payload_id): each row's payload by its SHA-256."""
+def name_of(data: bytes) -> bytes:
+    """The digest that names a payload or chunk between tasks: 128 bits of its SHA-256."""
+    return hashlib.sha256(data).digest()[:16]
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def split_chunks(data: bytes) -> list[bytes]:
+    ends = cuts(data)
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def payload_names(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_id) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
-            sizes = [len((t or "").encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(payload(t)).digest() for t in texts], pa.binary())], ["doc_id", "n_bytes", "payload_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([name_of(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "payload_id"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(name, "doc_id long, n_bytes long, payload_id binary")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_id binary")
 
 
-def chunk_rows(docs: DataFrame, *, text_col: str = "text", bodies: bool = True) -> DataFrame:
-    """(payload_id, pos, n_chunks, digest, body): every chunk of every payload; a payload twice in a batch comes once.
+def payloads(docs: DataFrame) -> DataFrame:
+    """(payload_id, packed): each distinct payload once, deflated."""
 
-    ``body`` is deflated; null without ``bodies``.
-    """
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["payload_id", "pos", "n_chunks", "digest", "body"]
-        types = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[bytes] = set()
-            rows: list[tuple] = []
+            found: dict[bytes, bytes] = {}
             size = 0
+            seen: set[bytes] = set()
             for text in batch.column(0):
                 data = payload(text.as_py())
-                if (key := hashlib.sha256(data).digest()) in seen:
+                if (key := name_of(data)) in seen:
                     continue
                 seen.add(key)
-                start, ends = 0, cuts(data)
-                for pos, end in enumerate(ends):
-                    part = data[start:end]
-                    body = zlib.compress(part, 1) if bodies else None
-                    rows.append((key, pos, len(ends), hashlib.sha256(part).digest(), body))
-                    size += len(body or key)
-                    start = end
+                found[key] = zlib.compress(data, 6)
+                size += len(found[key])
                 if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows, size = [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["payload_id", "packed"])
+                    found, size = {}, 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["payload_id", "packed"])
+
+    return docs.select("text").mapInArrow(run, "payload_id binary, packed binary").repartition("payload_id").dropDuplicates(["payload_id"])
+
+
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """(payload_id, pos, digest): the ordered chunk list of each distinct payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            seen: set[bytes] = set()
+            for text in batch.column(0):
+                data = payload(text.as_py())
+                if (key := name_of(data)) not in seen:
+                    seen.add(key)
+                    rows += [(key, pos, name_of(part)) for pos, part in enumerate(split_chunks(data))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], ["payload_id", "pos", "digest"])
+
+    return docs.select("text").mapInArrow(run, "payload_id binary, pos int, digest binary")
+
+
+def marked_lists(docs: DataFrame) -> DataFrame:
+    """(payload_id, chunks): each distinct payload's chunk list, where every chunk knows whether this payload owns it
+    (its first use by payload and position) and whether others use it too."""
+    lists = written(chunk_lists(docs)).distinct()
+    owners = lists.groupBy("digest").agg(F.min(F.struct("payload_id", "pos")).alias("owner"), (F.count("*") > 1).alias("shared"))
+    marked = lists.join(owners, "digest").withColumn("owned", F.struct("payload_id", "pos") == F.col("owner"))
+    per = marked.groupBy("payload_id").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "owned", "shared"))).alias("chunks"))
+    return written(per)
+
+
+def placed_payloads(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(payload_id, packed, chunks): each distinct payload beside its marked list."""
+    return payloads(docs).join(lists, "payload_id").select("payload_id", "packed", "chunks")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes], list[dict]]]:
+    """(payload_id, chunk bytes, chunk list) of placed payloads."""
+    for i in range(batch.num_rows):
+        parts = split_chunks(zlib.decompress(batch.column("packed")[i].as_py()))
+        yield batch.column("payload_id")[i].as_py(), parts, batch.column("chunks")[i].as_py()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(split, "payload_id binary, pos int, n_chunks int, digest binary, body binary")
 
+def chunk_store(placed: DataFrame, *, shared_only: bool = False) -> DataFrame:
+    """(digest, body): each distinct chunk once, deflated; with ``shared_only`` those that several payloads or positions use."""
 
-def rebuilt(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """(payload_id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the chunk
-    lists (payload_id, pos, n_chunks, digest) and the store (digest, body)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(c["digest"], zlib.compress(part, 6)) for _, parts, chunks in _rows(batch) for part, c in zip(parts, chunks) if c["owned"]]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.binary()), pa.array([b for _, b in own], pa.binary())], ["digest", "body"])
+
+    if shared_only:
+        placed = placed.where(F.exists("chunks", lambda c: c["owned"] & c["shared"])).withColumn("chunks", F.transform("chunks", lambda c: c.withField("owned", c["owned"] & c["shared"])))
+    return placed.mapInArrow(run, "digest binary, body binary")
+
+
+def rebuilt(placed: DataFrame, lists: DataFrame) -> DataFrame:
+    """(payload_id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each payload,
+    put together from the store by its chunk list.
+
+    The store keeps a chunk beside its owner, so only chunks that others own travel.
+    """
+    wants = lists.select("payload_id", F.explode(F.filter("chunks", lambda c: ~c["owned"])).alias("c")).select("payload_id", "c.pos", "c.digest")
+    brought = wants.join(chunk_store(placed, shared_only=True), "digest").groupBy("payload_id").agg(F.collect_list(F.struct("pos", "body")).alias("brought"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, parts = None, 0, []
         for batch in batches:
             out = []
-            for pid, pos, n_chunks, digest, body in zip(*(batch.column(c).to_pylist() for c in ("payload_id", "pos", "n_chunks", "digest", "body"))):
-                if pid != key:
-                    key, n, parts = pid, n_chunks, []
-                if pos < len(parts):
-                    continue  # the list of a payload that two batches held
-                part = zlib.decompress(body)
-                if pos != len(parts) or hashlib.sha256(part).digest() != digest:
-                    raise ValueError(f"payload {pid.hex()}: chunk {pos} is missing or damaged")
-                parts.append(part)
-                if len(parts) == n:
-                    out.append(features(pid, parts))
+            extra = batch.column("brought").to_pylist()
+            for (pid, parts, chunks), foreign in zip(_rows(batch), extra):
+                bodies = {x["pos"]: zlib.decompress(x["body"]) for x in foreign or ()}
+                whole = [part if c["owned"] else bodies[c["pos"]] for part, c in zip(parts, chunks)]
+                for part, c in zip(whole, chunks):
+                    if name_of(part) != c["digest"]:
+                        raise ValueError(f"payload {pid.hex()}: chunk {c['pos']} is damaged")
+                out.append(features(pid, whole))
             if out:
                 yield pa.RecordBatch.from_pylist(out)
 
-    joined = lists.join(store, "digest").select("payload_id", "pos", "n_chunks", "digest", "body")
-    ordered = joined.repartition("payload_id").sortWithinPartitions("payload_id", "pos")
-    return ordered.mapInArrow(assemble, "payload_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    joined = placed.join(brought, "payload_id", "left").select("payload_id", "packed", "chunks", "brought")
+    return joined.mapInArrow(assemble, "payload_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def features(pid: bytes, parts: list[bytes]) -> dict:
     media = container(parts)
     data = read_container(media)
-    if hashlib.sha256(data).digest() != pid:
+    if name_of(data) != pid:
         raise ValueError(f"payload {pid.hex()} was not restored")
     seen = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     share = seen[seen > 0] / len(data)
     return {
         "payload_id": pid,
         "payload_bytes": len(data),
-        "payload_sha256": pid.hex(),
+        "payload_sha256": hashlib.sha256(data).hexdigest(),
         "tail_crc32": zlib.crc32(data[-32:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
@@ -171,12 +224,6 @@ def features(pid: bytes, parts: list[bytes]) -> dict:
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, and what its payload gives when it is rebuilt from the chunk store."""
-    store = chunk_store(docs, text_col=text_col)
-    lists = chunk_rows(docs, text_col=text_col, bodies=False).drop("body").distinct()
-    back = rebuilt(lists, store)
-    return chunk_lists(docs, id_col=id_col, text_col=text_col).join(back, "payload_id").drop("payload_id")
-
-
-def chunk_store(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(digest, body): each distinct chunk once."""
-    return chunk_rows(docs, text_col=text_col).select("digest", "body").repartition("digest").dropDuplicates(["digest"])
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lists = marked_lists(docs)
+    return payload_names(docs).join(rebuilt(placed_payloads(docs, lists), lists), "payload_id").drop("payload_id")
