@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,12 +43,34 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one partition as stars: every node with the smallest one it reaches inside the partition."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.get(top, top) != top:
+            top = root[top]
+        while root.get(x, x) != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    stars = [(x, find(x)) for x in root]
+    stars = [(x, y) for x, y in stars if x != y]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([y for _, y in stars], pa.int64())], ["a", "b"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node each node of ``links(a, b)`` reaches.
 
-    Large-star and small-star steps alternate until nothing changes; each is a
-    map-side combined minimum and an equi-join, so a hub of any degree is no
-    single group.  Every step starts from a checkpoint.
+    Partitions first turn their own edges into stars.  Then large-star and
+    small-star steps alternate until nothing changes; each is a map-side combined
+    minimum and an equi-join, so a hub of any degree is no single group.  Every
+    round starts from a checkpoint.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -61,15 +83,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         else:
-            out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(joined.select("a", F.col("low").alias("b")))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            out = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct(F.col("a"), F.col("low").alias("b")))).alias("x")).select("x.*")
+        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    def fewer(df: DataFrame) -> DataFrame:  # edges are few beside what they come from
+        return df.coalesce(max(1, df.rdd.getNumPartitions() // 16))
+
+    def told(edges: DataFrame):
+        return edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    edges = cut(fewer(links.select("a", "b")).mapInArrow(_forest, "a long, b long"))
+    before = told(edges)
     for _ in range(rounds):
-        edges = cut(star(star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        if before[0] == 0:
+            break
+        edges = fewer(cut(star(star(edges, True), False).distinct()))
+        now = told(edges)
+        if now == before:
             break
         before = now
     else:
@@ -77,13 +107,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
-def _count_words(texts: pd.Series) -> pd.Series:
-    return pd.Series(word_counts(pa.array(texts, pa.large_string())))
+def _count_words(texts: pa.Array) -> pa.Array:
+    return pa.array(word_counts(texts))
 
 
 def count_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text; null has none."""
-    return F.pandas_udf(_count_words, "long")(text)
+    return F.arrow_udf(_count_words, "long")(text)
 
 
 ROWS_PER_SHARD = 200_000

@@ -272,7 +272,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     possible &= F.coalesce((num + den) * gap <= (den - num) * (F.col("x.n") + F.col("y.n")), F.lit(True))
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = cut(_close(rest, nodes, num, den).join(best, ["a", "b"], "left_anti"))
-    for most in (2, 16, None):
+    for most in (4, None):
         sides = [label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
         rest = rest.select("a", "b", "gap").join(sides[0], "a", "left").join(sides[1], "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
         if most:
