@@ -26,7 +26,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -236,11 +235,10 @@ def with_bitmaps(docs: DataFrame, keeps: DataFrame, *, id_col: str = "doc_id", t
 def drop_lines(docs: DataFrame, keeps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with only the lines of each text that stay; a null text stays null."""
 
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
-        return pd.Series([t if k is None or t is None else kept_lines(t.encode(), k)[0].decode() for t, k in zip(texts, bitmaps)], dtype=object)
+    def rest(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
+        return pa.array([t.as_py() if not (t.is_valid and k.is_valid) else kept_lines(t.as_py().encode(), k.as_py())[0].decode() for t, k in zip(texts, bitmaps)], pa.string())
 
-    return with_bitmaps(docs, keeps, id_col=id_col, text_col=text_col).withColumn(text_col, rest(F.col(text_col), F.col("_keep"))).drop("_keep")
+    return with_bitmaps(docs, keeps, id_col=id_col, text_col=text_col).withColumn(text_col, F.arrow_udf(rest, "string")(F.col(text_col), F.col("_keep"))).drop("_keep")
 
 
 def line_digests(docs: DataFrame, keeps: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 One logistic classifier sees the text (shares of kinds of characters, word and
 repetition statistics, a hashed histogram of words), the other the page's
 metadata (language, source, length class).  In each round both score all
-documents without a label; each one's most confident positives and negatives
-join the other's training rows under their pseudo-label.  The views are then
+documents; those of each one's most confident positives and negatives that have no
+label join the other's training rows under their pseudo-label.  The views are then
 calibrated on labelled rows that neither was fitted on, combined there by a
 logistic layer over both log-odds, and all documents are scored.
 
@@ -33,7 +33,7 @@ from tidemark.llm.textops import Words, slices
 
 WORD_CELLS, LANG_CELLS, SOURCE_CELLS, LENGTH_CELLS = 128, 16, 64, 32
 TEXT_WIDTH, META_WIDTH = WORD_CELLS + 14, LANG_CELLS + SOURCE_CELLS + LENGTH_CELLS
-_KIND = np.full(256, 7)  # 7: other symbols
+_KIND = np.full(256, 7, np.int32)  # 7: other symbols
 _KIND[list(range(97, 123))] = 0
 _KIND[list(range(65, 91))] = 1
 _KIND[list(range(48, 58))] = 2
@@ -47,20 +47,22 @@ def text_features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """TEXT_WIDTH features of each row of a slice."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     kinds = np.bincount(owner * 8 + _KIND[raw], minlength=8 * n).reshape(n, 8) / np.maximum(size, 1)[:, None]
     words = Words(raw, offsets)
     many = np.maximum(words.counts, 1)
     cells = np.bincount(words.doc * WORD_CELLS + (words.hash & np.uint64(WORD_CELLS - 1)).astype(np.int64), minlength=WORD_CELLS * n).reshape(n, WORD_CELLS) / many[:, None]
-    order = np.lexsort((words.hash, words.doc))
-    h, d = words.hash[order], words.doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    keys = np.sort((words.doc.astype(np.uint64) << np.uint64(40)) | (words.hash >> np.uint64(24)))
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     starts = np.flatnonzero(new)
-    runs = np.diff(np.append(starts, len(h)))
-    distinct = np.bincount(d[starts], minlength=n) / many
+    runs = np.diff(np.append(starts, len(keys)))
+    owners = (keys[starts] >> np.uint64(40)).astype(np.int64)
+    distinct = np.bincount(owners, minlength=n) / many
     most = np.zeros(n)
-    np.maximum.at(most, d[starts], runs)
+    full = np.flatnonzero(words.counts)
+    if len(full):
+        most[full] = np.maximum.reduceat(runs, np.searchsorted(owners, full))
     again = np.zeros(len(words.hash), bool)
     again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
     length = np.bincount(words.doc, words.end - words.start, minlength=n) / many
@@ -132,8 +134,12 @@ def _labelled(rows: DataFrame, labels: DataFrame, fit_rows: int) -> list:
     return sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
 
 
-def _confident(rows: DataFrame, models: tuple[Logistic, Logistic], picks: int) -> list:
-    """The ``picks`` most confident rows per view and class among rows without a label."""
+def _confident(rows: DataFrame, labels: DataFrame, models: tuple[Logistic, Logistic], picks: int) -> list:
+    """Of the ``picks`` most confident rows per view and class, those without a label.
+
+    Tasks hand on their best rows only, and labels are looked up for those few: texts
+    are never shuffled.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], list] = {(view, y): [] for view in (0, 1) for y in (0, 1)}
@@ -155,7 +161,7 @@ def _confident(rows: DataFrame, models: tuple[Logistic, Logistic], picks: int) -
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
-    return out.collect()
+    return out.join(labels.select("doc_id"), "doc_id", "left_anti").collect()
 
 
 class CoTrained:
@@ -174,7 +180,7 @@ class CoTrained:
         return [1 / (1 + np.exp(-o)) for o in (*views, self.both.odds(np.column_stack(views)))]
 
 
-def co_train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, picks: int = 250, rounds: int = 2) -> CoTrained | None:
+def co_train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, picks: int = 500, rounds: int = 2) -> CoTrained | None:
     """None without labelled rows of both classes."""
     rows = _rows(docs)
     labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"), F.max(F.col("quality").cast("int")).alias("_y")).where("y = _y").drop("_y")
@@ -187,9 +193,9 @@ def co_train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, pick
     y = np.array([r["y"] for r in fit], float)
     data = [(x, y), (m, y)]
     models = tuple(Logistic(*d) for d in data)
-    open_rows = rows.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("tie", F.xxhash64("doc_id"))
+    tied = rows.withColumn("tie", F.xxhash64("doc_id"))
     for _ in range(rounds):
-        found = _confident(open_rows, models, picks)
+        found = _confident(tied, labels, models, picks)
         data = [(x, y), (m, y)]
         for view in (0, 1):  # what one view is sure of teaches the other
             own = [r for r in found if r["view"] == view]
@@ -218,18 +224,15 @@ def keep_quality(docs: DataFrame, model: CoTrained | None, *, threshold: float =
     """The rows of docs that the classifier keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(text, lang, source, n_chars):
-        import pandas as pd
-
+    def good(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         fitted = shared.value
         if fitted is None:
-            return pd.Series([0.5 >= threshold] * len(text))
-        out, m = [], meta_features(*([None if pd.isna(v) else v for v in c] for c in (lang, source, n_chars)))
-        for low, raw, offsets in slices(pa.array(text, pa.large_string())):
+            return pa.array(np.full(len(text), 0.5 >= threshold))
+        out, m = [], meta_features(lang.to_pylist(), source.to_pylist(), n_chars.to_pylist())
+        for low, raw, offsets in slices(text):
             x = text_features(raw, offsets)
             out.append(fitted.scores(x, m[low : low + len(x)])[2] >= threshold)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     columns = [(F.col(c) if c in docs.columns else F.lit(None)).cast(t) for c, t in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))]
-    return docs.where(good(*columns))
+    return docs.where(F.arrow_udf(good, "boolean")(*columns))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 SEPARATORS = b" \t\n\x0b\x0c\r"
 _U = np.uint64
 
@@ -143,7 +143,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 def word_counts(column: pa.Array) -> np.ndarray:
     """Words of each row."""
     counts = []
-    for _, raw, offsets in slices(column, 1 << 23):
+    for _, raw, offsets in slices(column):
         inside = np.append(_IS_WORD[raw], False)
         first = inside.copy()
         first[1:] &= ~inside[:-1]
