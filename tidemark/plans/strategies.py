@@ -98,7 +98,7 @@ def _(spark, d):
     "bars",
     """, v AS (SELECT ticker, CAST(substr(ticker, 7) AS INT) % 4 AS class, sum(volume)::BIGINT AS volume FROM bars GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY volume DESC, ticker) AS in_class FROM v), c AS (SELECT *, row_number() OVER (ORDER BY (in_class > 1)::INT, volume DESC, ticker) AS place FROM r WHERE in_class <= 3)
-SELECT ticker, class, volume, place FROM c WHERE place <= 10""",
+SELECT ticker, class, volume, place::INT AS place FROM c WHERE place <= 10""",
 )
 def _(spark, d):
     return signals.select_universe(src.bars(spark, d).groupBy("ticker").agg(F.sum("volume").cast("long").alias("volume")).withColumn("class", F.substring("ticker", 7, 9).cast("int") % 4), size=10, class_cap=3)
