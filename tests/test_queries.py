@@ -67,24 +67,31 @@ def test_causal_features_ignore_the_future(spark, sf):
     assert rows(whole) == rows(changed)
 
 
+def direct_spread(bars):
+    """The published estimator's moments by plain sums over the bars, one pair of neighbours at a time."""
+    pairs = list(zip(bars, bars[1:]))
+    n = len(pairs)
+    traded = [now["h"] != now["l"] or now["l"] != old["c"] for old, now in pairs]
+    at_open = sum(t * ((now["o"] != now["h"]) + (now["o"] != now["l"])) for t, (_, now) in zip(traded, pairs)) / n
+    at_close = sum(t * ((old["c"] != old["h"]) + (old["c"] != old["l"])) for t, (old, _) in zip(traded, pairs)) / n
+    middle = lambda x: (x["h"] + x["l"]) / 2
+    legs = [(middle(now) - now["o"], now["o"] - middle(old), middle(now) - old["c"], old["c"] - middle(old), now["o"] - old["c"]) for old, now in pairs]
+    drift = [sum(leg[k] for leg in legs) / sum(traded) for k in range(5)]
+    first = [-4 * ((g[0] - drift[0] * t) * g[1] / at_open + (g[2] - drift[2] * t) * g[3] / at_close) for g, t in zip(legs, traded)]
+    second = [-4 * ((g[0] - drift[0] * t) * g[4] / at_open + (g[4] - drift[4] * t) * g[3] / at_close) for g, t in zip(legs, traded)]
+    spread = [(np.mean(x), np.var(x)) for x in (first, second)]
+    return (spread[1][1] * spread[0][0] + spread[0][1] * spread[1][0]) / (spread[0][1] + spread[1][1])
+
+
 def test_edge_matches_direct_arithmetic(spark):
     r = np.random.default_rng(4)
     for _ in range(6):
-        c = 100 * np.exp(np.cumsum(r.normal(0, 0.01, 22)))
-        o = c * np.exp(r.normal(0, 0.004, 22))
-        h, low = np.maximum(o, c) * (1 + r.random(22) * 0.01), np.minimum(o, c) * (1 - r.random(22) * 0.01)
-        lo, lh, ll, lc = (np.log(x) for x in (o, h, low, c))
-        m = (lh + ll) / 2
-        tau = ((lh[1:] != ll[1:]) | (ll[1:] != lc[:-1])).astype(float)
-        r1, r2, r3, r4, r5 = m[1:] - lo[1:], lo[1:] - m[:-1], m[1:] - lc[:-1], lc[:-1] - m[:-1], lo[1:] - lc[:-1]
-        po = np.mean(tau * ((lo[1:] != lh[1:]).astype(float) + (lo[1:] != ll[1:])))
-        pc = np.mean(tau * ((lc[:-1] != lh[:-1]).astype(float) + (lc[:-1] != ll[:-1])))
-        d1, d3, d5 = (x - x.mean() / tau.mean() * tau for x in (r1, r3, r5))
-        a, b = -4 / po * d1 * r2 - 4 / pc * d3 * r4, -4 / po * d1 * r5 - 4 / pc * d5 * r4
-        want = (b.var() * a.mean() + a.var() * b.mean()) / (a.var() + b.var())
-        rows = [[{"o": float(w), "h": float(x), "l": float(y), "c": float(z)} for w, x, y, z in zip(lo, lh, ll, lc)]]
-        got = spark.createDataFrame([(rows[0],)], "b array<struct<o:double,h:double,l:double,c:double>>").select(edge_squared(F.col("b")).alias("s")).first().s
-        assert math.isclose(got, want, rel_tol=1e-6, abs_tol=1e-12)
+        close = 100 * np.exp(np.cumsum(r.normal(0, 0.01, 22)))
+        first = close * np.exp(r.normal(0, 0.004, 22))
+        high, low = np.maximum(first, close) * (1 + r.random(22) * 0.01), np.minimum(first, close) * (1 - r.random(22) * 0.01)
+        bars = [{"o": float(w), "h": float(x), "l": float(y), "c": float(z)} for w, x, y, z in zip(*(np.log(v) for v in (first, high, low, close)))]
+        frame = spark.createDataFrame([(bars,)], "b array<struct<o:double,h:double,l:double,c:double>>")
+        assert math.isclose(frame.select(edge_squared(F.col("b")).alias("s")).first().s, direct_spread(bars), rel_tol=1e-6, abs_tol=1e-12)
 
 
 def test_deflated_sharpe_paper_points(spark):
