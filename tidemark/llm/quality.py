@@ -159,13 +159,10 @@ def _confident(rows: DataFrame, labels: DataFrame, models: tuple[Logistic, Logis
 
     found = rows.mapInArrow(find, _PICKED)
     # the tasks' lists are thinned bucket by bucket, so that the last selection reads a fixed number of rows
-    place = Window.partitionBy("view", "y", F.pmod("tie", F.lit(BUCKETS))).orderBy(F.desc("sure"), "tie", "doc_id")
-    found = found.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= picks).drop("_place")
-    parts = [found.where((F.col("view") == view) & (F.col("y") == y)).orderBy(F.desc("sure"), "tie", "doc_id").limit(picks) for view in (0, 1) for y in (0, 1)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out.join(labels.select("doc_id"), "doc_id", "left_anti").collect()
+    order = [F.desc("sure"), "tie", "doc_id"]
+    for keys in (["view", "y", F.pmod("tie", F.lit(BUCKETS))], ["view", "y"]):
+        found = found.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= picks).drop("_place")
+    return found.join(labels.select("doc_id"), "doc_id", "left_anti").collect()
 
 
 class CoTrained:
