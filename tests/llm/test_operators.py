@@ -304,6 +304,21 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_license_notices_as_they_stand_elsewhere(spark):
+    notices = {
+        "mit": ["Released under the MIT License.", "Licensed under the MIT License", "Distributed under the MIT license.", "Available under the MIT License."],
+        "apache-2.0": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0.", "Licensed under the Apache License 2.0", "Released under the Apache License 2.0."],
+        "cc-by-4.0": ["Released under CC BY 4.0.", "Licensed under CC-BY 4.0"],
+        "cc-by-nc-4.0": ["Released under CC BY-NC 4.0."],
+        "cc-by-sa-4.0": ["Released under CC-BY-SA 4.0."],
+        "gpl-3.0": ["This program is licensed under the GNU General Public License, version 3."],
+        None: ["The bakery was released under the bridge.", "Released under the old licence."],
+    }
+    rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, many in notices.items() for t in many)]
+    got = {x.doc_id: (x.license, x.line_no) for x in license_scan(table(spark, [(i, f"some prose here\n{text}\nand more") for i, _, text in rows])).collect()}
+    assert got == {i: (name, name and 2) for i, name, _ in rows}
+
+
 def test_best_bounds():
     r = random.Random(7)
     for _ in range(30):

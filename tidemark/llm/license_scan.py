@@ -25,20 +25,41 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices as they are commonly written.  Fixed values.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "cc0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "mit": "Licensed under the MIT License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+
+class Notices(tuple):
+    """(licence, notice) pairs, read like a mapping in which a licence may stand several times."""
+
+    def items(self) -> Notices:
+        return self
+
+    def values(self) -> list[str]:
+        return [text for _, text in self]
+
+
+#: Notices as they are commonly written, several of a licence where they differ in more words than the threshold bears.
+TEMPLATES = Notices(
+    [
+        ("all-rights-reserved", "All rights reserved."),
+        ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+        ("apache-2.0", "Licensed under the Apache License 2.0."),
+        ("apache-2.0", "Released under the Apache License 2.0."),
+        ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+        ("cc-by-4.0", "Licensed under CC BY 4.0."),
+        ("cc-by-4.0", "Released under CC BY 4.0."),
+        ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+        ("cc-by-nc-4.0", "Released under CC BY-NC 4.0."),
+        ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+        ("cc-by-sa-4.0", "Released under CC BY-SA 4.0."),
+        ("cc0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+        ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+        ("mit", "Licensed under the MIT License."),
+        ("mit", "Released under the MIT License."),
+        ("mit", "Distributed under the MIT License."),
+        ("mit", "Available under the MIT License."),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ]
+)
 _OTHER = r"[^\p{L}\p{N}.]+|\.+(?=[^\p{L}\p{N}.]|$)"
 
 
@@ -57,15 +78,16 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
-def license_scan(docs: DataFrame, *, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, *, templates: Mapping[str, str] | Notices = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, license, score, line_no (from 1), n_lines_matched."""
-    known = {name: template_bigrams(text) for name, text in sorted(templates.items())}
-    known = {name: grams for name, grams in known.items() if grams}
+    known = [(name, template_bigrams(text)) for name, text in sorted(templates.items())]
+    known = [(name, grams) for name, grams in known if grams]
     if not known:
         raise ValueError("no template has a word")
     ratio = threshold / (2 - threshold)
-    least, most = min(map(len, known.values())) * ratio, max(map(len, known.values())) / ratio
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known.items()])
+    sizes = [len(grams) for _, grams in known]
+    least, most = min(sizes) * ratio, max(sizes) / ratio
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known])
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
     words = F.transform(numbered, lambda x: F.struct(x["line_no"].alias("line_no"), F.filter(F.split(F.regexp_replace(F.lower(x["line"]), _OTHER, " "), " +"), lambda w: w != "").alias("words")))
