@@ -249,6 +249,32 @@ def test_lm_small_filter_cuts_rare_counts(spark):
     assert len(got) == 60 and all(math.isfinite(x.score) for x in got)
 
 
+def test_lm_counts_every_ngram_at_any_size(spark):
+    rows = [(i, " ".join(prose(i, 200, 3000))) for i in range(60)] + [(7, "w1 w2 w3"), (None, "w1 w2"), (70, None), (71, " ")]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    one, two = Counter(), Counter()
+    for i, text in rows:
+        if not held(i):
+            tokens = [*words(text), None]
+            one.update(tokens)
+            two.update(zip(["<", *tokens], tokens))
+    n, v = sum(one.values()), len(one)
+
+    def brute(text):
+        tokens, total = [*words(text), None], 0.0
+        for u, w in zip(["<", *tokens], tokens):
+            own, before, c = (one[w] + 0.5) / (n + 0.5 * (v + 1)), one[None] if u == "<" else one[u], two[u, w]
+            pair = 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0
+            total += math.log10(0.4 * min(1, pair / before) + 0.6 * own if before else own)
+        return total
+
+    want = sorted((str(i), round(brute(t), 6)) for i, t in rows)
+    for small in ({"filter_bits": 1 << 15}, {"top": 16}):
+        assert sorted((str(x.doc_id), round(x.score, 6)) for x in lm_score(table(spark, rows), **small).collect()) == want
+    near = sorted((str(x.doc_id), x.score) for x in lm_score(table(spark, rows), filter_bits=1 << 24).collect())
+    assert np.mean([abs(a[1] - b[1]) < 1e-5 for a, b in zip(near, want)]) > 0.7
+
+
 def quality_docs(n=300):
     r = random.Random(6)
     rows, labels = [], []
