@@ -204,3 +204,34 @@ def test_read_and_write_bars(spark, sf, tmp_path):
     assert "PartitionFilters: [" in back._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception):
         write_bars(b, str(tmp_path / "bars"))
+
+
+def test_whole_panel_queries(spark, sf):
+    from tidemark.sources.frames import bars
+
+    panel = strategies._weekly(spark, sf).select("session_no", "date", "ticker", "close").toPandas()
+    tickers = sorted(r.ticker for r in bars(spark, sf).select("ticker").distinct().collect())
+    wide = panel.pivot(index="session_no", columns="ticker", values="close")[tickers].astype(float)
+    returns = np.log(wide / wide.shift(1))
+    dates = panel.drop_duplicates("session_no").set_index("session_no").date.to_dict()
+    assert len(tickers) == 25 and returns.notna().any().all()
+
+    moments = {r.trial: r for r in QUERIES["sb_03_matrix_dsr"](spark, sf).collect()}
+    rate = bias.RISK_FREE_LOG / bias.SESSIONS_PER_YEAR
+    assert sorted(moments) == tickers
+    for t in tickers:
+        x = returns[t].dropna() - rate
+        assert moments[t].n == len(x) and math.isclose(moments[t].sharpe, x.mean() / x.std(), rel_tol=1e-6)
+    blocks = defaultdict(int)
+    for r in QUERIES["sb_07_block_moments_whole"](spark, sf).collect():
+        blocks[r.trial] += r.n
+    assert dict(blocks) == {t: int(returns[t].notna().sum()) for t in tickers}
+
+    got = QUERIES["win_10_pair_covariance_whole"](spark, sf).where("cov is not null").toPandas()
+    assert len(set(zip(got.a, got.b))) == 325
+    numbers = {v: k for k, v in dates.items()}
+    for r in got.sample(200, random_state=1).itertuples():
+        part = returns.loc[numbers[r.date] - 59 : numbers[r.date], [r.a, r.b]]
+        x, y = part.iloc[:, 0], part.iloc[:, 1]
+        assert len(part) == 60 and math.isclose(((x - x.mean()) * (y - y.mean())).sum() / 59 * 252, r.cov, rel_tol=1e-4, abs_tol=2e-5)
+    assert got.date.min() < date(1996, 1, 1)

@@ -162,12 +162,20 @@ ov AS (SELECT s.date, s.ticker, sum(greatest(c, 0)) AS s, count(c) AS n FROM sd
 SELECT w.date, w.ticker, CASE WHEN w.weight > 0 THEN CASE WHEN coalesce(ov.n, 0) = kk.k - 1 THEN round(w.weight / (1 + coalesce(ov.s, 0)), 6) END ELSE 0 END AS adjusted FROM w LEFT JOIN kk USING (date) LEFT JOIN ov ON ov.date = w.date AND ov.ticker = w.ticker""",
 )
 def _(spark, d):
-    few = _few(spark, d)
-    weights = signals.risk_parity(few).select("date", "ticker", F.when(F.col("held"), 0.1).otherwise(0.0).alias("weight"))
-    correlation = win.trailing_correlation(few, 60).withColumn("correlation", F.round("correlation", 8))
+    return _correlation_adjusted(_few(spark, d))
+
+
+def _correlation_adjusted(panel):
+    weights = signals.risk_parity(panel).select("date", "ticker", F.when(F.col("held"), 0.1).otherwise(0.0).alias("weight"))
+    correlation = win.trailing_correlation(panel, 60).withColumn("correlation", F.round("correlation", 8))
     return rounded(sizing.correlation_adjusted(weights, correlation).select("date", "ticker", "adjusted"))
 
 
+@query("pf_03_correlation_adjusted_whole")
+def _(spark, d):
+    return _correlation_adjusted(_weekly(spark, d))
+
+
 @query("pf_13_buffered_weights", "panel", f", {'decisions AS (SELECT date, coalesce(year(date) * 12 + month(date) <> lag(year(date) * 12 + month(date)) OVER (ORDER BY date), false) AS decides FROM sessions)'}, h AS (SELECT p.ticker, p.date, d.decides, p.close IS NOT NULL AND count(p.close) OVER (PARTITION BY p.ticker ORDER BY p.date) >= 61 AS held FROM panel p JOIN decisions d USING (date)) SELECT ticker, date, round(CASE WHEN held THEN 0.93::DOUBLE / sum(held::INT) OVER (PARTITION BY date) ELSE 0 END, 6) AS weight FROM h WHERE decides")
 def _(spark, d):
     from tidemark.operators.calendar import decision_sessions

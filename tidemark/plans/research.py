@@ -256,6 +256,12 @@ def _(spark, d):
     return rounded(joins.return_matrix(r.select(F.col("ticker").alias("trial"), F.col("date").alias("session"), F.col("log_return").alias("r")), 0.1))
 
 
+@query("join_16_return_matrix_whole")
+def _(spark, d):
+    r = win.panel_log_returns(src.panel(spark, src.bars(spark, d))).where("log_return is not null")
+    return rounded(joins.return_matrix(r.select(F.col("ticker").alias("trial"), F.col("date").alias("session"), F.col("log_return").alias("r")), 0.1))
+
+
 @query("join_19_exposure", "", "SELECT l_suppkey::VARCHAR AS ticker, sum(l_quantity) - coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS external, false AS refused FROM lineitem GROUP BY 1")
 def _(spark, d):
     held = src.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"), F.col("l_quantity").alias("quantity"), "l_returnflag")

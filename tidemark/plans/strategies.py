@@ -478,9 +478,48 @@ def pbo(spark, d):
     return rounded(bias.overfit_probability(bias.split_records(bias.half_sharpes(_matrix(spark, d)))))
 
 
+def _whole_matrix(spark, d):
+    r = win.panel_log_returns(_weekly(spark, d)).where("log_return is not null")
+    return r.select(F.col("ticker").alias("trial"), F.col("date").alias("session"), F.col("log_return").alias("r"))
+
+
 @query("sb_03_matrix_dsr")
 def _(spark, d):
-    return bias.matrix_dsr(_matrix(spark, d), 25)
+    return bias.matrix_dsr(_whole_matrix(spark, d), 25)
+
+
+# The queries above whose SQL takes six tickers, over all tickers and dates; without SQL.
+
+
+@query("win_10_pair_covariance_whole")
+def _(spark, d):
+    return rounded(sizing.pair_covariance(win.panel_log_returns(_weekly(spark, d)), 60), 5)
+
+
+@query("pf_07_volatility_target_book_whole")
+def _(spark, d):
+    w = _weekly(spark, d)
+    return rounded(sizing.volatility_target_book(signals.risk_parity(w), sizing.pair_covariance(win.panel_log_returns(w), 60), 0.1, 1.0), 5)
+
+
+@query("sb_02_trial_moments_whole")
+def _(spark, d):
+    return rounded(bias.trial_moments(_whole_matrix(spark, d)))
+
+
+@query("sb_07_block_moments_whole")
+def _(spark, d):
+    return rounded(bias.block_moments(_whole_matrix(spark, d)), 8)
+
+
+@query("sb_09_split_records_whole")
+def _(spark, d):
+    return rounded(bias.split_records(bias.half_sharpes(_whole_matrix(spark, d))))
+
+
+@query("sb_10_pbo_whole")
+def _(spark, d):
+    return rounded(bias.overfit_probability(bias.split_records(bias.half_sharpes(_whole_matrix(spark, d)))))
 
 
 @query(
