@@ -206,10 +206,24 @@ def test_media_round_trip(spark):
         box = media.container(parts)
         assert media.read_container(box) == data and (x.media_bytes, x.media_sha256) == (len(box), hashlib.sha256(box).hexdigest())
         assert x.feature.startswith(f"chunks={len(parts)};") and all(len(p) <= 8192 for p in parts)
-    lists = media.chunk_lists(docs).distinct()
-    store = media.chunk_store(media.placed_payloads(docs, media.marked_lists(docs)))
-    digests = {bytes(x.digest) for x in lists.collect()}
-    assert {bytes(x.digest) for x in store.collect()} == digests and store.count() == len(digests) < lists.count()
+    rows = docs.select("doc_id", "text")
+    lists = media.chunk_lists(rows)
+    foreign = media.borrowed(lists)
+    store = media.chunk_store(rows, lists, foreign)
+    held = [bytes(d) for x in store.collect() for d in x.digests]
+    used = [bytes(d) for x in lists.collect() for d in x.digests]
+    assert len(held) == len(set(held)) < len(used) and set(held) == set(used)
+    assert media.rebuilt(store, lists, foreign).count() == lists.count()
+    # a chunk that the store has lost fails its owner, and alone its owner where no other payload uses it
+    lonely = next(x for x in store.collect() if all(used.count(bytes(d)) == 1 for d in x.digests))
+    shared = next(bytes(d) for x in store.collect() for d in x.digests if used.count(bytes(d)) > 1)
+    for lost in (bytes(lonely.digests[0]), shared):
+        without = store.withColumn("digests", F.transform("digests", lambda d: F.when(d == F.lit(lost), F.lit(b"gone")).otherwise(d)))
+        for pid in [bytes(x.payload_id) for x in lists.collect() if lost in [bytes(d) for d in x.digests]]:
+            with pytest.raises(Exception, match="missing or damaged"):
+                media.rebuilt(without, lists.where(F.col("payload_id") == F.lit(pid)), foreign).collect()
+        fine = [bytes(x.payload_id) for x in lists.collect() if lost not in [bytes(d) for d in x.digests]]
+        assert media.rebuilt(without, lists.where(F.col("payload_id").isin(fine)), foreign).count() == len(fine)
     with pytest.raises(ValueError):
         media.read_container(box[:-1] + bytes([box[-1] ^ 1]))
 

@@ -2,13 +2,18 @@
 
 A payload (the text's UTF-8 bytes, padded with bytes 255 to a positive multiple
 of ``FRAME``) is cut where a rolling gear hash of the last 32 bytes has its top
-bits zero, between a least and a greatest chunk size.  Chunks are told apart by
-SHA-256; Spark deduplicates them by digest, and joins the ordered chunk lists
-with the store to bring each payload back, which is then verified.
+bits zero, between a least and a greatest chunk size.  Chunks are told apart by 128 bits of
+SHA-256; the first payload, by name and position, that uses a chunk owns it.
+
+The store has each distinct chunk once, beside the other chunks of its owner.  It is
+written as a table bucketed by owner, so that owners meet their chunk lists without
+another shuffle.  A payload is put together from what it reads back from the store by its ordered chunk
+list, its own chunks like those of others, and each chunk and the whole are verified by digest: a
+chunk that the store lacks fails every payload that uses it.
 
 The stored form of a payload is its container: ``CDC1``, the number of chunks,
-then for each chunk its length and digest, then the chunks' bytes.  Chunks travel
-deflated between tasks.
+then for each chunk its length and digest, then the chunks' bytes.  Chunks travel and lie
+deflated.
 
 Edge cases.  Null text: as empty.  Equal texts share one chunk list, so repeated
 rows and very large groups of copies are stored and rebuilt once; each row gets
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import shared_dir, written
 from tidemark.llm.textops import constants
 
 FRAME = 576
@@ -124,83 +130,95 @@ def payloads(docs: DataFrame) -> DataFrame:
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
-    """(payload_id, pos, digest): the ordered chunk list of each distinct payload."""
+    """(payload_id, size, digests): the ordered chunk list of each distinct payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            seen: set[bytes] = set()
+            rows: dict[bytes, tuple[int, list[bytes]]] = {}
             for text in batch.column(0):
                 data = payload(text.as_py())
-                if (key := name_of(data)) not in seen:
-                    seen.add(key)
-                    rows += [(key, pos, name_of(part)) for pos, part in enumerate(split_chunks(data))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], ["payload_id", "pos", "digest"])
-
-    return docs.select("text").mapInArrow(run, "payload_id binary, pos int, digest binary")
-
+                if (key := name_of(data)) not in rows:
+                    rows[key] = len(data), [name_of(part) for part in split_chunks(data)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([n for n, _ in rows.values()], pa.int64()), pa.array([x for _, x in rows.values()], pa.list_(pa.binary()))], ["payload_id", "size", "digests"])
 
-def marked_lists(docs: DataFrame) -> DataFrame:
-    """(payload_id, chunks): each distinct payload's chunk list, where every chunk knows whether this payload owns it
-    (its first use by payload and position) and whether others use it too."""
-    lists = written(chunk_lists(docs)).distinct()
-    owners = lists.groupBy("digest").agg(F.min(F.struct("payload_id", "pos")).alias("owner"), (F.count("*") > 1).alias("shared"))
-    marked = lists.join(owners, "digest").withColumn("owned", F.struct("payload_id", "pos") == F.col("owner"))
-    per = marked.groupBy("payload_id").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "owned", "shared"))).alias("chunks"))
-    return written(per)
+    return docs.select("text").mapInArrow(run, "payload_id binary, size long, digests array<binary>").dropDuplicates(["payload_id"])
 
 
-def placed_payloads(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(payload_id, packed, chunks): each distinct payload beside its marked list."""
-    return payloads(docs).join(lists, "payload_id").select("payload_id", "packed", "chunks")
+def borrowed(lists: DataFrame) -> DataFrame:
+    """(payload_id, pos, digest, owner): the uses of chunks that an earlier payload or position owns."""
+    uses = lists.select("payload_id", F.posexplode("digests").alias("pos", "digest"))
+    shared = uses.groupBy("digest").agg(F.min(F.struct("payload_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return uses.join(shared, "digest").where(F.struct("payload_id", "pos") != F.col("first")).select("payload_id", "pos", "digest", F.col("first.payload_id").alias("owner"))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes], list[dict]]]:
-    """(payload_id, chunk bytes, chunk list) of placed payloads."""
-    for i in range(batch.num_rows):
-        parts = split_chunks(zlib.decompress(batch.column("packed")[i].as_py()))
-        yield batch.column("payload_id")[i].as_py(), parts, batch.column("chunks")[i].as_py()
+_STORE = "payload_id binary, digests array<binary>, sizes array<int>, body binary"
 
 
-def chunk_store(placed: DataFrame, *, shared_only: bool = False) -> DataFrame:
-    """(digest, body): each distinct chunk once, deflated; with ``shared_only`` those that several payloads or positions use."""
+def chunk_store(docs: DataFrame, lists: DataFrame, foreign: DataFrame) -> DataFrame:
+    """(payload_id, digests, sizes, body): the chunks that each payload owns, deflated as one; written, bucketed by payload_id."""
+    spark = docs.sparkSession
+    skipped = foreign.groupBy("payload_id").agg(F.collect_list("pos").alias("skipped"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(c["digest"], zlib.compress(part, 6)) for _, parts, chunks in _rows(batch) for part, c in zip(parts, chunks) if c["owned"]]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.binary()), pa.array([b for _, b in own], pa.binary())], ["digest", "body"])
+            rows = []
+            for pid, packed, skip in zip(*(batch.column(c).to_pylist() for c in ("payload_id", "packed", "skipped"))):
+                parts = split_chunks(zlib.decompress(packed))
+                if skip:
+                    parts = [part for pos, part in enumerate(parts) if pos not in set(skip)]
+                    packed = zlib.compress(b"".join(parts), 6)
+                if parts:
+                    rows.append((pid, [name_of(x) for x in parts], [len(x) for x in parts], packed))
+            if rows:
+                kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["payload_id", "digests", "sizes", "body"])
+
+    size = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    name = f"tidemark_chunks_{uuid.uuid4().hex}"
+    owned = payloads(docs).join(skipped, "payload_id", "left").select("payload_id", "packed", "skipped").mapInArrow(run, _STORE)
+    owned.write.bucketBy(8 + size // (1 << 26), "payload_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name)
+
 
-    if shared_only:
-        placed = placed.where(F.exists("chunks", lambda c: c["owned"] & c["shared"])).withColumn("chunks", F.transform("chunks", lambda c: c.withField("owned", c["owned"] & c["shared"])))
-    return placed.mapInArrow(run, "digest binary, body binary")
+def _chunks(digests: list[bytes], sizes: list[int], body: bytes) -> dict[bytes, bytes]:
+    """The chunks of a row of the store by digest."""
+    whole, ends = zlib.decompress(body), np.cumsum(sizes)
+    return {d: whole[e - n : e] for d, n, e in zip(digests, sizes, ends.tolist())}
 
 
-def rebuilt(placed: DataFrame, lists: DataFrame) -> DataFrame:
+def rebuilt(store: DataFrame, lists: DataFrame, foreign: DataFrame) -> DataFrame:
     """(payload_id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each payload,
-    put together from the store by its chunk list.
+    put together from the store by its chunk list."""
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[bytes, bytes] = {}
+            for digests, sizes, body, lent in zip(*(batch.column(c).to_pylist() for c in ("digests", "sizes", "body", "lent"))):
+                own = _chunks(digests, sizes, body)
+                out |= {d: zlib.compress(own[d], 6) for d in lent if d in own}
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "body"])
 
-    The store keeps a chunk beside its owner, so only chunks that others own travel.
-    """
-    wants = lists.select("payload_id", F.explode(F.filter("chunks", lambda c: ~c["owned"])).alias("c")).select("payload_id", "c.pos", "c.digest")
-    brought = wants.join(chunk_store(placed, shared_only=True), "digest").groupBy("payload_id").agg(F.collect_list(F.struct("pos", "body")).alias("brought"))
+    lenders = foreign.groupBy(F.col("owner").alias("payload_id")).agg(F.collect_set("digest").alias("lent"))
+    lent = store.join(lenders, "payload_id").select("digests", "sizes", "body", "lent").mapInArrow(lend, "digest binary, body binary")
+    brought = foreign.select("payload_id", "digest").distinct().join(lent, "digest").groupBy("payload_id").agg(F.collect_list(F.struct("digest", "body")).alias("brought"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            extra = batch.column("brought").to_pylist()
-            for (pid, parts, chunks), foreign in zip(_rows(batch), extra):
-                bodies = {x["pos"]: zlib.decompress(x["body"]) for x in foreign or ()}
-                whole = [part if c["owned"] else bodies[c["pos"]] for part, c in zip(parts, chunks)]
-                for part, c in zip(whole, chunks):
-                    if name_of(part) != c["digest"]:
-                        raise ValueError(f"payload {pid.hex()}: chunk {c['pos']} is damaged")
-                out.append(features(pid, whole))
+            for pid, wanted, digests, sizes, body, extra in zip(*(batch.column(c).to_pylist() for c in ("payload_id", "wanted", "digests", "sizes", "body", "brought"))):
+                held = _chunks(digests, sizes, body) if body is not None else {}
+                held |= {x["digest"]: zlib.decompress(x["body"]) for x in extra or ()}
+                parts = []
+                for pos, digest in enumerate(wanted):
+                    if digest not in held or name_of(held[digest]) != digest:
+                        raise ValueError(f"payload {pid.hex()}: chunk {pos} is missing or damaged")
+                    parts.append(held[digest])
+                out.append(features(pid, parts))
             if out:
                 yield pa.RecordBatch.from_pylist(out)
 
-    joined = placed.join(brought, "payload_id", "left").select("payload_id", "packed", "chunks", "brought")
+    joined = lists.select("payload_id", F.col("digests").alias("wanted")).join(store, "payload_id", "left").join(brought, "payload_id", "left")
+    joined = joined.select("payload_id", "wanted", "digests", "sizes", "body", "brought")
     return joined.mapInArrow(assemble, "payload_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
@@ -225,5 +243,6 @@ def features(pid: bytes, parts: list[bytes]) -> dict:
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, and what its payload gives when it is rebuilt from the chunk store."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lists = marked_lists(docs)
-    return payload_names(docs).join(rebuilt(placed_payloads(docs, lists), lists), "payload_id").drop("payload_id")
+    lists = written(chunk_lists(docs))
+    foreign = written(borrowed(lists))
+    return payload_names(docs).join(rebuilt(chunk_store(docs, lists, foreign), lists, foreign), "payload_id").drop("payload_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -19,15 +20,48 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (local tests), a temporary one."""
+    """This application's folder in the shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A local session that names none gets a temporary folder; on a cluster that is an error, as
+    executors don't share the driver's disk.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
+    if not named and current.isDefined():
+        named = current.get()
     if not named:
-        current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
+    if not current.isDefined():
         sc.setCheckpointDir(named)
-    return named
+    return "/".join([named.rstrip("/"), f"tidemark-{sc.applicationId}", *_scratch])
+
+
+_scratch: list[str] = []
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is deleted at the end, so results must have been saved elsewhere by then."""
+    _scratch.append(uuid.uuid4().hex)
+    path = shared_dir(spark)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        _removed(spark, path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what the operators of this application wrote on their way; to be called once results are saved."""
+    _removed(spark, shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,9 +70,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Like ``cut``, as Parquet: smaller, and later reads take only the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
