@@ -317,6 +317,41 @@ def test_quality(spark):
     assert {x.score for x in none} == {0.5}
 
 
+def test_co_training_rounds(spark):
+    """The fitted weights against rounds worked through row by row; labelled rows are never picked."""
+    from tidemark.llm import quality as q
+
+    rows, labels = quality_docs(400)
+    rows += [(500 + i, *rows[2][1:]) for i in range(30)]  # copies of one document are one candidate
+    rows += [(600, None, None, None, None, None, None, None, None), (None, *rows[4][1:]), rows[5], (601, "long " * 60_000, "en", "s1", 300_000, None, None, None, None)]
+    model = co_train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels + [(1, None, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int"), picks=40, rounds=2)
+    import pyarrow as pa
+
+    def made(row):
+        x = np.concatenate([q.text_features(raw, off) for _, raw, off in q.slices(pa.array([row[1]], pa.string()))])
+        return x[0], q.meta_features([row[2]], [row[3]], [row[4]])[0]
+
+    by_id, named = {r[0]: made(r) for r in rows}, {i for i, *_ in labels} | {1, 2}
+    hashes = spark.createDataFrame(rows, DOCS).select("doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("t")).collect()
+    pool = {r.t: by_id[r.doc_id] for r in hashes if r.doc_id not in named}
+    fit = [(by_id[i], y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([c for _, c in fit], float)
+    base = [np.array([f[v] for f, _ in fit]) for v in (0, 1)]
+    models = [q.Logistic(b, y) for b in base]
+    picks = min(40, len(pool) // 4)
+    most = {1: round(picks * y.mean()), 0: picks - round(picks * y.mean())}
+    for _ in range(2):
+        picked = {}
+        for v in (0, 1):
+            odds = {t: models[v].odds(f[v][None, :])[0] for t, f in pool.items()}
+            sure = {c: sorted((round(-o if c else o, 9), t) for t, o in odds.items() if (o if c else -o) >= math.log(19)) for c in (0, 1)}
+            picked[v] = [(t, c) for c in (0, 1) for _, t in sure[c][: most[c]]]
+        assert {c for _, c in picked[0]} == {0, 1}
+        models = [q.Logistic(np.vstack([base[v], np.array([pool[t][v] for t, _ in picked[1 - v]]).reshape(-1, base[v].shape[1])]), np.concatenate([y, [c for _, c in picked[1 - v]]])) for v in (0, 1)]
+    for got, want in ((model.text, models[0]), (model.meta, models[1])):
+        assert np.allclose(got.w, want.w, atol=1e-3)
+
+
 def test_license_scan(spark):
     def brute(text):
         best, lines = None, set()

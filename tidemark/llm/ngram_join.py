@@ -20,12 +20,14 @@ Candidates of a signature are compared with one hub first, the set with the
 fewest rare shingles, which is the middle of a group of near copies; that joins
 the group without naming its pairs.  What then still lies in different
 components under one signature is compared in full, closest pairs of each
-component first, so that pairs which a merge settles are not verified.  Before
+component first, so that pairs which a merge settles are not verified; a signature with many
+such members is compared in cells of ``CELL`` against all, as many groups.  Before
 any set moves, parity sketches give an exact lower bound of the symmetric
 difference.
 
 Edge cases.  Null or blank text: an empty set, linked with nothing; its
-component is its own doc_id.  Repeated rows: one result row each.  Null doc_id:
+component is its own doc_id.  Repeated rows: one result row each, told apart by
+``text_key`` where one id has several texts.  Null doc_id:
 a row with null doc_id; a component's id is its smallest non-null doc_id.
 Columns other than the id and the text are ignored.  An empty table gives an
 empty result.  Sets are identified by 64 bits of a BLAKE2 digest and their size.
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, written
@@ -46,6 +48,17 @@ from tidemark.llm.textops import Words, mix64, shingle_sets, shingles, slices
 
 _U = np.uint64
 SMALL = 16
+CELL = 256
+
+
+def text_key(text: Column) -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def blank(text: Column) -> Column:
+    """Whether a text has no word."""
+    return ~F.coalesce(text.cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
 
 
 def allowance(size: int, num: int, den: int) -> int:
@@ -147,7 +160,7 @@ def _heavy(docs: DataFrame, k: int, top: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n, node, sketch, number of rare shingles, signatures."""
+    """Per document: doc_id, text_key, n, node, sketch, number of rare shingles, signatures."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +185,17 @@ def _index(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, len(sets)),
+                        batch.column(2).slice(low, len(sets)),
                         pa.array(sizes, pa.int64()),
                         pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) - int(hit[e - len(s) : e].sum()) for s, e in zip(sets, ends)], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(many), values),
                     ],
-                    ["doc_id", "n", "node", "sketch", "rare", "sigs"],
+                    ["doc_id", "text_key", "n", "node", "sketch", "rare", "sigs"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, node long, sketch binary, rare long, sigs array<long>")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(build, "doc_id long, text_key long, n long, node long, sketch binary, rare long, sigs array<long>")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -239,7 +253,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
 
 
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, top: int = 1 << 18) -> DataFrame:
-    """Per document: doc_id, n_shingles (set size), component_id, n_copies (documents with the same set).
+    """Per document: doc_id, text_key, n_shingles (set size), component_id, component_key (null without a word), n_copies
+    (documents with the same set).
 
     ``num / den`` is the Jaccard threshold; ``top`` bounds the list of frequent
     shingles that is broadcast (8 bytes each).
@@ -264,31 +279,32 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cells = nodes.withColumn("_short", F.col("n") <= 512)  # sketches of 256 cells as they are; longer ones are compared after
     cells = cells.select("node", "n", *[F.when(F.col("_short"), word(i)).alias(f"w{i}") for i in range(4)])
     placed = members.drop("rare").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
+    mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("low < high").select("sig", "cells")
     placed = cut(placed.join(mixed, "sig").join(cells, "node"))
-    x, y = placed.alias("x"), placed.alias("y")
+    x = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
+    y = placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
     gap = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
     possible = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
     possible &= F.coalesce((num + den) * gap <= (den - num) * (F.col("x.n") + F.col("y.n")), F.lit(True))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cell") == F.col("y.cell")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = cut(_close(rest, nodes, num, den).join(best, ["a", "b"], "left_anti"))
-    for most in (4, None):
+    for closest in (True, False):
         sides = [label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
         rest = rest.select("a", "b", "gap").join(sides[0], "a", "left").join(sides[1], "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
-        if most:
-            near = [F.row_number().over(Window.partitionBy(c).orderBy("gap", "a", "b")) for c in ("la", "lb")]
-            rest = rest.withColumns({"ra": near[0], "rb": near[1]})
         rest = cut(rest)
         if rest.isEmpty():
             break
-        now = rest.where(F.least("ra", "rb") <= most) if most else rest
+        now = rest
+        if closest:  # a few closest pairs of each component, by map-side combined minima
+            few = [rest.groupBy(c, F.pmod(F.xxhash64("a", "b"), F.lit(4)).alias("p")).agg(F.min(F.struct("gap", "a", "b")).alias("m")).select("m.a", "m.b") for c in ("la", "lb")]
+            now = cut(few[0].union(few[1]).distinct())
         links = cut(links.union(_verified(now.select("a", "b"), nodes, docs, k, num, den)))
         label = components(links)
-        rest = rest.where(F.least("ra", "rb") > most) if most else rest.limit(0)
+        rest = rest.join(now.select("a", "b"), ["a", "b"], "left_anti") if closest else rest.limit(0)
 
     named = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "label").select("node", "component_id", "n_copies")
-    return index.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")
+    named = named.join(least, "label").select("node", "component_id", "n_copies", F.col("label").alias("component_key"))
+    return index.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select(
+        "doc_id", "text_key", "n_shingles", "component_key", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")
     )

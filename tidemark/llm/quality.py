@@ -3,18 +3,22 @@
 One logistic classifier sees the text (shares of kinds of characters, word and
 repetition statistics, a hashed histogram of words), the other the page's
 metadata (language, source, length class).  In each round both score all
-documents; those of each one's most confident positives and negatives that have no
-label join the other's training rows under their pseudo-label.  The views are then
+documents; of the distinct documents without a label, those that each one ranks highest and
+lowest join the other's training rows under their pseudo-label, ``picks`` in all, shared
+between the classes as the labels are.  The views are then
 calibrated on labelled rows that neither was fitted on, combined there by a
 logistic layer over both log-odds, and all documents are scored.
 
 Only the fit is bounded: by ``fit_rows`` labelled rows, in the order of a hash of
-the id, and ``picks`` pseudo-labels per class, view and round.  Scoring, and the
-search for confident rows, covers all documents.
+the id, and ``picks`` pseudo-labels per view and round.  Scoring, and the
+search for confident rows, covers all documents.  Labels are looked up by id and scores
+only; features are made again for the picked rows, so texts are never shuffled.
 
-Edge cases.  Labels that are null, or that disagree for one id, are not used.
+Edge cases.  Labels that are null, or that disagree for one id, are not used; their
+documents count as having a label all the same and are not picked.
 Null or empty text and null metadata have features like any other value.
-Repeated rows and null ids are scored each.  Without labelled rows of both
+Repeated rows and null ids are scored each; rows equal in text and metadata are one
+candidate for a pick, ties go by a hash of these.  Without labelled rows of both
 classes every score is 0.5.  Documents are kept from ``threshold`` on.  Other
 columns are passed by; an empty table gives an empty result.
 """
@@ -26,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
 from tidemark.llm.textops import Words, slices
 
-BUCKETS = 64
 WORD_CELLS, LANG_CELLS, SOURCE_CELLS, LENGTH_CELLS = 128, 16, 64, 32
 TEXT_WIDTH, META_WIDTH = WORD_CELLS + 14, LANG_CELLS + SOURCE_CELLS + LENGTH_CELLS
 _KIND = np.full(256, 7, np.int32)  # 7: other symbols
@@ -113,9 +117,6 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, text_features(raw, offsets), meta_features(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
 
-_PICKED = "doc_id long, y int, view int, sure double, tie long, x binary, m binary"
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
@@ -135,34 +136,40 @@ def _labelled(rows: DataFrame, labels: DataFrame, fit_rows: int) -> list:
     return sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
 
 
-def _confident(rows: DataFrame, labels: DataFrame, models: tuple[Logistic, Logistic], picks: int) -> list:
-    """Of the ``picks`` most confident rows per view and class, those without a label.
+def _tied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tie", F.xxhash64("text", "lang", "source", "n_chars"))
+
+
+def _confident(rows: DataFrame, labels: DataFrame, models: tuple[Logistic, Logistic], picks: int, good: float, least: float) -> dict[tuple[int, int], list[int]]:
+    """Ties of the rows that each view ranks lowest (class 0) and highest (class 1) among those without a label; ``good`` is
+    the share of class 1."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x, m in _batches(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(models[0].odds(x)), pa.array(models[1].odds(m))], ["doc_id", "tie", "odds0", "odds1"])
+
+    scored = rows.mapInArrow(score, "doc_id long, tie long, odds0 double, odds1 double").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    distinct = written(scored.groupBy("tie").agg(F.first("odds0").alias("odds0"), F.first("odds1").alias("odds1")))
+    picks = min(picks, distinct.count() // 4)
+    most = min(max(1, round(picks * good)), max(0, picks - 1))
+    out = {}
+    for view in (0, 1):
+        for y in (0, 1):
+            odds = F.col(f"odds{view}") if y else -F.col(f"odds{view}")
+            out[view, y] = [r["tie"] for r in distinct.where(odds >= least).orderBy(odds.desc(), "tie").limit(most if y else picks - most).select("tie").collect()]
+    return out
+
 
-    Tasks hand on their best rows only, and labels are looked up for those few: texts
-    are never shuffled.
-    """
+def _features_of(rows: DataFrame, ties: set[int]) -> dict[int, tuple[bytes, bytes]]:
+    """Text and metadata features by tie, of at most a few times ``picks`` rows."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list] = {(view, y): [] for view in (0, 1) for y in (0, 1)}
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x, m in _batches(batches):
-            ids, ties = part.column("doc_id").to_pylist(), np.asarray(part.column("tie"))
-            for view, odds in enumerate((models[0].odds(x), models[1].odds(m))):
-                for y in (0, 1):
-                    sure = odds if y else -odds
-                    for i in np.lexsort((ties, -sure))[:picks]:
-                        if sure[i] > 0:
-                            best[view, y].append((-float(sure[i]), int(ties[i]), ids[i], x[i].tobytes(), m[i].tobytes()))
-                    best[view, y] = sorted(best[view, y])[:picks]
-        out = [{"doc_id": doc, "y": y, "view": view, "sure": -s, "tie": tie, "x": a, "m": b} for (view, y), found in best.items() for s, tie, doc, a, b in found]
-        if out:
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("view", pa.int32()), ("sure", pa.float64()), ("tie", pa.int64()), ("x", pa.binary()), ("m", pa.binary())]))
-
-    found = rows.mapInArrow(find, _PICKED)
-    # the tasks' lists are thinned bucket by bucket, so that the last selection reads a fixed number of rows
-    order = [F.desc("sure"), "tie", "doc_id"]
-    for keys in (["view", "y", F.pmod("tie", F.lit(BUCKETS))], ["view", "y"]):
-        found = found.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= picks).drop("_place")
-    return found.join(labels.select("doc_id"), "doc_id", "left_anti").collect()
+            yield pa.RecordBatch.from_arrays([part.column("tie"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["tie", "x", "m"])
+
+    wanted = rows.sparkSession.createDataFrame([(t,) for t in sorted(ties)], "tie long")
+    found = rows.join(F.broadcast(wanted), "tie", "left_semi").mapInArrow(features, "tie long, x binary, m binary")
+    return {r["tie"]: (bytes(r["x"]), bytes(r["m"])) for r in found.groupBy("tie").agg(F.first("x").alias("x"), F.first("m").alias("m")).collect()}
 
 
 class CoTrained:
@@ -181,30 +188,27 @@ class CoTrained:
         return [1 / (1 + np.exp(-o)) for o in (*views, self.both.odds(np.column_stack(views)))]
 
 
-def co_train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, picks: int = 500, rounds: int = 2) -> CoTrained | None:
+def co_train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, picks: int = 1000, sure: float = 0.95, rounds: int = 2) -> CoTrained | None:
     """None without labelled rows of both classes."""
-    rows = _rows(docs)
-    labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"), F.max(F.col("quality").cast("int")).alias("_y")).where("y = _y").drop("_y")
-    known = _labelled(rows, labels, fit_rows)
+    rows = _tied(_rows(docs))
+    every = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null")
+    known = _labelled(rows, every.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y"), fit_rows)
     held = [r for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     fit = [r for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5]
     if any(len({r["y"] for r in part}) < 2 for part in (held, fit)):
         return None
     x, m = _matrices(fit)
     y = np.array([r["y"] for r in fit], float)
-    data = [(x, y), (m, y)]
-    models = tuple(Logistic(*d) for d in data)
-    tied = rows.withColumn("tie", F.xxhash64("doc_id"))
+    models = Logistic(x, y), Logistic(m, y)
     for _ in range(rounds):
-        found = _confident(tied, labels, models, picks)
-        data = [(x, y), (m, y)]
-        for view in (0, 1):  # what one view is sure of teaches the other
-            own = [r for r in found if r["view"] == view]
-            if own:
-                teach = _matrices(own)[1 - view]
-                base, target = data[1 - view]
-                data[1 - view] = (np.vstack([base, teach]), np.concatenate([target, [float(r["y"]) for r in own]]))
-        models = tuple(Logistic(*d) for d in data)
+        found = _confident(rows, every, models, picks, float(y.mean()), float(np.log(sure / (1 - sure))))
+        features = _features_of(rows, {t for ties in found.values() for t in ties})
+        data = []
+        for view in (0, 1):  # what the other view is sure of
+            taught = [(features[t][view], c) for c in (0, 1) for t in found[1 - view, c]]
+            base = (x, m)[view]
+            data.append((np.vstack([base, np.frombuffer(b"".join(f for f, _ in taught), np.float32).reshape(-1, base.shape[1])]), np.concatenate([y, [float(c) for _, c in taught]])))
+        models = Logistic(*data[0]), Logistic(*data[1])
     return CoTrained(*models, (*_matrices(held), np.array([r["y"] for r in held], float)))
 
 
