@@ -20,9 +20,9 @@ from tidemark.llm.line_dedup import drop_lines, line_dedup, line_digests
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import entropy_of, find_alpha, mix, mix_rows, passes_of, weights_at
 from tidemark.llm.ngram_join import ngram_jaccard_join
-from tidemark.llm.packing import best_bounds, grid_length, pack
+from tidemark.llm.packing import best_bounds, pack
 from tidemark.llm.quality import co_train, keep_quality, score_quality
-from tidemark.llm.url_filter import UrlTrie, split_url, url_filter
+from tidemark.llm.url_filter import UrlTrie, split_url, url_filter, url_filter_by_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,8 +155,13 @@ def test_url_filter(spark):
     rows = [(i, u, "h", "v") for i, u in enumerate(urls)] + [(None, urls[0], None, None), (0, urls[0], None, None)]
     got = url_filter(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string"), **rules).collect()
     assert sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in got), key=str) == sorted(((i, *brute(u)) for i, u, *_ in rows), key=str)
+    table = spark.createDataFrame([(rule, v) for v, many in rules.items() for rule in many], "rule string, verdict string")
+    joined = url_filter_by_table(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string"), table).collect()
+    assert sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in joined), key=str) == sorted(((i, *brute(u)) for i, u, *_ in rows), key=str)
     with pytest.raises(ValueError):
         UrlTrie([str(i) for i in range(1_000_001)], [])
+    many = UrlTrie([f"a.org/x/{i:05d}" for i in range(100_000)], [])
+    assert many.find("www.a.org", "/x/54321/" + "y" * 100_000) == ("a.org/x/54321", "allow") and many.find("a.org", "/x/1") is None
 
 
 def test_nearest_recall(spark, sf):
@@ -421,15 +426,23 @@ def test_pack(spark):
         last = max(b for k, b in cells if k == bucket)
         assert sorted(x.slot for x in xs) == list(range(len(xs))) and (len(xs) == many or batch == last)
         assert sum(x.bucket_len for x in xs) <= 600 or len(xs) == 1
-    counts = Counter(grid_length(len(words(t))) for _, t in rows)
-    bounds = best_bounds(sorted(counts), [counts[x] for x in sorted(counts)], 4)
-    assert {x.bucket_len for x in got} == set(bounds)
+    counts = Counter(len(words(t)) for _, t in rows)
+    distinct = sorted(counts)
+    cost = lambda bounds: sum(c * (min(b for b in bounds if b >= x) - x) for x, c in counts.items())
+    least = min(cost((*part, distinct[-1])) for part in itertools.combinations(distinct[:-1], 3))
+    assert sum(x.padding for x in got) == least and len({x.bucket_len for x in got}) == 4
 
 
-def test_grid_length():
-    for n in [*range(0, 3000), 2**15 - 1, 2**15, 2**15 + 1, 123_457]:
-        g = grid_length(n)
-        assert g >= n and g - n <= n / 128 and grid_length(g) == g
+def test_long_text_words():
+    import pyarrow as pa
+
+    from tidemark.llm import textops
+
+    text = " ".join(prose(1, 400_000)) + " " + "x" * 3_000_000 + " w1"
+    (_, raw, offsets), = textops.slices(pa.array([text]))
+    got, few = textops.Words(raw, offsets), textops.Words(*next(iter(textops.slices(pa.array(["w1 " + "x" * 3_000_000]))))[1:])
+    assert len(got.hash) == 400_002 and got.hash[-1] == few.hash[0] and got.hash[-2] == few.hash[1]
+    assert len(np.unique(got.hash)) == len(set(words(text))) and len(textops._Powers.up) <= 3_000_001 + 1
 
 
 def test_mixing_weights():

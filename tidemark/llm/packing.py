@@ -1,7 +1,8 @@
 """Length-bucketed packing with optimal buckets.
 
-The histogram of all document lengths goes to the driver on a grid of at most
-``GRID`` values, whatever the number of documents; a dynamic program over it
+The histogram of all document lengths goes to the driver, a row for each length that occurs,
+whatever the number of documents; a dynamic program over it, by divide and conquer as the
+best cuts move one way only,
 picks the ``n_buckets`` upper bounds with the least padding in total.  Inside
 each bucket, documents form batches of at most ``budget`` tokens, every document
 counted at its bucket's bound: batch number and slot follow from the document's
@@ -9,8 +10,7 @@ rank in the bucket.  Ranks come from per-shard counts and row numbers inside
 shards, so no bucket is one task's group, however many documents it has.
 
 Lengths are words ``[^\\x20\\x09-\\x0D]+`` unless a column of lengths is named.
-Lengths up to 256 are exact on the grid, longer ones are rounded up by less than
-one part in 128.  Every document is placed: one longer than the budget is a batch
+Every document is placed: one longer than the budget is a batch
 of its own.
 
 Edge cases.  Null or blank text has length 0 and is packed with the shortest.
@@ -23,48 +23,38 @@ result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROWS_PER_SHARD, count_words, running
 
-EXACT, PER_OCTAVE = 256, 128
-GRID = EXACT + PER_OCTAVE * 40
-
-
-def grid_length(n: int) -> int:
-    """The least grid length that is at least n."""
-    if n <= EXACT:
-        return max(n, 0)
-    step = 1 << ((n - 1).bit_length() - 1) - 7
-    return -(-n // step) * step
-
-
-def _grid(length: Column) -> Column:
-    step = F.pow(F.lit(2.0), F.length(F.bin(length - 1)) - 8).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
-
 
 def best_bounds(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
     """Upper bounds, ascending, of at most n_buckets buckets over ascending lengths with the least total padding.
 
-    cost(i, j) = lengths[j] * count(i..j) - tokens(i..j); ties go to the smaller cut.
+    The padding of a bucket from i to j is lengths[j] * count(i..j) - tokens(i..j).
     """
     m = len(lengths)
     if not m:
         return []
-    x = np.asarray(lengths, np.float64)
-    many = np.concatenate([[0], np.cumsum(np.asarray(counts, np.float64))])
-    mass = np.concatenate([[0], np.cumsum(x * np.asarray(counts, np.float64))])
+    x, n = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    many, mass = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(x * n)])
     cost = x * many[1:] - mass[1:]  # one bucket for 0..j
     back = []
     for _ in range(min(n_buckets, m) - 1):
         later, choice = cost.copy(), np.full(m, -1)
-        for j in range(1, m):
-            total = cost[:j] + x[j] * (many[j + 1] - many[1 : j + 1]) - (mass[j + 1] - mass[1 : j + 1])
+        spans = [(1, m - 1, 0, m - 2)]  # ends low..high, whose best last cuts lie in first..last
+        while spans:
+            low, high, first, last = spans.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            cut = np.arange(first, min(last, j - 1) + 1)
+            total = cost[cut] + x[j] * (many[j + 1] - many[cut + 1]) - (mass[j + 1] - mass[cut + 1])
             i = int(np.argmin(total))
             if total[i] < later[j]:
-                later[j], choice[j] = total[i], i
+                later[j], choice[j] = total[i], cut[i]
+            spans += [(low, j - 1, first, int(cut[i])), (j + 1, high, int(cut[i]), last)]
         back.append(choice)
         cost = later
     ends = [m - 1]
@@ -83,7 +73,7 @@ def pack(docs: DataFrame, *, budget: int = 16_384, n_buckets: int = 8, id_col: s
     length = F.col(length_col).cast("long") if length_col else count_words(F.col(text_col).cast("string"))
     tie = F.xxhash64(F.col(text_col)) if text_col in docs.columns else F.lit(0)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).alias("n_tokens"), tie.alias("_tie"))
-    histogram = rows.groupBy(_grid(F.col("n_tokens")).alias("length")).count().orderBy("length").collect()
+    histogram = rows.groupBy(F.col("n_tokens").alias("length")).count().orderBy("length").collect()
     bounds = best_bounds([r["length"] for r in histogram], [r["count"] for r in histogram], n_buckets)
     shards = sum(r["count"] for r in histogram) // ROWS_PER_SHARD + 8
     bucket = F.lit(len(bounds) - 1)

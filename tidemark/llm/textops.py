@@ -4,7 +4,7 @@ A word is a run of bytes other than space and \\t \\n \\v \\f \\r; A-Z are folde
 to a-z before hashing and nothing else is folded.  Words are told apart by a
 64-bit hash of their bytes.  Work goes in slices of about ``SLICE`` bytes of
 text, so memory stays bounded however large an Arrow batch is; a longer text is
-a slice of its own.
+a slice of its own, in which the tables of powers go no further than ``SLICE`` bytes or the longest word.
 """
 
 from __future__ import annotations
@@ -102,11 +102,18 @@ class Words:
             last[:-1] |= inside[:-1] & ~inside[1:]
             last[-1] |= inside[-1]
             self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-            up, down = _Powers.get(n + 1)
-            sums = np.zeros(n + 1, _U)
-            np.cumsum(_BYTE_KEY[raw] * up[:n], out=sums[1:])
-            length = (self.end - self.start).astype(_U)
-            self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start] + length * _U(0xD6E8FEB86659FD93))
+            self.hash = np.zeros(len(self.start), _U)
+            low = 0
+            while low < len(self.start):  # runs of words of about SLICE bytes, so that powers and sums stay small
+                at = self.start[low]
+                high = max(low + 1, int(np.searchsorted(self.end, at + SLICE, "right")))
+                part = raw[at : self.end[high - 1]]
+                up, down = _Powers.get(len(part) + 1)
+                sums = np.zeros(len(part) + 1, _U)
+                np.cumsum(_BYTE_KEY[part] * up[: len(part)], out=sums[1:])
+                a, b = self.start[low:high] - at, self.end[low:high] - at
+                self.hash[low:high] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
+                low = high
         self.bounds = np.searchsorted(self.start, offsets).astype(np.int64)
         self.counts = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(rows), self.counts)

@@ -1,4 +1,5 @@
-"""URL filter: a trie over reversed host labels, then over path segments.
+"""URL filter: a trie over reversed host labels, then over path segments; the part of a segment at a rule's end is a
+trie of characters.
 
 A rule is ``host`` + ``path`` (``example.org/es/``), with the verdict allow or
 block.  It fits its host and all subdomains, if the URL's path starts with the
@@ -11,14 +12,16 @@ lower-cased; the path goes on from there to ``?``, ``#`` or the end.
 
 Edge cases.  A null URL, or one without ``://``, has an empty host and path and
 fits no rule.  Repeated rows and null ids give a row each; other columns are
-passed by; an empty table gives an empty result.  The trie is broadcast: the
-rules come as an argument and are refused beyond ``MAX_RULES``.
+passed by; an empty table gives an empty result.  The rules are broadcast up to
+``MAX_RULES``, and each worker builds the trie once.  Rule tables of any size are for
+``url_filter_by_table``, which joins each URL's host suffixes and path prefixes with the rules; its result is the same.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,13 +41,13 @@ class _Node:
 
 
 class _Segment:
-    """``after`` leads on past a whole path segment; ``ends`` has what rules ask of the next one, longest first."""
+    """``after`` leads on past a whole path segment; ``ends`` is a trie of characters with (rule, verdict) under ""."""
 
     __slots__ = ("after", "ends")
 
     def __init__(self) -> None:
         self.after: dict[str, _Segment] = {}
-        self.ends: list[tuple[str, str, str]] = []
+        self.ends: dict = {}
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -57,7 +60,7 @@ class UrlTrie:
         self.root = _Node()
         verdicts = {rule: "allow" for rule in allow} | {rule: "block" for rule in block}
         if len(verdicts) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules: join against a rule table instead")
+            raise ValueError(f"more than {MAX_RULES} rules: use url_filter_by_table")
         for rule, verdict in verdicts.items():
             host, slash, path = rule.partition("/")
             node = self.root
@@ -67,21 +70,23 @@ class UrlTrie:
             *whole, rest = (slash + path).split("/")
             for part in whole:
                 segment = segment.after.setdefault(part, _Segment())
-            segment.ends.append((rest, rule, verdict))
-            segment.ends.sort(key=lambda end: -len(end[0]))
+            end = segment.ends
+            for character in rest:
+                end = end.setdefault(character, {})
+            end[""] = (rule, verdict)
 
     @staticmethod
     def _in_path(segment: _Segment, path: str) -> tuple[str, str] | None:
         best, parts = None, path.split("/")
-        for i, part in enumerate(parts):
-            rest = None
-            for end, rule, verdict in segment.ends:
-                if end and rest is None:
-                    rest = "/".join(parts[i:])
-                if not end or rest.startswith(end):
-                    best = (rule, verdict)
+        for part in parts:
+            end = segment.ends
+            best = end.get("", best)
+            for character in part:
+                end = end.get(character)
+                if end is None:
                     break
-            segment = segment.after.get(part) if i + 1 < len(parts) else None
+                best = end.get("", best)
+            segment = segment.after.get(part)
             if segment is None:
                 break
         return best
@@ -98,12 +103,20 @@ class UrlTrie:
         return best
 
 
+@lru_cache(maxsize=2)
+def _trie(allow: tuple[str, ...], block: tuple[str, ...]) -> UrlTrie:
+    return UrlTrie(allow, block)
+
+
 def url_filter(pages: DataFrame, *, allow: Iterable[str], block: Iterable[str], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: the id, host, path, rule (null where none fits), verdict."""
-    trie = pages.sparkSession.sparkContext.broadcast((list(allow), list(block)))
+    allow, block = tuple(allow), tuple(block)
+    if len(allow) + len(block) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: use url_filter_by_table")
+    rules = pages.sparkSession.sparkContext.broadcast((allow, block))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = UrlTrie(*trie.value)
+        known = _trie(*rules.value)
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [known.find(*x) for x in split]
@@ -112,3 +125,26 @@ def url_filter(pages: DataFrame, *, allow: Iterable[str], block: Iterable[str],
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     return rows.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
+
+
+def url_filter_by_table(pages: DataFrame, rules: DataFrame, *, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Like ``url_filter``, with the rules in a table (rule, verdict) of any size.
+
+    Each distinct host and path asks for its host suffixes with its path prefixes of the lengths that rules have; those
+    lengths, a few hundred numbers, are all that goes to the driver.
+    """
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    slash = F.instr("rule", "/")
+    host = lower(F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule")))
+    known = rules.select("rule", "verdict", host.alias("r_host"), F.when(slash > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("r_path"))
+    known = known.groupBy("rule").agg(F.max("verdict").alias("verdict"), F.first("r_host").alias("r_host"), F.first("r_path").alias("r_path"))  # block wins over allow
+    lengths = sorted(r["n"] for r in known.select(F.length("r_path").alias("n")).distinct().collect())
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
+    rows = rows.select("page_id", lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)).alias("host"), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1).alias("path"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = rows.select("host", "path").distinct().withColumn("r_host", F.explode(suffixes)).withColumn("r_path", F.explode(prefixes))
+    order = F.struct(F.size(F.split("r_host", r"\.")), F.length("r_path"))
+    best = asked.join(known, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
+    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
