@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chunk_media as media
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import components
-from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams
+from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams, template_words, window_sizes
 from tidemark.llm.line_dedup import drop_lines, line_dedup, line_digests
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import entropy_of, find_alpha, mix, mix_rows, passes_of, weights_at
@@ -359,31 +359,46 @@ def test_co_training_rounds(spark):
 
 def test_license_scan(spark):
     def brute(text):
-        best, lines = None, set()
-        for no, line in enumerate((text or "").split("\n"), 1):
-            a = set(template_bigrams(line))
-            for name, t in TEMPLATES.items():
-                b = set(template_bigrams(t))
-                score = 2 * len(a & b) / (len(a) + len(b))
-                if score >= 0.8:
-                    lines.add(no)
-                    best = min(best or (0,), (-score, no, name)) if best else (-score, no, name)
-        return (best[2], round(-best[0], 6), best[1], len(lines)) if best else (None, 0.0, None, 0)
+        found = []
+        w = template_words(text or "")
+        grams = [" ".join(x) for x in zip(w, w[1:])] or w
+        for name, t in TEMPLATES.items():
+            b = set(template_bigrams(t))
+            for p in range(len(grams)):
+                if grams[p] in b:
+                    for n in window_sizes(len(b), 0.8):
+                        a = set(grams[p : p + n])
+                        if (score := 2 * len(a & b) / (len(a) + len(b))) >= 0.8 - 1e-9:
+                            found.append((-score, p + 1, name))
+        best = min(found, default=None)
+        return (best[2], round(-best[0], 6), best[1], ",".join(sorted({x[2] for x in found}))) if best else (None, 0.0, None, "")
 
     r = random.Random(9)
-    rows = [(i, t) for i, t in enumerate(TEMPLATES.values())]
-    for i in range(100, 180):
-        w = r.choice(list(TEMPLATES.values())).split()
+    notices = list(TEMPLATES.values())
+    rows = [(i, t) for i, t in enumerate(notices)]
+    for i in range(100, 160):
+        w = r.choice(notices).split()
         for _ in range(r.randrange(3)):
             w.insert(r.randrange(len(w) + 1), "extra")
-        rows.append((i, "some text\n" + r.choice(["", "  ", "* "]) + " ".join(w) + "\n" + r.choice(list(TEMPLATES.values())).upper()))
-    rows += [(500, None), (501, ""), (502, "license"), (503, "word " * 20000), (504, "a.. b. ... c"), (None, "All rights reserved"), (0, "All rights reserved")]
+        rows.append((i, "some text\n" + r.choice(["", "  ", "* "]) + r.choice([" ", "\n"]).join(w) + "\n" + r.choice(notices).upper()))
+    rows += [(500, None), (501, ""), (502, "license"), (503, "word " * 20000 + "all rights reserved"), (504, "a.. b. ... c"), (None, "All rights reserved"), (0, "All rights reserved")]
     got = license_scan(table(spark, rows)).collect()
-    assert sorted(((x.doc_id, x.license, x.score, x.line_no, x.n_lines_matched) for x in got), key=str) == sorted(((i, *brute(t)) for i, t in rows), key=str)
+    assert sorted(((x.doc_id, x.license, x.score, x.word_no, x.licenses) for x in got), key=str) == sorted(((i, *brute(t)) for i, t in rows), key=str)
     plan = license_scan(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_wrapped_and_embedded_notices(spark):
+    """Notices as files have them: in comments, wrapped anywhere, inside a longer line, twice in one text."""
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:\n#\n# The above copyright notice and this permission notice shall be included in all\n# copies or substantial portions of the Software."
+    prose_ = "The river rose all night and the bakers went on with their work until the morning. "
+    texts = [prose_ + bsd + prose_, mit, prose_ + "It is released\nunder the MIT\nLicense. " + prose_, prose_ + "All rights\nreserved. " + mit, prose_ * 30]
+    got = {x.doc_id: (x.license, x.licenses) for x in license_scan(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i][0] for i in range(5)] == ["bsd-3-clause", "mit", "mit", "all-rights-reserved", None]
+    assert got[3][1] == "all-rights-reserved,mit" and got[4][1] == ""
+
+
 def test_license_notices_as_they_stand_elsewhere(spark):
     notices = {
         "mit": ["Released under the MIT License.", "Licensed under the MIT License", "Distributed under the MIT license.", "Available under the MIT License."],
@@ -395,8 +410,8 @@ def test_license_notices_as_they_stand_elsewhere(spark):
         None: ["The bakery was released under the bridge.", "Released under the old licence."],
     }
     rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, many in notices.items() for t in many)]
-    got = {x.doc_id: (x.license, x.line_no) for x in license_scan(table(spark, [(i, f"some prose here\n{text}\nand more") for i, _, text in rows])).collect()}
-    assert got == {i: (name, name and 2) for i, name, _ in rows}
+    got = {x.doc_id: (x.license, x.word_no) for x in license_scan(table(spark, [(i, f"some prose here\n{text}\nand more") for i, _, text in rows])).collect()}
+    assert {i: name for i, (name, _) in got.items()} == {i: name for i, name, _ in rows} and {at for name, at in got.values() if name} <= {4, 5, 6}
 
 
 def test_best_bounds():

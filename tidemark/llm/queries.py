@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest
 from tidemark.llm.chunk_media import media_columns
 from tidemark.llm.common import read
-from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams
+from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams, window_sizes
 from tidemark.llm.line_dedup import line_dedup, line_digests
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import mix
@@ -107,23 +107,23 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
 """
 
-_GRAMS = ", ".join("{{'name': '{}', 'grams': [{}]}}".format(n, ", ".join(f"'{g}'" for g in template_bigrams(t))) for n, t in sorted(TEMPLATES.items()))
+_GRAMS = ", ".join(
+    "{{'t': {}, 'name': '{}', 'grams': [{}], 'sizes': {}}}".format(i, n, ", ".join(f"'{g}'" for g in template_bigrams(t)), window_sizes(len(template_bigrams(t)), 0.8)) for i, (n, t) in enumerate(sorted(TEMPLATES.items()))
+)
 _OP10_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, i AS line_no, list_filter(string_split(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[i]), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), ' '), lambda w: w <> '') AS raw
-  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
-), words AS (
-  SELECT doc_id, line_no, list_filter(list_transform(raw, lambda w: regexp_replace(w, '\\.+$', '')), lambda w: w <> '') AS w FROM lines
-), grams AS (
-  SELECT doc_id, line_no, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) ELSE w END) AS g FROM words
-), templates AS (SELECT t.name, t.grams FROM (SELECT unnest([{_GRAMS}]) AS t)),
-hits AS (
-  SELECT doc_id, line_no, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score
-  FROM grams, templates WHERE len(g) > 0 AND list_has_any(g, grams)
-), good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, name) AS n FROM hits WHERE score >= 0.8),
-counted AS (SELECT doc_id, count(DISTINCT line_no) AS n_lines FROM good GROUP BY doc_id)
-SELECT d.doc_id, g.name AS license, round(coalesce(g.score, 0.0::DOUBLE), 6) AS score, g.line_no::BIGINT AS line_no, coalesce(c.n_lines, 0)::BIGINT AS n_lines_matched
-FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id AND g.n = 1 LEFT JOIN counted c ON c.doc_id = d.doc_id
+WITH raw AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), ' '), lambda w: w <> '') AS raw FROM documents
+), words AS (SELECT doc_id, list_filter(list_transform(raw, lambda w: regexp_replace(w, '\\.+$', '')), lambda w: w <> '') AS w FROM raw),
+grams AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) ELSE w END AS g FROM words),
+templates AS (SELECT t.* FROM (SELECT unnest([{_GRAMS}]) AS t)),
+near AS (SELECT doc_id, g, t, name, grams, sizes FROM grams, templates WHERE 1.2::DOUBLE * len(list_intersect(g, grams)) + 1e-6::DOUBLE >= 0.8::DOUBLE * len(grams)),
+starts AS (SELECT *, unnest(range(1, len(g) + 1)) AS p FROM near),
+windows AS (SELECT doc_id, name, grams, p, list_distinct(g[p : p + size - 1]) AS a FROM (SELECT *, unnest(sizes) AS size FROM starts WHERE list_contains(grams, g[p]))),
+hits AS (SELECT doc_id, name, p, 2.0::DOUBLE * len(list_intersect(a, grams)) / (len(a) + len(grams)) AS score FROM windows),
+good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, name) AS n FROM hits WHERE score >= 0.8::DOUBLE - 1e-9::DOUBLE),
+named AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM good GROUP BY doc_id)
+SELECT d.doc_id, g.name AS license, round(coalesce(g.score, 0.0::DOUBLE), 6) AS score, g.p::BIGINT AS word_no, coalesce(c.licenses, '') AS licenses
+FROM documents d LEFT JOIN good g ON g.doc_id = d.doc_id AND g.n = 1 LEFT JOIN named c ON c.doc_id = d.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _OP4_SQL, "op5_url_filter": _OP5_SQL, "op10_license_scan": _OP10_SQL}
