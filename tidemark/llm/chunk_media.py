@@ -176,7 +176,8 @@ def chunk_store(docs: DataFrame, lists: DataFrame, foreign: DataFrame) -> DataFr
     size = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
     owned = payloads(docs).join(skipped, "payload_id", "left").select("payload_id", "packed", "skipped").mapInArrow(run, _STORE)
-    owned.write.bucketBy(8 + size // (1 << 26), "payload_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)  # with fewer than the session's, joins would shuffle the store again
+    owned.write.bucketBy(buckets, "payload_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
     return spark.table(name)
 
 
