@@ -94,6 +94,25 @@ def test_edge_matches_direct_arithmetic(spark):
         assert math.isclose(frame.select(edge_squared(F.col("b")).alias("s")).first().s, direct_spread(bars), rel_tol=1e-6, abs_tol=1e-12)
 
 
+def test_edge_by_moving_averages(spark):
+    """The moving form against the estimator over each row's own 21 bars."""
+    from pyspark.sql import Window
+
+    from tidemark.functions.columns import with_edge
+
+    r = np.random.default_rng(5)
+    close = 50 * np.exp(np.cumsum(r.normal(0, 0.02, 60)))
+    first = close * np.exp(r.normal(0, 0.01, 60))
+    rows = [(i, float(o), float(max(o, c) * (1 + x)), float(min(o, c) * (1 - x)), float(c)) for i, (o, c, x) in enumerate(zip(first, close, r.random(60) * 0.02))]
+    rows[30:33] = [(i, 40.0, 40.0, 40.0, 40.0) for i in (30, 31, 32)]
+    frame, spec = spark.createDataFrame(rows, "i int, open double, high double, low double, close double"), Window.partitionBy(F.lit(1)).orderBy("i")
+    out = with_edge(frame, spec, 20, "s2").orderBy("i").collect()
+    for k in range(21, 60):
+        bars = [{"o": math.log(o), "h": math.log(h), "l": math.log(low), "c": math.log(c)} for _, o, h, low, c in rows[k - 20 : k + 1]]
+        assert math.isclose(out[k].s2, direct_spread(bars), rel_tol=1e-5, abs_tol=1e-11)
+    assert out[19].s2 is None
+
+
 def test_deflated_sharpe_paper_points(spark):
     rows = [(2.5 / math.sqrt(250), 1250, -3.0, 10.0, math.sqrt(0.5 / 250), n) for n in (100, 46, 88)]
     frame = spark.createDataFrame(rows, "s double, n long, g double, k double, v double, c long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSIONS_PER_YEAR = 252
@@ -43,15 +43,16 @@ def latch(set_: Column, reset: Column, spec: WindowSpec) -> Column:
     return F.coalesce(F.last(state, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
 
 
-def ewm_std(x: Column, position: Column, spec: WindowSpec, span: int, block: Column | None = None) -> Column:
+def ewm_std(x: Column, position: Column, spec: WindowSpec, span: int) -> Column:
     """Bias-corrected exponentially weighted deviation with a minimum of ``span`` values.
 
     Weights decay with the row position, over missing values too.  ``position``
     counts from 0 inside the window's partition; the scaled sums hold up to about
-    10,000 rows for a span of 60.
+    10,000 rows for a span of 60, and a longer history is an error.
     """
     decay = -math.log1p(-2 / (span + 1))
-    w = F.when(x.isNotNull(), F.exp(position * F.lit(decay)))
+    most = int(340 / decay)
+    w = F.when(position > most, F.raise_error(F.lit(f"an exponential window of span {span} holds {most} rows at most")).cast("double")).when(x.isNotNull(), F.exp(position * F.lit(decay)))
     past = spec.rowsBetween(Window.unboundedPreceding, 0)
     s0, s2 = F.sum(w).over(past), F.sum(w * w).over(past)
     m = F.sum(w * x).over(past) / s0
@@ -110,3 +111,39 @@ def edge_squared(bars: Column) -> Column:
 
     defined = F.filter(F.array(facts), lambda s: (s["tau"] * n >= 2) & (s["po"] != 0) & (s["pc"] != 0))
     return F.get(F.transform(defined, solve), F.lit(0))
+
+
+def edge_terms(spec: WindowSpec) -> dict[str, Column]:
+    """The row terms of the EDGE estimator, from the columns open, high, low, close and the bar before."""
+    logs = {k: F.log(k) for k in ("open", "high", "low", "close")}
+    o, h, low = logs["open"], logs["high"], logs["low"]
+    h1, l1, c1 = (F.lag(logs[k]).over(spec) for k in ("high", "low", "close"))
+    mid, mid1 = (h + low) / 2, (h1 + l1) / 2
+    tau = ((h != low) | (low != c1)).cast("double")
+    touches = lambda x, a, b: tau * ((x != a).cast("double") + (x != b).cast("double"))
+    return {"tau": tau, "r1": mid - o, "r2": o - mid1, "r3": mid - c1, "r4": c1 - mid1, "r5": o - c1, "po": touches(o, h, low), "pc": touches(c1, h1, l1)}
+
+
+def with_edge(bars: DataFrame, spec: WindowSpec, n: int, name: str = "edge") -> DataFrame:
+    """bars (open, high, low, close) with ``edge_squared`` of the last n returns, in moving averages only: each of the two
+    estimates is a fixed mixture of four row products, so its mean and mean square are averages of these products and of
+    their products.  The steps are columns of their own, so that nothing is worked out twice."""
+    last = trailing(spec, n)
+    terms = {f"_{k}": x for k, x in edge_terms(spec).items()}
+    mixtures = {"1": ("r1 r2", "tau r2", "r3 r4", "tau r4"), "2": ("r1 r5", "tau r5", "r5 r4", "tau r4")}
+    products = {f"_p{m}{i}": F.col(f"_{x.split()[0]}") * F.col(f"_{x.split()[1]}") for m, xs in mixtures.items() for i, x in enumerate(xs)}
+    pairs = [(m, i, j) for m in mixtures for i in range(4) for j in range(i, 4)]
+    products |= {f"_q{m}{i}{j}": F.col(f"_p{m}{i}") * F.col(f"_p{m}{j}") for m, i, j in pairs}
+    averaged = ["_tau", "_po", "_pc", "_r1", "_r3", "_r5", *products]
+    out = bars.withColumns(terms).withColumns({k: x for k, x in products.items() if k[1] == "p"}).withColumns({k: x for k, x in products.items() if k[1] == "q"})
+    out = out.withColumns({f"_m{k}": F.avg(k).over(last) for k in averaged} | {"_seen": F.count("_r3").over(last)})
+    m = lambda k: F.col(f"_m_{k}")
+    shares = {f"_s{k}{i}": x for k, r in (("1", "r3"), ("2", "r5")) for i, x in enumerate((-4 / m("po"), 4 / m("po") * m("r1") / m("tau"), -4 / m("pc"), 4 / m("pc") * m(r) / m("tau")))}
+    fine = (F.col("_seen") == n) & (m("tau") * n >= 2) & (m("po") != 0) & (m("pc") != 0)
+    out = out.withColumns({k: F.when(fine, x) for k, x in shares.items()})
+    share = lambda k, i: F.col(f"_s{k}{i}")
+    out = out.withColumns({f"_e{k}": sum((share(k, i) * m(f"p{k}{i}") for i in range(1, 4)), share(k, 0) * m(f"p{k}0")) for k in mixtures})
+    squares = {k: sum(((1 if i == j else 2) * share(k, i) * share(k, j) * m(f"q{k}{i}{j}") for x, i, j in pairs if x == k), F.lit(0.0)) for k in mixtures}
+    out = out.withColumns({f"_v{k}": squares[k] - F.col(f"_e{k}") * F.col(f"_e{k}") for k in mixtures})
+    e1, e2, v1, v2 = (F.col(k) for k in ("_e1", "_e2", "_v1", "_v2"))
+    return out.withColumn(name, F.when(v1 + v2 > 0, (v2 * e1 + v1 * e2) / (v1 + v2)).otherwise((e1 + e2) / 2))

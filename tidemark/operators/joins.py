@@ -62,21 +62,34 @@ def vintage(series: DataFrame, as_of: Column) -> DataFrame:
 def vintage_as_of(series: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per session and series: the newest observation known the day before.
 
-    Each vintage covers a run of sessions; among those that cover a session the newest date wins,
-    then the latest start.  Intervals of one series and date do not overlap, so the
-    rows of a (series, session) are as many as there are dates still open.
+    Where every vintage of a date lasts until the next one or has an open end, a date once known stays known, and the
+    newest is a running maximum over one sorted union of vintages and sessions.  Series with a withdrawn vintage are
+    joined by interval instead.
     """
     known = series.where("value is not null")
-    day = F.date_sub(sessions["date"], 1)
-    cover = (known["date"] <= day) & (known["realtime_start"] <= day) & (day <= known["realtime_end"])
-    found = known.join(F.broadcast(sessions.select("date", "session_no")), cover).select("series", sessions["date"].alias("session"), known["date"].alias("d"), "realtime_start", "value")
-    best = found.groupBy("series", "session").agg(F.max_by("value", F.struct("d", "realtime_start")).alias("value"))
-    grid = series.select("series").distinct().crossJoin(F.broadcast(sessions.select(F.col("date").alias("session"))))
-    return grid.join(best, ["series", "session"], "left")
+    after = F.lead("realtime_start").over(Window.partitionBy("series", "date").orderBy("realtime_start"))
+    ends = known.withColumn("_lasts", (F.col("realtime_end") >= F.lit("9999-12-31").cast("date")) | F.coalesce(F.date_add("realtime_end", 1) >= after, F.lit(False)))
+    whole = ends.groupBy("series").agg(F.min("_lasts").alias("_whole"))
+
+    days = sessions.select(F.col("date").alias("session"), F.date_sub("date", 1).alias("_t"))
+    grid = series.select("series").distinct().crossJoin(F.broadcast(days))
+    newest = F.struct("date", "realtime_start", "value")
+    # a vintage counts from its start, or from its own date where that is later
+    events = known.select("series", F.greatest("realtime_start", "date").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("date").alias("session"), newest.alias("_v"))
+    asks = grid.select("series", "_t", F.lit(1).alias("_side"), "session", F.lit(None).cast(events.schema["_v"].dataType).alias("_v"))
+    spec = Window.partitionBy("series").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    run = events.unionByName(asks).withColumn("_best", F.max("_v").over(spec)).where("_side = 1").select("series", "session", F.col("_best.value").alias("_run"))
+
+    odd = known.join(whole.where("not _whole").select("series"), "series", "left_semi")
+    cover = (odd["date"] <= days["_t"]) & (odd["realtime_start"] <= days["_t"]) & (days["_t"] <= odd["realtime_end"])
+    found = odd.join(F.broadcast(days), cover).groupBy("series", "session").agg(F.max_by("value", F.struct("date", "realtime_start")).alias("_found"))
+    out = run.join(whole, "series", "left").join(found, ["series", "session"], "left")
+    return out.select("series", "session", F.when(F.coalesce("_whole", F.lit(True)), F.col("_run")).otherwise(F.col("_found")).alias("value"))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """The last ``value`` of right at or before each row of left, by one sorted union.
+    """The last known ``value`` of right at or before each row of left, by one sorted union: null values are passed over, and
+    of values at one time the greatest counts.
 
     No range join: both sides are shuffled once by the key, and a window carries the
     value forward.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SESSIONS_PER_YEAR, edge_squared, ewm_std, finite, full, is_true, log_ratio
+from tidemark.functions.columns import SESSIONS_PER_YEAR, ewm_std, finite, full, is_true, log_ratio, with_edge
 
 def by_ticker() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("date")
@@ -175,14 +175,12 @@ def marks(panel: DataFrame) -> DataFrame:
 def cost_surface(panel: DataFrame, window: int = 21) -> DataFrame:
     """Per ticker and session: half spread, volatility and average volume of the last ``window`` sessions, or the reason
     why there is no estimate.  The total for a fill is half_spread + sigma * sqrt(quantity / adv)."""
-    last = by_ticker().rowsBetween(-window, 0)
     recent = by_ticker().rowsBetween(1 - window, 0)
-    logs = F.struct(*[F.log(n).alias(k) for n, k in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"))])
-    bars = panel.where("close is not null").withColumns({"_log": logs, "_lr": log_ratio(F.col("close"), F.lag("close").over(by_ticker()))})
+    bars = panel.where("close is not null")
+    bars = with_edge(bars.withColumns({"_lr": log_ratio(F.col("close"), F.lag("close").over(by_ticker()))}), by_ticker(), window - 1, "_s2")
     known = F.row_number().over(by_ticker()) > window
     whole = F.col("session_no") - F.lag("session_no", window).over(by_ticker()) == window
-    out = bars.withColumns({"_bars": F.collect_list("_log").over(recent), "_known": known, "_whole": whole, "adv": F.avg("volume").over(recent), "sigma": F.stddev_samp("_lr").over(recent), "_n": F.count("*").over(last)})
-    out = out.withColumn("_s2", edge_squared(F.col("_bars")))
+    out = bars.withColumns({"_known": known, "_whole": whole, "adv": F.avg("volume").over(recent), "sigma": F.stddev_samp("_lr").over(recent)})
     reason = F.when(~F.col("_known"), "warmup").when(~is_true(F.col("_whole")), "missing_session").when(F.col("_s2").isNull(), "spread_undefined").when(F.col("adv") <= 0, "zero_adv")
     out = out.withColumn("reason", reason)
     fine = F.col("reason").isNull()

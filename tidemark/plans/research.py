@@ -422,6 +422,33 @@ def _(spark, d):
     return win.marks(src.panel(spark, src.bars(spark, d))).select("ticker", "date", "mark")
 
 
-@query("win_28_cost_surface")
-def _(spark, d):
-    return win.cost_surface(src.panel(spark, src.bars(spark, d)))
+def _surface_sql() -> str:
+    mean = lambda x: f"avg({x}) OVER v"
+
+    def mixture(pulled: str, one: str, two: str, other: str) -> tuple[str, str]:
+        own = [f"r1 * {one}", f"tau * {one}", f"{other} * {two}", f"tau * {two}"]
+        parts = ["(-4 / mpo)", "(4 / mpo * m1 / mtau)", "(-4 / mpc)", f"(4 / mpc * m{pulled} / mtau)"]
+        names = [f"{one}{two}{i}" for i in range(4)]
+        first = " + ".join(f"{p} * a{n}" for p, n in zip(parts, names))
+        square = " + ".join(f"{1 if i == j else 2} * {parts[i]} * {parts[j]} * s{one}{two}{i}{j}" for i in range(4) for j in range(i, 4))
+        columns.extend(f"{mean(x)} AS a{n}" for x, n in zip(own, names))
+        columns.extend(f"{mean(f'{own[i]} * {own[j]}')} AS s{one}{two}{i}{j}" for i in range(4) for j in range(i, 4))
+        return first, square
+
+    columns: list[str] = []
+    (e1, q1), (e2, q2) = mixture("3", "r2", "r4", "r3"), mixture("5", "r5", "r4", "r5")
+    return f""", g AS (SELECT *, ln(open) AS o, ln(high) AS h, ln(low) AS l, ln(close) AS c, lag(ln(high)) OVER ({_W}) AS h1, lag(ln(low)) OVER ({_W}) AS l1, lag(ln(close)) OVER ({_W}) AS c1, {_LR} AS lr,
+  row_number() OVER ({_W}) AS n, session_no - lag(session_no, 21) OVER ({_W}) AS span FROM panel WHERE close IS NOT NULL),
+k AS (SELECT *, (h <> l OR l <> c1)::INT::DOUBLE AS tau, (h + l) / 2 - o AS r1, o - (h1 + l1) / 2 AS r2, (h + l) / 2 - c1 AS r3, c1 - (h1 + l1) / 2 AS r4, o - c1 AS r5 FROM g),
+z AS (SELECT *, tau * ((o <> h)::INT + (o <> l)::INT) AS po, tau * ((c1 <> h1)::INT + (c1 <> l1)::INT) AS pc FROM k),
+m AS (SELECT ticker, date, n, span, avg(volume) OVER u AS adv, stddev_samp(lr) OVER u AS sigma, avg(tau) OVER v AS mtau, avg(po) OVER v AS mpo, avg(pc) OVER v AS mpc, avg(r1) OVER v AS m1, avg(r3) OVER v AS m3, avg(r5) OVER v AS m5, {", ".join(columns)}
+  FROM z WINDOW u AS ({_W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW), v AS ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+e AS (SELECT ticker, date, n, span, adv, sigma, mtau, mpo, mpc, {e1} AS e1, {e2} AS e2, {q1} AS q1, {q2} AS q2 FROM m),
+w AS (SELECT *, CASE WHEN mtau * 20 >= 2 AND mpo <> 0 AND mpc <> 0 THEN CASE WHEN q1 - e1 * e1 + q2 - e2 * e2 > 0 THEN ((q2 - e2 * e2) * e1 + (q1 - e1 * e1) * e2) / (q1 - e1 * e1 + q2 - e2 * e2) ELSE (e1 + e2) / 2 END END AS s2 FROM e),
+x AS (SELECT *, CASE WHEN n <= 21 THEN 'warmup' WHEN coalesce(span <> 21, true) THEN 'missing_session' WHEN s2 IS NULL THEN 'spread_undefined' WHEN adv <= 0 THEN 'zero_adv' END AS reason FROM w)
+SELECT ticker, date, CASE WHEN reason IS NULL THEN round(sqrt(abs(s2)) / 2, 6) END AS half_spread, CASE WHEN reason IS NULL THEN round(sigma, 6) END AS sigma, CASE WHEN reason IS NULL THEN round(adv, 6) END AS adv, CASE WHEN reason IS NULL THEN s2 < 0 END AS negative, reason FROM x"""
+
+
+@query("win_28_cost_surface", "panel", _surface_sql())
+def _(spark, d):
+    return rounded(win.cost_surface(src.panel(spark, src.bars(spark, d))))
