@@ -124,3 +124,16 @@ def exposure(holdings: DataFrame, own: DataFrame) -> DataFrame:
     both = holdings.groupBy("ticker").agg(F.sum("quantity").alias("total")).join(own.groupBy("ticker").agg(F.sum("quantity").alias("own")), "ticker", "full_outer")
     left = F.coalesce("total", F.lit(0.0)) - F.coalesce("own", F.lit(0.0))
     return both.select("ticker", F.when(left >= 0, left).alias("external"), (left < 0).alias("refused"))
+
+
+def close_panel(bars: DataFrame, tickers: list[str]) -> DataFrame:
+    """One column of closes per named ticker; two bars of one ticker and date are an error."""
+    per = bars.where(F.col("ticker").isin(tickers)).groupBy("date", "ticker").agg(F.count("*").alias("_n"), F.first("close").alias("close"))
+    checked = per.withColumn("close", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("two bars of "), F.col("ticker"))).cast("double")).otherwise(F.col("close")))
+    days = bars.select("date").distinct()
+    return days.join(checked.groupBy("date").pivot("ticker", tickers).agg(F.first("close")), "date", "left")
+
+
+def covered(bars: DataFrame, sessions: DataFrame, first: str, last: str) -> DataFrame:
+    """Bars on sessions inside a source's coverage."""
+    return bars.where(F.col("date").between(first, last)).join(F.broadcast(sessions.select("date")), "date", "left_semi")

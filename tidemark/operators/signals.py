@@ -163,3 +163,19 @@ def select_universe(pool: DataFrame, size: int, class_cap: int) -> DataFrame:
     kept = pool.withColumn("_c", in_class).where(F.col("_c") <= class_cap)
     place = F.row_number().over(Window.orderBy((F.col("_c") > 1).cast("int"), F.desc("volume"), "ticker"))
     return kept.withColumn("place", place).where(F.col("place") <= size).select("ticker", "class", "volume", "place")
+
+
+def log_hurdle(price: Column, *, commission: float, slippage_bps: float, shares: float = 1.0) -> Column:
+    """The log return that pays for a round trip: commission a share and slippage, both ways."""
+    return F.log1p(2 * (F.lit(commission) / (price * shares) + slippage_bps / 1e4))
+
+
+def direction_positions(predicted: Column) -> Column:
+    """Held where the predicted class is 1; an unknown one is flat."""
+    return F.coalesce(predicted == 1, F.lit(False))
+
+
+def carried_selection(selection: DataFrame, decides: Column) -> DataFrame:
+    """The selection of decision rows carried on to the next one, only where there is a close."""
+    kept = F.last(F.when(decides, F.col("held")), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    return selection.withColumn("held", F.coalesce(kept, F.lit(False)) & F.col("close").isNotNull())

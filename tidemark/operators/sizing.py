@@ -89,3 +89,18 @@ def volatility_target_book(selection: DataFrame, covariance: DataFrame, target:
     risk = risk.join(k, "date").where((F.col("n") == F.col("k") * (F.col("k") + 1) / 2) & (F.col("risk") > 0)).select("date", "risk")
     scaled = legs.join(risk, "date", "left").withColumn("weight", F.coalesce(F.col("leg") * target / F.sqrt("risk"), F.lit(0.0)))
     return scaled.withColumn("weight", gross_cap(F.col("weight"), cap)).select("date", "ticker", "weight")
+
+
+def sizing_equity(budget: Column, owned: Column, cash: Column) -> Column:
+    return F.least(budget, owned + cash)
+
+
+def own_sells(held: Column, wanted: Column, own: Column) -> Column:
+    """Shares to sell towards what is wanted, of one's own lots only."""
+    return F.greatest(F.least(held - wanted, own), F.lit(0.0))
+
+
+def equal_weight_volatility(selection: DataFrame, target: float) -> DataFrame:
+    """1 / k for each of k held names, times target over volatility where that is less than 1; wants held, volatility."""
+    k = F.sum(F.col("held").cast("int")).over(by_date())
+    return selection.withColumn("weight", F.when(F.col("held"), F.least(F.lit(1.0), target / F.col("volatility")) / k).otherwise(0.0))
