@@ -9,7 +9,7 @@ from tidemark.operators import orders, signals, sizing
 from tidemark.operators import windows as win
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.research import _LR, _W, _roll
-from tidemark.plans.strategies import _FEAT, _FEW_SQL, _FILLED, _HELD, _OBS, _few, _weekly, win_02_raw
+from tidemark.plans.strategies import _FEAT, _FILLED, _HELD, _OBS, _weekly, win_02_raw
 from tidemark.sources import frames as src
 
 _TZ = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
@@ -154,7 +154,7 @@ def _(spark, d):
     "pf_03_correlation_adjusted",
     "panel",
     _FILLED
-    + f""", fr AS (SELECT *, {_LR} AS r FROM filled WHERE {_FEW_SQL}), w AS (SELECT date, ticker, CASE WHEN {_OBS(61)} THEN 0.1::DOUBLE ELSE 0 END AS weight FROM filled WHERE {_FEW_SQL}),
+    + f""", fr AS (SELECT *, {_LR} AS r FROM filled), w AS (SELECT date, ticker, CASE WHEN {_OBS(61)} THEN 0.1::DOUBLE ELSE 0 END AS weight FROM filled),
 pr AS (SELECT a.session_no, a.date, a.ticker AS a, b.ticker AS b, a.r AS x, b.r AS y FROM fr a JOIN fr b ON a.session_no = b.session_no AND a.ticker < b.ticker),
 cc AS (SELECT date, a, b, CASE WHEN count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) OVER v = 60 AND NOT isnan(corr(x, y) OVER v) THEN round(corr(x, y) OVER v, 8) END AS c FROM pr WINDOW v AS (PARTITION BY a, b ORDER BY session_no ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 sd AS (SELECT date, a AS ticker, b AS other, c FROM cc UNION ALL SELECT date, b, a, c FROM cc), kk AS (SELECT date, count(*) AS k FROM w WHERE weight > 0 GROUP BY 1),
@@ -162,7 +162,7 @@ ov AS (SELECT s.date, s.ticker, sum(greatest(c, 0)) AS s, count(c) AS n FROM sd
 SELECT w.date, w.ticker, CASE WHEN w.weight > 0 THEN CASE WHEN coalesce(ov.n, 0) = kk.k - 1 THEN round(w.weight / (1 + coalesce(ov.s, 0)), 6) END ELSE 0 END AS adjusted FROM w LEFT JOIN kk USING (date) LEFT JOIN ov ON ov.date = w.date AND ov.ticker = w.ticker""",
 )
 def _(spark, d):
-    return _correlation_adjusted(_few(spark, d))
+    return _correlation_adjusted(_weekly(spark, d))
 
 
 def _correlation_adjusted(panel):

@@ -247,12 +247,12 @@ def _(spark, d):
 @query(
     "join_16_return_matrix",
     "returns",
-    """, r AS (SELECT ticker AS trial, date AS session, r FROM returns WHERE r IS NOT NULL AND date >= DATE '1996-01-01'),
+    """, r AS (SELECT ticker AS trial, date AS session, r FROM returns WHERE r IS NOT NULL),
 shared AS (SELECT session FROM r GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT trial) FROM r)), per AS (SELECT trial, count(*) AS n FROM r GROUP BY 1)
 SELECT r.trial, r.session, round(r.r, 6) AS r, round((SELECT count(*) FROM shared) / per.n, 6) AS coverage, (SELECT count(*) FROM shared) / per.n >= 0.1 AS enough FROM r JOIN shared USING (session) JOIN per USING (trial)""",
 )
 def _(spark, d):
-    r = win.panel_log_returns(src.panel(spark, src.bars(spark, d))).where("log_return is not null and date >= date'1996-01-01'")
+    r = win.panel_log_returns(src.panel(spark, src.bars(spark, d))).where("log_return is not null")
     return rounded(joins.return_matrix(r.select(F.col("ticker").alias("trial"), F.col("date").alias("session"), F.col("log_return").alias("r")), 0.1))
 
 

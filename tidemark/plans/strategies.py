@@ -222,34 +222,28 @@ def _(spark, d):
     return src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", w.alias("weight"))
 
 
-_FEW = [f"Brand#{i}" for i in range(1, 7)]
-_FEW_SQL = "ticker IN (" + ", ".join(f"'{t}'" for t in _FEW) + ")"
-_PAIRS = _FILLED + f""", fr AS (SELECT *, {_LR} AS r FROM filled WHERE {_FEW_SQL}),
+_PAIRS = _FILLED + f""", fr AS (SELECT *, {_LR} AS r FROM filled),
 pr AS (SELECT a.session_no, a.date, a.ticker AS a, b.ticker AS b, a.r AS x, b.r AS y FROM fr a JOIN fr b ON a.session_no = b.session_no AND a.ticker <= b.ticker),
 cv AS (SELECT date, a, b, CASE WHEN count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) OVER w = 60 THEN (avg(x * y) OVER w - avg(x) OVER w * avg(y) OVER w) * (60.0::DOUBLE / 59 * 252) END AS cov FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY session_no ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"""
 
 
-def _few(spark, d):
-    return _weekly(spark, d).where(F.col("ticker").isin(_FEW))
-
-
 @query("win_10_pair_covariance", "panel", _PAIRS + " SELECT date, a, b, round(cov, 5) AS cov FROM cv")
 def _(spark, d):
-    return rounded(sizing.pair_covariance(win.panel_log_returns(_few(spark, d)), 60), 5)
+    return rounded(sizing.pair_covariance(win.panel_log_returns(_weekly(spark, d)), 60), 5)
 
 
 @query(
     "pf_07_volatility_target_book",
     "panel",
     _PAIRS
-    + f""", sel AS (SELECT ticker, date, {_OBS(61)} AS held FROM filled WHERE {_FEW_SQL}), leg AS (SELECT s.ticker, s.date, CASE WHEN s.held AND c.cov > 0 THEN 1 / sqrt(c.cov) ELSE 0 END AS leg FROM sel s LEFT JOIN cv c ON c.date = s.date AND c.a = s.ticker AND c.b = s.ticker),
+    + f""", sel AS (SELECT ticker, date, {_OBS(61)} AS held FROM filled), leg AS (SELECT s.ticker, s.date, CASE WHEN s.held AND c.cov > 0 THEN 1 / sqrt(c.cov) ELSE 0 END AS leg FROM sel s LEFT JOIN cv c ON c.date = s.date AND c.a = s.ticker AND c.b = s.ticker),
 rk AS (SELECT c.date, sum(CASE WHEN c.a = c.b THEN 1 ELSE 2 END * x.leg * y.leg * c.cov) AS risk, count(c.cov) AS n FROM cv c JOIN leg x ON x.date = c.date AND x.ticker = c.a AND x.leg > 0 JOIN leg y ON y.date = c.date AND y.ticker = c.b AND y.leg > 0 GROUP BY 1),
 kk AS (SELECT date, count(*) AS k FROM leg WHERE leg > 0 GROUP BY 1), sc AS (SELECT l.ticker, l.date, coalesce(CASE WHEN r.n = k.k * (k.k + 1) / 2 AND r.risk > 0 THEN l.leg * 0.1::DOUBLE / sqrt(r.risk) END, 0) AS w FROM leg l LEFT JOIN rk r USING (date) LEFT JOIN kk k USING (date))
 SELECT ticker, date, round(CASE WHEN sum(w) OVER (PARTITION BY date) > 1 THEN w / sum(w) OVER (PARTITION BY date) ELSE w END, 5) AS weight FROM sc""",
 )
 def _(spark, d):
-    few = _few(spark, d)
-    return rounded(sizing.volatility_target_book(signals.risk_parity(few), sizing.pair_covariance(win.panel_log_returns(few), 60), 0.1, 1.0), 5)
+    p = _weekly(spark, d)
+    return rounded(sizing.volatility_target_book(signals.risk_parity(p), sizing.pair_covariance(win.panel_log_returns(p), 60), 0.1, 1.0), 5)
 
 
 # simulation
@@ -445,11 +439,11 @@ def _(spark, d):
 
 
 def _matrix(spark, d):
-    r = win.panel_log_returns(_few(spark, d)).where("date >= date'1996-01-01' and log_return is not null")
+    r = win.panel_log_returns(_weekly(spark, d)).where("log_return is not null")
     return r.select(F.col("ticker").alias("trial"), F.col("date").alias("session"), F.col("log_return").alias("r"))
 
 
-_MX = _FILLED + f""", mx AS (SELECT ticker AS trial, date AS session, r FROM (SELECT *, {_LR} AS r FROM filled WHERE {_FEW_SQL}) WHERE r IS NOT NULL AND date >= DATE '1996-01-01'),
+_MX = _FILLED + f""", mx AS (SELECT ticker AS trial, date AS session, r FROM (SELECT *, {_LR} AS r FROM filled) WHERE r IS NOT NULL),
 sb AS (SELECT session, ntile(16) OVER (ORDER BY session) - 1 AS block FROM (SELECT DISTINCT session FROM mx)), ex AS (SELECT trial, block, r - {_RF} / 252 AS x FROM mx JOIN sb USING (session)),
 bm AS (SELECT trial, block, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM ex GROUP BY 1, 2)"""
 _CS = """, masks AS (SELECT i::INT AS mask FROM range(65536) t(i) WHERE bit_count(i) = 8), pk AS (SELECT mask, trial, (mask >> block) & 1 AS side, sum(n) AS n, sum(n * m) / sum(n) AS mean, sum(ss + n * m * m) AS q FROM masks, bm GROUP BY 1, 2, 3),
