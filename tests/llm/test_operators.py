@@ -179,6 +179,61 @@ def test_nearest_recall(spark, sf):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.6, 1.0])
+def test_probes_leave_most_vectors_out(spread):
+    """Recall and share of the table scored at 20,000 and 60,000 vectors of 64, also with log-normal norms."""
+    from tidemark.llm import ann
+
+    shares = []
+    for n in (20_000, 60_000):
+        r = np.random.default_rng(3)
+        x = r.normal(size=(n, 64))
+        x *= np.exp(spread * r.normal(size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+        norm = np.linalg.norm(x, axis=1)
+        bands = np.array([ann.band_of(norm.max(), v) for v in norm])
+        scheme = ann.Scheme(64, norm.max(), {int(b): int((bands == b).sum()) for b in np.unique(bands)}, 16, 5)
+
+        def true(rows):
+            scores = x[rows] @ x.T
+            scores[np.arange(len(rows)), rows] = -np.inf
+            return np.argsort(-scores, axis=1)[:, :20], np.sort(-scores, axis=1)[:, 19]
+
+        sample, asked = np.split(r.permutation(n)[:124], [64])
+        near, last = true(sample)
+        scheme.typical = float(np.median(-last / norm[sample]))
+        scheme.probes = ann.needed_probes(scheme, ann._unit(x[sample]), [(i, x[j] / norm[j], int(bands[j])) for i in range(64) for j in near[i]], 0.94)
+        codes = {(b, t): ann.codes_of(ann._unit(x[bands == b]), t, scheme.plan(b), 5) for b in scheme.counts for t in range(16)}
+        row, band, table_, code = ann.probed(scheme, ann._unit(x[asked]))
+        want, hit, scored = true(asked)[0], 0, 0
+        for i in range(len(asked)):
+            found = set()
+            for b, t in {(b, t) for b, t in zip(band[row == i].tolist(), table_[row == i].tolist())}:
+                mine = code[(row == i) & (band == b) & (table_ == t)]
+                found |= set(np.flatnonzero(bands == b)[np.isin(codes[b, t], mine)].tolist())
+            hit += len(found & set(want[i].tolist()))
+            scored += len(found)
+        assert hit >= 0.9 * 20 * len(asked)
+        shares.append(scored / len(asked) / n)
+    assert shares[0] < 0.25 and shares[1] < (0.85 if spread == 0 else 1.2) * shares[0]  # uneven norms leave few to score at either size
+
+
+def test_nearest_with_uneven_norms(spark):
+    r = np.random.default_rng(7)
+    x = (r.normal(size=(3000, 32)) * np.exp(0.8 * r.normal(size=(3000, 1)))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for row in nearest(frame, F.col("vec_id") % 20 == 0, k=20).collect():
+        assert math.isclose(row.score, float(x[row.query_id].astype(float) @ x[row.vec_id].astype(float)), rel_tol=1e-9, abs_tol=1e-12)
+        got[row.query_id][row.rank] = (row.vec_id, row.score)
+    hit = 0
+    for q in range(0, 3000, 20):
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[q] = -np.inf
+        assert sorted(got[q]) == list(range(1, 21)) and [got[q][i][1] for i in range(1, 21)] == sorted((s for _, s in got[q].values()), reverse=True)
+        hit += len({v for v, _ in got[q].values()} & set(np.argsort(-scores)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 150
+
+
 def test_nearest_ties_and_odd_vectors(spark):
     same = [1.0, 0.0, 2.0]
     rows = [(i, same) for i in range(50)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 1.0]), (63, [float("nan"), 1.0, 1.0]), (64, [float("inf"), 1.0, 1.0]), (65, []), (None, same), (80, [1.0, 1.0]), (81, [2.0, 1.0]), (0, same)]

@@ -50,10 +50,12 @@ from tidemark.llm.common import cut, written
 CELL = 8192
 SAMPLE = 64
 SEEDS = 4096
+#: Queries in a task, whose lists of codes are long work for little input.
+QUERIES = 256
 BANDS_AN_OCTAVE, OCTAVES = 4, 8
 #: Codes of a table that are ranked for a query, and codes of all tables held at once.
 LISTED, HELD = 1 << 12, 1 << 22
-_RESULT = "query_id long, vec_id long, score double"
+_RESULT = "query_id long, ids array<long>, scores array<double>"
 
 
 def walsh(width: int) -> np.ndarray:
@@ -355,7 +357,7 @@ def _visits(asked: DataFrame, schemes: Broadcast, kind: type, k: int) -> DataFra
 
 
 def _seeded(asked: DataFrame, schemes: Broadcast, kind: type, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of the seeds for each query, so that what is at its floor is a candidate."""
+    """(query_id, ids, scores): the best of the seeds for each query, so that what is at its floor is a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,7 +372,7 @@ def _seeded(asked: DataFrame, schemes: Broadcast, kind: type, k: int) -> DataFra
 
 
 def _ranked(query: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, names: list[list[int]], k: int, floor: np.ndarray | None = None) -> pa.RecordBatch:
-    """The k best (query, vec_id, score) of each row of x among the entries ``at``, without the query itself."""
+    """The k best of each row of x among the entries ``at``, without the query itself: a row (query_id, ids, scores) each."""
     score = np.concatenate([[0.0][:0], *[np.einsum("ij,ij->i", x[row[a : a + 65536]], y[at[a : a + 65536]]) for a in range(0, len(at), 65536)]])
     if floor is not None:
         good = score >= floor[row]
@@ -382,14 +384,33 @@ def _ranked(query: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, y
     query, row, score, ids = query[other], row[other], score[other], ids[other]
     order = np.lexsort((ids, -score, row))
     query, row, score, ids = query[order], row[order], score[order], ids[order]
-    first = np.searchsorted(row, row, "left")
-    kept = np.arange(len(row)) - first < k
-    return pa.RecordBatch.from_arrays([pa.array(query[kept].astype(np.int64)), pa.array(ids[kept]), pa.array(score[kept])], ["query_id", "vec_id", "score"])
+    kept = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+    query, row, score, ids = query[kept], row[kept], score[kept], ids[kept]
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(query[starts].astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(score))], ["query_id", "ids", "scores"])
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from the lists of all cells that a query looked into; of an id's scores the best counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query, parts in zip(batch.column("query_id").to_pylist(), batch.column("parts").to_pylist()):
+                ids = np.concatenate([np.array(x["ids"], np.int64) for x in parts])
+                scores = np.concatenate([np.array(x["scores"], np.float64) for x in parts])
+                order = np.lexsort((ids, -scores))
+                _, first = np.unique(ids[order], return_index=True)
+                best = order[np.sort(first)[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(np.arange(1, len(best) + 1, dtype=np.int32)), pa.array(ids[best]), pa.array(scores[best])], ["query_id", "rank", "vec_id", "score"])
+
+    lists = found.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("parts"))
+    return lists.mapInArrow(run, "query_id long, rank int, vec_id long, score double")
 
 
 def _cell_best(k: int, kind: type):
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64()))})
         if not left.num_rows or not right.num_rows:
             return empty
         dim = left.column("dim")[0].as_py()
@@ -420,7 +441,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
     place = Window.partitionBy("vec").orderBy("id")
     unique = rows.select("id", "vec", "dim", "norm").distinct().withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1)
     entries = written(unique.groupBy("vec").agg(F.first("dim").alias("dim"), F.first("norm").alias("norm"), F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = written(rows.where("asked").select("id", "dim", "vec").distinct())
+    asked = rows.where("asked").select("id", "dim", "vec").distinct()
+    asked = written(asked.repartition(1 + asked.count() // QUERIES, "id"))
     schemes = vectors.sparkSession.sparkContext.broadcast(_schemes(entries, asked, kind, k, tables, seed, goal))
 
     bucket = ["dim", "band", "tab", "cell"]
@@ -436,6 +458,4 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, tables: int =
 
     left, right = dealt(index, "c", "q", "vec"), dealt(visits, "q", "c", "id")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cell_best(k, kind), _RESULT)
-    once = found.union(_seeded(asked, schemes, kind, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _merged(found.union(_seeded(asked, schemes, kind, k)), k)
