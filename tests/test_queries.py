@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.oracle import connect, difference
 from tidemark.functions.columns import edge_squared
 from tidemark.operators import bias, calendar, folds, ledger, models, simulate
-from tidemark.plans import research, strategies  # noqa: F401
+from tidemark.plans import books, evidence, research, strategies  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 from tidemark.streaming import guards
 
@@ -22,6 +22,7 @@ CHECKED = [
     "join_03_reconcile", "join_09_vintage_as_of", "join_10_as_of", "join_11_bitemporal", "set_05_difference", "win_01_sma_crossover", "win_02_features", "win_05_forward_return", "win_09_ewma_volatility",
     "win_16_research_close", "win_22_trend_monitor", "top_02_cross_momentum_h3_3", "top_03_dual_momentum_h6_6", "top_09_universe", "sig_03_random_selection", "sig_09_orders", "agg_10_matched_activity", "pf_04_gross_cap",
     "sim_01_paired_trades", "ml_01_walk_forward", "ml_13_signed_ranks", "agg_04_hac", "agg_06_max_drawdown", "sb_09_split_records", "led_01_chain", "led_01_verify", "st_02_loss_cap_history", "st_15_rolling_budget", "st_sessions",
+    "agg_02_performance_summary", "agg_26_diagnose", "dq_20_candidates", "join_12_membership", "pf_18_bound_buys", "sb_11_gate", "st_05_equity_observation", "st_08_journal", "win_28_cost_surface",
 ]
 
 
@@ -254,3 +255,48 @@ def test_whole_panel_queries(spark, sf):
         x, y = part.iloc[:, 0], part.iloc[:, 1]
         assert len(part) == 60 and math.isclose(((x - x.mean()) * (y - y.mean())).sum() / 59 * 252, r.cov, rel_tol=1e-4, abs_tol=2e-5)
     assert got.date.min() < date(1996, 1, 1)
+
+
+def test_buys_fractions_and_pots(spark):
+    """Worked by hand: 100 of cash and a cap of 150; quantities of three decimals, then of none."""
+    from tidemark.operators.orders import bound_buys
+
+    rows = [("r", 1, "A", 7.0, 5.0), ("r", 2, "B", 30.0, 4.0), ("r", 3, "C", 1.0, 1.0), ("s", 1, "A", 200.0, 2.0), ("t", 1, "A", 10.0, 0.4)]
+    frame = spark.createDataFrame(rows, "run string, place int, ticker string, price double, quantity double")
+    got = {(r.run, r.place): (r.quantity, r.notional, r.reason) for r in bound_buys(frame, cash=100.0, cap=150.0, minimum=5.0, places=3).collect()}
+    assert got == {("r", 1): (5.0, 35.0, None), ("r", 2): (2.166, 64.98, None), ("r", 3): (None, None, "below_minimum"), ("s", 1): (0.5, 100.0, None), ("t", 1): (None, None, "below_minimum")}
+    whole = {(r.run, r.place): (r.quantity, r.reason) for r in bound_buys(frame, cash=100.0, cap=150.0, minimum=5.0).collect()}
+    assert whole == {("r", 1): (5.0, None), ("r", 2): (2.0, None), ("r", 3): (None, "below_minimum"), ("s", 1): (None, "insufficient_settled_cash"), ("t", 1): (None, "below_one_share")}
+    spent = {r.place: r.reason for r in bound_buys(frame.where("run = 'r'"), cash=500.0, cap=35.0, minimum=5.0).collect()}
+    assert spent == {1: None, 2: "daily_cap", 3: "daily_cap"}
+
+
+def test_withdrawn_vintage(spark):
+    """A vintage that ends without a successor gives way to the date before it."""
+    from tidemark.operators.joins import vintage_as_of
+
+    d = date
+    far = d(9999, 12, 31)
+    series = [("a", d(2020, 1, 1), d(2020, 1, 10), d(2020, 2, 9), 1.0), ("a", d(2020, 1, 1), d(2020, 2, 10), far, 2.0), ("a", d(2020, 2, 1), d(2020, 2, 5), d(2020, 2, 20), 9.0), ("b", d(2020, 1, 1), d(2019, 12, 1), far, 5.0), ("c", d(2020, 1, 1), d(2020, 1, 2), far, None)]
+    frame = spark.createDataFrame(series, "series string, date date, realtime_start date, realtime_end date, value double")
+    days = spark.createDataFrame([(d(2020, 1, 2), 1), (d(2020, 1, 11), 2), (d(2020, 2, 6), 3), (d(2020, 2, 22), 4)], "date date, session_no int")
+    got = {(r.series, r.session): r.value for r in vintage_as_of(frame, days).collect()}
+    assert [got["a", x] for x in (d(2020, 1, 2), d(2020, 1, 11), d(2020, 2, 6), d(2020, 2, 22))] == [None, 1.0, 9.0, 2.0]
+    assert got["b", d(2020, 1, 2)] == 5.0 and got["c", d(2020, 2, 22)] is None
+
+
+def test_observations_stream_is_its_batch(spark, tmp_path):
+    from datetime import datetime
+
+    from tidemark.streaming import flows
+
+    schema = "observation_id string, ts timestamp, digest string"
+    rows = [("x", datetime(2024, 1, 1, 9), "p"), ("x", datetime(2024, 1, 1, 10), "p"), ("y", datetime(2024, 1, 1, 9), "q"), ("x", datetime(2024, 1, 2, 9), "r"), ("y", datetime(2024, 1, 2, 9), "q"), ("z", datetime(2024, 1, 2, 9), "q")]
+    for i, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = flows.first_observations_stream(stream).writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = flows.first_observations(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, spark.sql("select * from seen").collect())) == sorted(map(tuple, want.collect()))
