@@ -21,7 +21,7 @@ CHECKED = [
     "cal_05_market_holidays", "cal_08_nth_session_after", "cal_11_decisions_weekly", "src_04_bars", "src_28_money", "dq_01_bar_violations", "dq_03_split_discontinuities", "dq_18_research_eligibility",
     "join_03_reconcile", "join_09_vintage_as_of", "join_10_as_of", "join_11_bitemporal", "set_05_difference", "win_01_sma_crossover", "win_02_features", "win_05_forward_return", "win_09_ewma_volatility",
     "win_16_research_close", "win_22_trend_monitor", "top_02_cross_momentum_h3_3", "top_03_dual_momentum_h6_6", "top_09_universe", "sig_03_random_selection", "sig_09_orders", "agg_10_matched_activity", "pf_04_gross_cap",
-    "sim_01_paired_trades", "ml_01_walk_forward", "ml_13_signed_ranks", "agg_04_hac", "agg_06_max_drawdown", "sb_09_split_records", "led_01_chain", "led_01_verify", "st_02_loss_cap_history", "st_15_rolling_budget", "st_sessions",
+    "sim_01_paired_trades", "ml_01_walk_forward", "ml_02_inner_splits", "ml_06_walk_forward_ridge", "ml_13_signed_ranks", "agg_04_hac", "agg_06_max_drawdown", "sb_09_split_records", "led_01_chain", "led_01_verify", "st_02_loss_cap_history", "st_15_rolling_budget", "st_sessions",
     "agg_02_performance_summary", "agg_26_diagnose", "dq_20_candidates", "join_12_membership", "pf_18_bound_buys", "sb_11_gate", "st_05_equity_observation", "st_08_journal", "win_28_cost_surface",
 ]
 
@@ -51,9 +51,11 @@ def test_calendar_facts(spark):
     assert calendar.trading_days(spark, date(2021, 1, 2), date(2021, 1, 1)).count() == 0
 
 
-def test_fold_bounds_chain_month_ends():
-    bounds = folds.fold_bounds(date(2021, 1, 31), date(2021, 6, 30), 1, 1)
-    assert [b[1] for b in bounds] == [date(2021, 2, 28), date(2021, 3, 28), date(2021, 4, 28), date(2021, 5, 28), date(2021, 6, 28)]
+def test_fold_bounds_chain_month_ends(spark):
+    rows = [("a", date(2021, 1, 31)), ("a", date(2021, 6, 30)), ("b", date(2021, 3, 1)), ("b", date(2021, 4, 10)), ("c", date(2021, 3, 1))]
+    got = folds._bounds(spark.createDataFrame(rows, "ticker string, date date"), ["ticker"], 1, 1).orderBy("ticker", "fold").collect()
+    assert [r.test_start for r in got if r.ticker == "a"] == [date(2021, 2, 28), date(2021, 3, 28), date(2021, 4, 28), date(2021, 5, 28), date(2021, 6, 28)]
+    assert [(r.ticker, r.fold, r.test_start, r.test_end) for r in got if r.ticker != "a"] == [("b", 0, date(2021, 4, 1), date(2021, 5, 1))]
 
 
 def test_causal_features_ignore_the_future(spark, sf):
@@ -164,11 +166,68 @@ def test_ridge_recovers_a_line(spark):
         x = r.normal(size=2)
         rows.append(("t", 0, "train" if i < 200 else "test", date(2020, 1, 1), i, float(2 * x[0] - x[1]), float(x[0]), float(x[1])))
     frame = spark.createDataFrame(rows, "ticker string, fold int, role string, date date, position int, label double, a double, b double")
-    got = models.walk_forward_predictions(frame, "ridge", ["a", "b"], 1).toPandas()
+    inner = spark.createDataFrame([("t", 0, 0, 100, 150), ("t", 0, 1, 150, 200)], "ticker string, outer_fold int, fold int, test_from int, test_to int")
+    assert {(r.strength, r.tuned) for r in models.walk_forward_predictions(frame, "ridge", ["a", "b"]).collect()} == {(1.0, False)}
+    got = models.walk_forward_predictions(frame, "ridge", ["a", "b"], 1, 1, inner).toPandas()
     want = [x[5] for x in rows[200:]]
     assert len(got) == 100 and np.corrcoef(sorted(got.prediction), sorted(want))[0, 1] > 0.999 and set(got.strength) == {0.1}
 
 
+@pytest.mark.parametrize("name", ["ridge", "logistic"])
+def test_nested_walk_forward_against_brute_force(spark, name):
+    r = np.random.default_rng(7)
+    days = pd.bdate_range("2020-01-15", periods=420)
+    x = r.normal(size=(420, 2))
+    y = x @ [0.3, -0.2] + r.normal(size=420)
+    y = (y > 0).astype(float) if name == "logistic" else y
+    x[[5, 200], 0], y[[50, 219]], horizon, embargo = np.nan, np.nan, 3, 5
+    rows = [("t", d.date(), *(None if np.isnan(v) else float(v) for v in (*x[i], y[i]))) for i, d in enumerate(days)]
+    frame = spark.createDataFrame(rows, "ticker string, date date, a double, b double, label double")
+    args = {"train_months": 6, "test_months": 3}
+    outer = folds.walk_forward(frame, horizon=horizon, embargo=embargo, **args)
+    inner = folds.fold_windows(folds.inner_frames(outer), keys=["ticker", "outer_fold"], **args)
+    found = models.walk_forward_predictions(outer.join(frame, ["ticker", "date"]), name, ["a", "b"], horizon, embargo, inner).collect()
+
+    def splits(where):
+        start, gaps = days[where[0]] + pd.DateOffset(months=6), []
+        while start <= days[where[-1]]:
+            end = start + pd.DateOffset(months=3)
+            test = [k for k, i in enumerate(where) if start <= days[i] < end]
+            train = [k for k in range(test[0] - horizon) if all(not g <= k < g + embargo for g in gaps)]
+            yield [where[k] for k in train], [where[k] for k in test]
+            gaps.append(test[-1] + 1)
+            start = end
+
+    def predict(train, test, strength):
+        train = [i for i in train if not np.isnan([*x[i], y[i]]).any()]
+        m, sd = x[train].mean(0), x[train].std(0)
+        z, t = [np.column_stack([np.ones(len(i)), (x[i] - m) / sd]) for i in (train, test)]
+        w, tgt = np.zeros(3), y[train]
+        pen = np.diag([0, 1.0, 1.0]) * (strength if name == "ridge" else 1 / strength)
+        if name == "ridge":
+            return t @ np.linalg.solve(z.T @ z + pen, z.T @ tgt)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-z @ w))
+            w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + pen, z.T @ (tgt - p) - pen @ w)
+        return 1 / (1 + np.exp(-t @ w))
+
+    def loss(train, test, strength):
+        test = [i for i in test if not np.isnan([*x[i], y[i]]).any()]
+        p, t = predict(train, test, strength), y[test]
+        return np.mean((t - p) ** 2) if name == "ridge" else -np.mean(t * np.log(p) + (1 - t) * np.log(1 - p))
+
+    want = {}
+    for n, (train, test) in enumerate(splits(list(range(420)))):
+        parts = list(splits(train))
+        means = [np.mean([loss(a, b, g) for a, b in parts]) for g in models.GRIDS[name]] if parts else []
+        strength = models.GRIDS[name][int(np.argmin(means))] if parts else 1.0
+        test = [i for i in test if not np.isnan(x[i]).any()]
+        want |= {(n, days[i].date()): (strength, bool(parts), p) for i, p in zip(test, predict(train, test, strength))}
+    got = {(g.fold, g.date): (g.strength, g.tuned, g.prediction) for g in found}
+    assert got.keys() == want.keys() and {v[1] for v in want.values()} == {True, False}
+    assert all(got[k][:2] == want[k][:2] and math.isclose(got[k][2], want[k][2], rel_tol=1e-6, abs_tol=1e-9) for k in want)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("a", date(2020, 1, d), 100.0 + (7 * d) % 11 - d) for d in (*range(2, 11), *range(13, 18))] + [("b", date(2020, 1, 6), 50.0)]
     schema = "account string, session date, equity double"

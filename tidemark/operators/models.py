@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GRIDS = {"ridge": [0.1, 1.0, 10.0, 100.0], "logistic": [0.01, 0.1, 1.0, 10.0]}
+DEFAULT = 1.0
 
 
 def _fit(name: str, x: np.ndarray, y: np.ndarray, strength: float):
@@ -39,38 +40,58 @@ def _score(name: str, y: np.ndarray, p: np.ndarray) -> float:
     return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
 
 
-def walk_forward_predictions(rows: DataFrame, name: str, columns: list[str], horizon: int, parts: int = 4) -> DataFrame:
-    """(ticker, fold, date, strength, prediction) from rows (ticker, fold, role, date, position, label, columns).
+def _tune(name: str, x: np.ndarray, y: np.ndarray, place: np.ndarray, inner: pd.DataFrame, horizon: int, embargo: int) -> tuple[float, bool]:
+    """The grid point of the lowest mean loss over the inner folds, the first on ties; the default where no fold can be scored.
 
-    Per group: scale by the train rows, choose the strength on purged, later parts
-    of the train rows (the first grid point on ties), refit, predict the test rows.
+    Every inner fold scales by its own train rows, so that no validation row reaches the fit.
+    """
+    losses: list[list[float]] = []
+    gaps: list[int] = []
+    for start, end in zip(inner.test_from, inner.test_to):
+        past = place < start - horizon
+        for g in gaps:
+            past &= (place < g) | (place >= g + embargo)
+        gaps.append(end)
+        held = (place >= start) & (place < end)
+        if past.any() and held.any() and (name == "ridge" or len(set(y[past])) > 1):
+            losses.append([_score(name, y[held], _fit_predict(name, x[past], y[past], x[held], s)) for s in GRIDS[name]])
+    return (GRIDS[name][int(np.argmin(np.mean(losses, axis=0)))], True) if losses else (DEFAULT, False)
+
+
+def _fit_predict(name: str, x: np.ndarray, y: np.ndarray, new: np.ndarray, strength: float) -> np.ndarray:
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd[sd == 0] = 1
+    return _apply(name, _fit(name, (x - mean) / sd, y, strength), (new - mean) / sd)
+
+
+def walk_forward_predictions(rows: DataFrame, name: str, columns: list[str], horizon: int = 0, embargo: int = 0, inner: DataFrame | None = None) -> DataFrame:
+    """(ticker, fold, date, strength, tuned, prediction) from rows (ticker, fold, role, date, position, label, columns).
+
+    Per (ticker, fold): choose the strength on the purged, embargoed inner folds, refit on
+    all train rows (scaled by them), predict the test rows.  ``inner`` has (ticker,
+    outer_fold, fold, test_from, test_to) with positions among the fold's train rows;
+    without it the default strength is used.  Rows with a column that is null or not finite are left
+    out, and train rows without a label, but they keep their positions; a logistic fold
+    whose train labels are all equal predicts nothing.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        train, test = group[(group.role == "train") & group.label.notna()], group[group.role == "test"]
-        empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("ticker", object), ("fold", "int32"), ("date", object), ("strength", float), ("prediction", float))})
-        if len(train) < 10 or test.empty or (name == "logistic" and train.label.nunique() < 2):
-            return empty
+    def run(group: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        train, test = group[(group.role == "train") & group.label.notna()].sort_values("place"), group[group.role == "test"].sort_values("place")
+        if train.empty or test.empty or (name == "logistic" and train.label.nunique() < 2):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("ticker", "fold", "date", "strength", "tuned", "prediction")})
         x, y = train[columns].to_numpy(float), train.label.to_numpy(float)
-        mean, sd = x.mean(axis=0), x.std(axis=0)
-        sd[sd == 0] = 1
-        x = (x - mean) / sd
-        scores = []
-        edges = np.linspace(0, len(x), parts + 1).astype(int)
-        for strength in GRIDS[name]:
-            got = []
-            for a, b in zip(edges[1:-1], edges[2:]):
-                past = slice(0, max(0, a - horizon))
-                if len(x[past]) > 5 and b > a and (name == "ridge" or len(set(y[past])) > 1):
-                    got.append(_score(name, y[a:b], _apply(name, _fit(name, x[past], y[past], strength), x[a:b])))
-            scores.append(np.mean(got) if got else 0.0)
-        strength = GRIDS[name][int(np.argmin(scores))]
-        p = _apply(name, _fit(name, x, y, strength), (test[columns].to_numpy(float) - mean) / sd)
-        return pd.DataFrame({"ticker": test.ticker, "fold": test.fold, "date": test.date, "strength": strength, "prediction": p})
-
-    known = rows.where(" and ".join(f"{c} is not null" for c in columns)).select("ticker", "fold", "role", "date", "position", "label", *columns)
-    return known.groupBy("ticker", "fold").applyInPandas(run, "ticker string, fold int, date date, strength double, prediction double")
+        strength, tuned = _tune(name, x, y, train.place.to_numpy(), windows.sort_values("fold"), horizon, embargo)
+        p = _fit_predict(name, x, y, test[columns].to_numpy(float), strength)
+        return pd.DataFrame({"ticker": test.ticker, "fold": test.fold, "date": test.date, "strength": strength, "tuned": tuned, "prediction": p})
+
+    by = Window.partitionBy("ticker", "fold").orderBy("position")  # a fold's train rows all come before its test rows
+    placed = rows.select("ticker", "fold", "role", "date", "position", "label", *columns).withColumn("place", F.row_number().over(by) - 1)
+    known = placed.where(" and ".join(f"abs({c}) < double('infinity')" for c in columns))
+    if inner is None:
+        none = rows.sparkSession.createDataFrame([], "ticker string, outer_fold int, fold int, test_from int, test_to int")
+        return walk_forward_predictions(rows, name, columns, horizon, embargo, none)
+    own = inner.toDF(*inner.columns)  # columns of its own, where both sides come from the same rows
+    return known.groupBy("ticker", "fold").cogroup(own.groupBy("ticker", "outer_fold")).applyInPandas(run, "ticker string, fold int, date date, strength double, tuned boolean, prediction double")
 
 
 def normal_equations(rows: DataFrame, key: str, x: list[str], y: str) -> DataFrame:

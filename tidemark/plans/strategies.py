@@ -292,24 +292,42 @@ def portfolio(spark, d):
 _FOLD_ARGS = {"train_months": 13, "test_months": 12, "horizon": 6, "embargo": 21}
 
 
+_BOUNDS = """, span AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM bars GROUP BY 1),
+bounds AS (SELECT ticker, n::INT AS fold, (lo + to_months(13) + to_months((12 * n)::INT))::DATE AS a, (lo + to_months(13) + to_months((12 * n + 12)::INT))::DATE AS z FROM span, range(60) AS t(n)),
+pos AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS p FROM bars),
+te AS (SELECT x.ticker, b.fold, x.date, x.p FROM pos x JOIN bounds b ON x.ticker = b.ticker AND x.date >= b.a AND x.date < b.z), wn AS (SELECT ticker, fold, min(p) AS f, max(p) + 1 AS g FROM te GROUP BY 1, 2),
+tr AS (SELECT x.ticker, w.fold, x.date, x.p FROM pos x JOIN wn w ON x.ticker = w.ticker AND x.p < w.f - 6 WHERE NOT EXISTS (SELECT 1 FROM wn e WHERE e.ticker = x.ticker AND e.fold < w.fold AND x.p >= e.g AND x.p < e.g + 21))"""
+
+
+@query("ml_01_walk_forward", "bars", _BOUNDS + " SELECT ticker, fold, date, p::INT AS position, 'train' AS role FROM tr UNION ALL SELECT ticker, fold, date, p::INT, 'test' FROM te WHERE (ticker, fold) IN (SELECT DISTINCT ticker, fold FROM tr)")
+def _(spark, d):
+    return folds.walk_forward(src.bars(spark, d), **_FOLD_ARGS)
+
+
 @query(
-    "ml_01_walk_forward",
+    "ml_02_inner_splits",
     "bars",
-    """, RECURSIVE_BOUNDS, pos AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS p FROM bars),
-te AS (SELECT x.ticker, b.fold, x.date, x.p FROM pos x JOIN bounds b ON x.date >= b.a AND x.date < b.z), wn AS (SELECT ticker, fold, min(p) AS f, max(p) + 1 AS g FROM te GROUP BY 1, 2),
-tr AS (SELECT x.ticker, w.fold, x.date, x.p FROM pos x JOIN wn w ON x.ticker = w.ticker AND x.p < w.f - 6 WHERE NOT EXISTS (SELECT 1 FROM wn e WHERE e.ticker = x.ticker AND e.fold < w.fold AND x.p >= e.g AND x.p < e.g + 21))
-SELECT ticker, fold, date, p::INT AS position, 'train' AS role FROM tr UNION ALL SELECT ticker, fold, date, p::INT, 'test' FROM te WHERE (ticker, fold) IN (SELECT DISTINCT ticker, fold FROM tr)""".replace(
-        "RECURSIVE_BOUNDS",
-        "bounds AS (SELECT n::INT AS fold, ((SELECT min(date) FROM bars) + to_months(13) + to_months((12 * n)::INT))::DATE AS a, ((SELECT min(date) FROM bars) + to_months(13) + to_months((12 * n + 12)::INT))::DATE AS z FROM range(60) AS t(n))",
-    ),
+    _BOUNDS
+    + """, ip AS (SELECT ticker, fold AS o, date, row_number() OVER (PARTITION BY ticker, fold ORDER BY date) - 1 AS p FROM tr),
+it AS (SELECT x.ticker, x.o, b.fold, x.date, x.p FROM ip x JOIN bounds b ON x.ticker = b.ticker AND x.date >= b.a AND x.date < b.z), iw AS (SELECT ticker, o, fold, min(p) AS f, max(p) + 1 AS g, max(date) AS hi FROM it GROUP BY 1, 2, 3),
+ir AS (SELECT w.ticker, w.o, w.fold, count(*) AS n, max(x.date) AS last FROM ip x JOIN iw w ON x.ticker = w.ticker AND x.o = w.o AND x.p < w.f - 6 WHERE NOT EXISTS (SELECT 1 FROM iw e WHERE e.ticker = x.ticker AND e.o = x.o AND e.fold < w.fold AND x.p >= e.g AND x.p < e.g + 21) GROUP BY 1, 2, 3)
+SELECT w.ticker, w.o AS outer_fold, w.fold, r.n::BIGINT AS train_rows, r.last AS train_last, (SELECT count(*) FROM it WHERE it.ticker = w.ticker AND it.o = w.o AND it.fold = w.fold)::BIGINT AS test_rows, w.hi AS test_last FROM iw w JOIN ir r ON w.ticker = r.ticker AND w.o = r.o AND w.fold = r.fold""",
 )
 def _(spark, d):
-    return folds.walk_forward(spark, src.bars(spark, d), **_FOLD_ARGS)
+    inner = folds.walk_forward(folds.inner_frames(folds.walk_forward(src.bars(spark, d), **_FOLD_ARGS)), keys=["ticker", "outer_fold"], **_FOLD_ARGS)
+    measures = [f(F.when(F.col("role") == r, F.col("date"))).alias(f"{r}_{n}") for r in ("train", "test") for n, f in (("rows", F.count), ("last", F.max))]
+    return inner.groupBy("ticker", "outer_fold", "fold").agg(*measures)
 
 
 def _fold_rows(spark, d, label):
     f = win.features(src.bars(spark, d)).withColumn("label", label)
-    return folds.walk_forward(spark, f, **_FOLD_ARGS).join(f.drop("open", "high", "low", "close", "volume"), ["ticker", "date"])
+    return folds.walk_forward(f, **_FOLD_ARGS).join(f.drop("open", "high", "low", "close", "volume"), ["ticker", "date"])
+
+
+def _nested(spark, d, name, label):
+    outer = folds.walk_forward(src.bars(spark, d), **_FOLD_ARGS)
+    inner = folds.fold_windows(folds.inner_frames(outer), train_months=13, test_months=12, keys=["ticker", "outer_fold"])
+    return models.walk_forward_predictions(_fold_rows(spark, d, label), name, _COLUMNS, _FOLD_ARGS["horizon"], _FOLD_ARGS["embargo"], inner)
 
 
 _COLUMNS = ["log_return", "volatility", "sma_spread", "close_to_short", "relative_volume"]
@@ -317,18 +335,32 @@ _COLUMNS = ["log_return", "volatility", "sma_spread", "close_to_short", "relativ
 
 @query("ml_08_nested_ridge")
 def _(spark, d):
-    return models.walk_forward_predictions(_fold_rows(spark, d, F.col("label")), "ridge", _COLUMNS, 6)
+    return _nested(spark, d, "ridge", F.col("label"))
 
 
 @query("ml_08_nested_logistic")
 def _(spark, d):
-    return models.walk_forward_predictions(_fold_rows(spark, d, (F.col("label") > 0).cast("double")), "logistic", _COLUMNS, 6)
+    return _nested(spark, d, "logistic", (F.col("label") > 0).cast("double"))
 
 
 _FEAT = f""", fa AS (SELECT *, {_LR} AS lr, {_roll("avg", "close", 10)} AS s, ln(lead(open, 6) OVER ({_W}) / lead(open) OVER ({_W})) AS label FROM bars), ff AS (SELECT ticker, date, lr, close / s - 1 AS cts, label FROM fa),
 known AS (SELECT * FROM ff WHERE lr IS NOT NULL AND cts IS NOT NULL AND label IS NOT NULL)"""
 
 
+@query(
+    "ml_06_walk_forward_ridge",
+    "bars",
+    _FEAT
+    + _BOUNDS
+    + """, k AS (SELECT tr.fold, n.* FROM tr JOIN known n ON n.ticker = tr.ticker AND n.date = tr.date),
+m AS (SELECT ticker, fold, count(*) AS n, avg(lr) AS ma, avg(cts) AS mb, avg(label) AS mt, stddev_pop(lr) AS sa, stddev_pop(cts) AS sb, covar_pop(lr, cts) AS ab, covar_pop(lr, label) AS lt, covar_pop(cts, label) AS ct FROM k GROUP BY 1, 2),
+c AS (SELECT *, n * ab / (sa * sb) AS o, n * lt / sa AS u, n * ct / sb AS v FROM m), w AS (SELECT *, (u * (n + 1) - v * o) / ((n + 1) * (n + 1) - o * o) AS wa, (v * (n + 1) - u * o) / ((n + 1) * (n + 1) - o * o) AS wb FROM c)
+SELECT w.ticker, w.fold, x.date, round(mt + wa * (lr - ma) / sa + wb * (cts - mb) / sb, 9) + 0.0 AS prediction FROM w JOIN te ON te.ticker = w.ticker AND te.fold = w.fold JOIN ff x ON x.ticker = te.ticker AND x.date = te.date WHERE lr IS NOT NULL AND cts IS NOT NULL""",
+)
+def _(spark, d):
+    return rounded(models.walk_forward_predictions(_fold_rows(spark, d, F.col("label")), "ridge", ["log_return", "close_to_short"]).select("ticker", "fold", "date", "prediction"), 9)
+
+
 @query(
     "ml_05_normal_equations",
     "bars",
