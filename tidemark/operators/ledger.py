@@ -49,3 +49,50 @@ def drill(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def open_intents(intents: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
     return intents.join(outcomes.select(key), key, "left_anti")
+
+
+def flattened(document: Column, depth: int = 3) -> Column:
+    """A JSON object as a sorted array of (path, value): nested objects become dotted paths down to ``depth``, values keep
+    their JSON text.  Null for a text that is no object."""
+
+    def entries(text: Column, levels: int) -> Column:
+        own = F.map_entries(F.from_json(text, "map<string,string>"))
+        if levels == 1:
+            return F.transform(own, lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+
+        def deeper(e: Column) -> Column:
+            below = F.transform(entries(e["value"], levels - 1), lambda b: F.struct(F.concat_ws(".", e["key"], b["path"]).alias("path"), b["value"].alias("value")))
+            return F.when(e["value"].startswith("{"), below).otherwise(F.array(F.struct(e["key"].alias("path"), e["value"].alias("value"))))
+
+        return F.flatten(F.transform(own, deeper))
+
+    return F.array_sort(entries(document, depth))
+
+
+def changed_paths(frozen: Column, source: Column) -> Column:
+    """Sorted paths of two flattened documents that only one has, or that differ."""
+    once = F.array_union(F.array_except(frozen, source), F.array_except(source, frozen))
+    return F.array_sort(F.array_distinct(F.transform(once, lambda e: e["path"])))
+
+
+def first_difference(frozen: Column, source: Column) -> Column:
+    """The first changed path; null where the documents agree."""
+    return F.get(changed_paths(frozen, source), 0)
+
+
+def additions(frozen: Column, source: Column) -> Column:
+    """(added, refused): new paths may be added; a path the frozen document has may be neither changed nor dropped."""
+    known = F.transform(frozen, lambda e: e["path"])
+    changed = changed_paths(frozen, source)
+    return F.struct(F.array_except(changed, known).alias("added"), F.array_intersect(changed, known).alias("refused"))
+
+
+def amended(amendments: DataFrame) -> DataFrame:
+    """Amendments (family, seq, key, value) with ``state``: added (the key's first), repeated (the value it has), or refused
+    (another value).  The chain starts at 1 without gaps; what follows a gap is refused as well."""
+    first = Window.partitionBy("family", "key").orderBy("seq")
+    chain = Window.partitionBy("family").orderBy("seq")
+    gap = F.col("seq") != F.coalesce(F.lag("seq").over(chain), F.lit(0)) + 1
+    rows = amendments.withColumn("_gap", gap).withColumns({"_broken": F.max("_gap").over(chain), "_n": F.row_number().over(first), "_v": F.first("value").over(first)})
+    state = F.when(F.col("_broken"), "refused").when(F.col("_n") == 1, "added").when(F.col("value").eqNullSafe(F.col("_v")), "repeated").otherwise("refused")
+    return rows.withColumn("state", state).drop("_gap", "_broken", "_n", "_v")

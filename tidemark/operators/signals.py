@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -179,3 +180,19 @@ def carried_selection(selection: DataFrame, decides: Column) -> DataFrame:
     """The selection of decision rows carried on to the next one, only where there is a close."""
     kept = F.last(F.when(decides, F.col("held")), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
     return selection.withColumn("held", F.coalesce(kept, F.lit(False)) & F.col("close").isNotNull())
+
+
+def random_selections(panel: DataFrame, decisions: DataFrame, seeds: list[int], **rates: float) -> DataFrame:
+    """A random selection for each of two or more different seeds, told apart by ``seed``."""
+    if len(set(seeds)) < 2 or len(set(seeds)) < len(seeds):
+        raise ValueError("two or more different seeds are wanted")
+    books = [random_selection(panel, decisions, seed=s, **rates).withColumn("seed", F.lit(s)) for s in seeds]
+    return reduce(DataFrame.unionByName, books)
+
+
+def covered_signal(rows: DataFrame) -> DataFrame:
+    """Orders of a position and ``first_covered``, the ticker's first row (from 1) with a prediction; null without any."""
+    n = F.row_number().over(by_ticker())
+    out = orders_of(rows).withColumn("_n", n)
+    covered = F.min(F.when(F.col("prediction").isNotNull(), F.col("_n"))).over(Window.partitionBy("ticker"))
+    return out.withColumn("first_covered", covered).drop("_n")
