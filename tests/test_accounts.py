@@ -65,3 +65,35 @@ def test_empty_tables(spark):
     assert accounts.allocation_plan(none, equity=1.0).count() == 0
     assert accounts.unit_root(none, "ticker", "date", "close").count() == 0
     assert accounts.replay_verdict(spark.createDataFrame([], "k string, error boolean, aborted boolean, denials int"), "k").count() == 0
+
+
+def test_champions_against_a_stack(spark):
+    rng = np.random.default_rng(3)
+    rows = [(r, i, "promote" if rng.random() < 0.5 else "rollback", f"m{i}") for r in ("a", "b") for i in range(80)]
+    got = {(x.registry, x.seq): x.champion for x in accounts.champions(spark.createDataFrame(rows, "registry string, seq int, event string, model string")).collect()}
+    stacks = {"a": [], "b": []}
+    for r, i, event, model in rows:
+        if event == "promote":
+            stacks[r].append(model)
+        elif stacks[r]:
+            stacks[r].pop()
+        assert got[(r, i)] == (stacks[r][-1] if stacks[r] else None)
+
+
+def test_round_trips_are_apart_and_need_room(spark):
+    days = [D(2020, 1, 1) + dt.timedelta(days=i) for i in range(25)]
+    bars = spark.createDataFrame([("t", d) for d in days], "ticker string, date date")
+    for seed in (1, 2):
+        got = signals.random_round_trips(bars, 4, 5, seed).orderBy("trip").collect()
+        assert len(got) == 4 and all((r.exit - r.entry).days == 5 for r in got)
+        assert all((b.entry - a.exit).days >= 1 for a, b in zip(got, got[1:]))
+    with pytest.raises(Exception, match="too few rows"):
+        signals.random_round_trips(bars.where("date < DATE '2020-01-24'"), 4, 5, 1).collect()
+
+
+def test_kill_on_a_weekend_counts_from_the_session_before(spark):
+    sessions = spark.createDataFrame([(D(2020, 1, d), n) for n, d in enumerate((2, 3, 6, 7, 8), 1)], "date date, session_no int")
+    kills = spark.createDataFrame([("p", D(2020, 1, 4)), ("q", D(2020, 1, 8)), ("r", None)], "profile string, day date")
+    one = lambda d: spark.createDataFrame([("p", d)], "profile string, session date")
+    got = accounts.skipped_while_killed(kills, sessions, one(D(2020, 1, 7)), one(D(2020, 1, 3))).collect()
+    assert {(r.profile, r.session) for r in got} == {("p", D(2020, 1, 6)), ("p", D(2020, 1, 8))}

@@ -107,3 +107,54 @@ def may_publish(permission: Column) -> Column:
 def capable(declared: Column, capability: Column) -> Column:
     """Whether a declared list names a capability; no list, none."""
     return F.coalesce(F.array_contains(declared, capability), F.lit(False))
+
+
+def skipped_while_killed(kills: DataFrame, sessions: DataFrame, runs: DataFrame, leases: DataFrame) -> DataFrame:
+    """Sessions (profile, session) after the day of a profile's kill (profile, day) up to the calendar's end, with neither a
+    run nor a lease (profile, session).  A kill on no session counts from the session before it."""
+    days = F.broadcast(sessions.select("date", "session_no"))  # a calendar is a bounded table
+    until = sessions.select("date", F.col("session_no").alias("_no"), F.lead("date").over(Window.orderBy("date")).alias("_next"))
+    known = until.select("_no", F.explode(F.sequence("date", F.coalesce(F.date_sub("_next", 1), F.col("date")))).alias("day"))
+    at = kills.join(F.broadcast(known), "day")
+    span = F.broadcast(sessions.agg(F.max("session_no").alias("_last")))
+    later = at.crossJoin(span).where("_no < _last").select("profile", F.explode(F.sequence(F.col("_no") + 1, F.col("_last"))).alias("session_no"))
+    later = later.join(days, "session_no").select("profile", F.col("date").alias("session"))
+    return later.join(runs, ["profile", "session"], "left_anti").join(leases, ["profile", "session"], "left_anti")
+
+
+def price_guard(prices: DataFrame, key: str) -> DataFrame:
+    """Per key: rows, and counts of missing dates, missing or non-positive closes, and dates that come again."""
+    again = F.row_number().over(Window.partitionBy(key, "date").orderBy(F.lit(1))) > 1
+    rows = prices.withColumn("_again", again & F.col("date").isNotNull())
+    return rows.groupBy(key).agg(F.count("*").alias("rows"), F.count_if(F.col("date").isNull()).alias("no_date"), F.count_if(F.col("close").isNull()).alias("no_close"), F.count_if(F.col("close") <= 0).alias("not_positive"), F.count_if("_again").alias("repeated"))
+
+
+def dividend_map(actions: DataFrame) -> DataFrame:
+    """One row per ticker and ex-date with amount and basis; where a date has several dividends both are null and ``repeats`` tells how many."""
+    d = actions.where("kind = 'dividend'").groupBy("ticker", "date").agg(F.count("*").alias("repeats"), F.min("value").alias("_v"), F.min("basis").alias("_b"))
+    one = F.col("repeats") == 1
+    return d.select("ticker", "date", F.when(one, F.col("_v")).alias("amount"), F.when(one, F.col("_b")).alias("basis"), "repeats")
+
+
+def promotions(requests: DataFrame, *, most_age: int, least_shadow: int = 20) -> DataFrame:
+    """requests (model, evidence, bound, age, shadow): promoted, or the first reason why not.  Ages are in sessions."""
+    why = screens.first_reason(("no_evidence", F.col("evidence").isNull()), ("not_bound", ~F.coalesce("bound", F.lit(False))), ("stale_evidence", ~F.coalesce(F.col("age") <= most_age, F.lit(False))), ("short_shadow", ~F.coalesce(F.col("shadow") >= least_shadow, F.lit(False))))
+    return requests.withColumn("decision", F.coalesce(why, F.lit("promoted")))
+
+
+def champions(events: DataFrame) -> DataFrame:
+    """The champion after each event (registry, seq, event, model): a promote pushes its model, a rollback pops; a rollback of
+    nothing changes nothing.  The stack's top is the last push that reached the present depth, so no stack is kept."""
+    order = Window.partitionBy("registry").orderBy("seq")
+    step = F.when(F.col("event") == "promote", 1).otherwise(-1)
+    rows = events.withColumn("_s", F.sum(step).over(order))
+    rows = rows.withColumn("depth", (F.col("_s") - F.least(F.min("_s").over(order), F.lit(0))).cast("int"))
+    top = F.last(F.when(F.col("event") == "promote", F.col("model")), ignorenulls=True).over(Window.partitionBy("registry", "depth").orderBy("seq"))
+    return rows.withColumn("champion", F.when(F.col("depth") > 0, top)).drop("_s")
+
+
+def family_verdict(selected: DataFrame, gate: DataFrame, holdout: DataFrame) -> DataFrame:
+    """selected (family, ticker) with the verdicts of its gate and holdout check; a missing verdict fails."""
+    rows = selected.join(gate.select("ticker", F.col("verdict").alias("_g")), "ticker", "left").join(holdout.select("ticker", F.col("verdict").alias("_h")), "ticker", "left")
+    failing = screens.reasons(("gate", F.coalesce(F.col("_g") != "passed", F.lit(True))), ("holdout", F.coalesce(F.col("_h") != "passed", F.lit(True))))
+    return rows.select("family", "ticker", failing.alias("failing")).withColumn("verdict", F.when(F.col("failing") == "", "passed").otherwise("failed"))

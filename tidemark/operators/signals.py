@@ -196,3 +196,21 @@ def covered_signal(rows: DataFrame) -> DataFrame:
     out = orders_of(rows).withColumn("_n", n)
     covered = F.min(F.when(F.col("prediction").isNotNull(), F.col("_n"))).over(Window.partitionBy("ticker"))
     return out.withColumn("first_covered", covered).drop("_n")
+
+
+def random_round_trips(bars: DataFrame, trips: int, hold: int, seed: int) -> DataFrame:
+    """Per ticker, ``trips`` round trips of ``hold`` rows with at least a row between two: (ticker, trip, entry, exit).
+
+    The trips' slots are the rows with the smallest uniforms among the first rows - trips * hold - 1; each slot then moves by the trips
+    before it, so every arrangement is as likely.  A ticker with fewer than trips * (hold + 1) + 1 rows raises.
+    """
+    by = Window.partitionBy("ticker")
+    rows = bars.select("ticker", "date", (F.row_number().over(by_ticker()) - 1).alias("k"), F.count("*").over(by).alias("m"))
+    room = F.when(F.col("m") >= trips * (hold + 1) + 1, F.col("m") - trips * hold).otherwise(F.raise_error(F.concat(F.lit("too few rows for the trips of "), F.col("ticker"))).cast("long"))
+    u = uniform(F.concat_ws("|", F.lit(str(seed)), F.col("ticker"), F.col("k").cast("string")))
+    slots = rows.where(F.col("k") < room - 1).withColumn("n", F.row_number().over(by.orderBy(u, "k"))).where(F.col("n") <= trips)
+    slots = slots.select("ticker", F.row_number().over(by.orderBy("k")).alias("trip"), "k")
+    entry = F.col("k") + (F.col("trip") - 1) * hold
+    ends = slots.select("ticker", "trip", F.explode(F.array(F.struct(entry.alias("k"), F.lit(True).alias("in")), F.struct((entry + hold).alias("k"), F.lit(False).alias("in")))).alias("e")).select("ticker", "trip", "e.*")
+    found = ends.join(rows.select("ticker", "date", "k"), ["ticker", "k"])
+    return found.groupBy("ticker", "trip").agg(F.max(F.when(F.col("in"), F.col("date"))).alias("entry"), F.max(F.when(~F.col("in"), F.col("date"))).alias("exit"))

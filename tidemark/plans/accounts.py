@@ -179,3 +179,58 @@ _R3 = ORACLE_SQL["sig_03_random_selection"]
 def _(spark, d):
     decisions = cal.decision_sessions(src.sessions_of(spark, src.bars(spark, d)), "monthly")
     return signals.random_selections(_panel(spark, d), decisions, [7, 11], enter=0.45, leave=0.4, start=0.5).select("seed", "ticker", "date", "held")
+
+
+_SLOT = "(CAST('0x' || substr(md5('5|' || ticker || '|' || k), 1, 13) AS UBIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
+@query("sig_02_random_round_trips", "bars", f", r AS (SELECT ticker, date, row_number() OVER ({_W}) - 1 AS k, count(*) OVER (PARTITION BY ticker) AS m FROM bars), s AS (SELECT ticker, k FROM r WHERE k < m - 101 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY {_SLOT}, k) <= 20), t AS (SELECT ticker, k, row_number() OVER (PARTITION BY ticker ORDER BY k) AS trip FROM s) SELECT t.ticker, trip::INT AS trip, a.date AS entry, b.date AS exit FROM t JOIN r a ON a.ticker = t.ticker AND a.k = t.k + (trip - 1) * 5 JOIN r b ON b.ticker = t.ticker AND b.k = t.k + trip * 5")
+def _(spark, d):
+    return signals.random_round_trips(src.bars(spark, d), 20, 5, 5)
+
+
+@query("cal_14_skipped_while_killed", "sessions", ", e AS (SELECT o_custkey AS profile, CAST(o_orderdate AS DATE) AS session, o_orderkey FROM orders), k AS (SELECT profile, max(session) AS day FROM e WHERE o_orderkey % 4 = 0 GROUP BY 1) SELECT k.profile, s.date AS session FROM k JOIN sessions s ON s.date > k.day WHERE k.day >= (SELECT min(date) FROM sessions) AND (k.profile, s.date) NOT IN (SELECT (profile, session) FROM e WHERE o_orderkey % 4 <> 0)")
+def _(spark, d):
+    e = src.table(spark, d, "orders").select(F.col("o_custkey").alias("profile"), F.to_date("o_orderdate").alias("session"), F.col("o_orderkey").alias("k"))
+    kills = e.where("k % 4 = 0").groupBy("profile").agg(F.max("session").alias("day"))
+    return accounts.skipped_while_killed(kills, src.sessions_of(spark, src.bars(spark, d)), e.where("k % 4 IN (1, 2)").select("profile", "session"), e.where("k % 4 = 3").select("profile", "session"))
+
+
+@query("dq_14_price_guard", "bars", ", p AS (SELECT ticker, CASE WHEN day(date) = 9 THEN date - 1 WHEN day(date) <> 4 THEN date END AS date, CASE WHEN month(date) = 3 THEN NULL WHEN month(date) = 4 THEN -close ELSE close END AS close FROM bars), q AS (SELECT *, count(*) OVER (PARTITION BY ticker, date) AS n FROM p) SELECT ticker, count(*)::BIGINT AS rows, count(*) FILTER (WHERE date IS NULL)::BIGINT AS no_date, count(*) FILTER (WHERE close IS NULL)::BIGINT AS no_close, count(*) FILTER (WHERE close <= 0)::BIGINT AS not_positive, (count(date) - count(DISTINCT date))::BIGINT AS repeated FROM q GROUP BY 1")
+def _(spark, d):
+    c, m, day = F.col("close"), F.month("date"), F.dayofmonth("date")
+    p = src.bars(spark, d).select("ticker", F.when(day == 9, F.date_sub("date", 1)).when(day != 4, F.col("date")).alias("date"), F.when(m == 3, F.lit(None)).when(m == 4, -c).otherwise(c).alias("close"))
+    return accounts.price_guard(p, "ticker")
+
+
+@query("aux_08_dividend_map", "actions", ", a AS (SELECT ticker, date, value FROM actions WHERE kind = 'dividend' UNION ALL SELECT ticker, date, value FROM actions WHERE kind = 'dividend' AND day(date) % 3 = 0) SELECT ticker, date, CASE WHEN count(*) = 1 THEN min(value) END AS amount, CASE WHEN count(*) = 1 THEN 'as_paid' END AS basis, count(*)::BIGINT AS repeats FROM a GROUP BY 1, 2")
+def _(spark, d):
+    a = src.actions(spark, d).withColumn("basis", F.lit("as_paid"))
+    return accounts.dividend_map(a.union(a.where(F.dayofmonth("date") % 3 == 0)))
+
+
+@query("aux_25_promotions", "", "SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'no_evidence' WHEN o_orderstatus = 'P' THEN 'not_bound' WHEN o_custkey % 12 > 9 THEN 'stale_evidence' WHEN o_orderkey % 60 < 20 THEN 'short_shadow' ELSE 'promoted' END AS decision FROM orders")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    r = src.table(spark, d, "orders").select(k, F.when(k % 19 != 0, F.md5(k.cast("string"))).alias("evidence"), (F.col("o_orderstatus") != "P").alias("bound"), (F.col("o_custkey") % 12).alias("age"), (k % 60).alias("shadow"))
+    return accounts.promotions(r, most_age=9).select("o_orderkey", "decision")
+
+
+@query("aux_26_champions", "", "WITH e AS (SELECT o_custkey AS registry, o_orderkey AS seq, CASE WHEN o_orderstatus = 'O' THEN 'rollback' ELSE 'promote' END AS event, 'm' || o_orderkey AS model FROM orders), a AS (SELECT *, sum(CASE event WHEN 'promote' THEN 1 ELSE -1 END) OVER w AS s FROM e WINDOW w AS (PARTITION BY registry ORDER BY seq)), b AS (SELECT *, s - least(min(s) OVER (PARTITION BY registry ORDER BY seq), 0) AS depth FROM a) SELECT b.registry, b.seq, b.depth::INT AS depth, CASE WHEN b.depth > 0 THEN (SELECT max_by(p.model, p.seq) FROM b p WHERE p.registry = b.registry AND p.seq <= b.seq AND p.event = 'promote' AND p.depth = b.depth) END AS champion FROM b")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    e = src.table(spark, d, "orders").select(F.col("o_custkey").alias("registry"), k.alias("seq"), F.when(F.col("o_orderstatus") == "O", "rollback").otherwise("promote").alias("event"), F.concat(F.lit("m"), k).alias("model"))
+    return accounts.champions(e).select("registry", "seq", "depth", "champion")
+
+
+@query("sb_14_family_verdict", "", f"SELECT w.family, w.ticker, concat_ws(',', CASE WHEN g.verdict <> 'passed' THEN 'gate' END, CASE WHEN h.verdict <> 'passed' THEN 'holdout' END) AS failing, CASE WHEN g.verdict = 'passed' AND h.verdict = 'passed' THEN 'passed' ELSE 'failed' END AS verdict FROM ({ORACLE_SQL['top_10_winner']}) w JOIN ({ORACLE_SQL['sb_11_gate']}) g USING (ticker) JOIN ({ORACLE_SQL['sb_13_holdout_check']}) h USING (ticker)")
+def _(spark, d):
+    return accounts.family_verdict(*(QUERIES[n](spark, d) for n in ("top_10_winner", "sb_11_gate", "sb_13_holdout_check")))
+
+
+@query("agg_34_family_report", "", f"SELECT right(ticker, 1) AS family, ticker, s.sharpe, h.t, round(avg(s.sharpe) OVER f, 5) AS family_mean, round(stddev_samp(s.sharpe) OVER f, 5) AS family_deviation, max(s.sharpe) OVER f AS family_most FROM ({ORACLE_SQL['agg_07_series_stats']}) s JOIN ({ORACLE_SQL['agg_04_hac']}) h USING (ticker) WINDOW f AS (PARTITION BY right(ticker, 1))")
+def _(spark, d):
+    s = QUERIES["agg_07_series_stats"](spark, d).select("ticker", "sharpe").join(QUERIES["agg_04_hac"](spark, d).select("ticker", "t"), "ticker")
+    f = Window.partitionBy("family")
+    s = s.withColumn("family", F.substring("ticker", -1, 1))
+    return rounded(s.select("family", "ticker", "sharpe", "t", F.avg("sharpe").over(f).alias("family_mean"), F.stddev_samp("sharpe").over(f).alias("family_deviation"), F.max("sharpe").over(f).alias("family_most")), 5, sharpe=15, t=15, family_most=15)
