@@ -104,3 +104,16 @@ def equal_weight_volatility(selection: DataFrame, target: float) -> DataFrame:
     """1 / k for each of k held names, times target over volatility where that is less than 1; wants held, volatility."""
     k = F.sum(F.col("held").cast("int")).over(by_date())
     return selection.withColumn("weight", F.when(F.col("held"), F.least(F.lit(1.0), target / F.col("volatility")) / k).otherwise(0.0))
+
+
+def target_weights(rows: DataFrame, correlation: DataFrame, *, target: float, name_cap: float, cap: float) -> DataFrame:
+    """The chain from confidence to weight, whose order matters: volatility target, cap of a name, overlap with the names held,
+    gross cap of a session, halted entries.
+
+    Wants rows (date, ticker, confidence, volatility, current, halted).  A name whose overlap is unknown has a null weight and
+    takes no part in the gross cap.
+    """
+    alone = F.coalesce(F.least(volatility_target(F.col("confidence"), F.col("volatility"), target), F.lit(name_cap)), F.lit(0.0))
+    adjusted = correlation_adjusted(rows.withColumn("weight", alone), correlation)
+    capped = adjusted.withColumn("_capped", gross_cap(F.col("adjusted"), cap))
+    return capped.withColumn("weight", F.when(F.col("_capped").isNotNull(), entry_halt(F.col("_capped"), F.col("current"), F.col("halted")))).drop("_capped", "adjusted", "overlap")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.operators import accounts, joins, ledger, signals, sizing
 from tidemark.operators import calendar as cal
 from tidemark.operators import windows as win
+from tidemark.plans import books  # noqa: F401  (SQL here is built on its SQL)
 from tidemark.plans.base_sql import with_frames
 from tidemark.plans.evidence import _CLS
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tidemark.plans.research import _SMA, _W
-from tidemark.plans.strategies import _DECIDES, _FILLED, _HELD, _POS, _RUN, _crossings, _panel, _positions, _returns, _weekly
+from tidemark.plans.strategies import _DECIDES, _FILLED, _HELD, _OBS, _POS, _RUN, _VOL, _crossings, _panel, _positions, _returns, _weekly
 from tidemark.sources import frames as src
 
 # accounts and evidence
@@ -234,3 +235,25 @@ def _(spark, d):
     f = Window.partitionBy("family")
     s = s.withColumn("family", F.substring("ticker", -1, 1))
     return rounded(s.select("family", "ticker", "sharpe", "t", F.avg("sharpe").over(f).alias("family_mean"), F.stddev_samp("sharpe").over(f).alias("family_deviation"), F.max("sharpe").over(f).alias("family_most")), 5, sharpe=15, t=15, family_most=15)
+
+
+_P3 = ORACLE_SQL["pf_03_correlation_adjusted"]
+_PF6 = (
+    _VOL.replace("vol > 0", "vol > 1e-9")
+    + f", w AS (SELECT date, ticker, CASE WHEN {_OBS(61)} THEN least(w, 0.08::DOUBLE) ELSE 0 END AS weight FROM ft),\n"
+    + _P3[_P3.index("pr AS (SELECT a.session_no") :].replace("\nSELECT w.date", ", adj AS (SELECT w.date", 1).replace("round(w.weight / (1 + coalesce(ov.s, 0)), 6)", "w.weight / (1 + coalesce(ov.s, 0))")
+    + "), gc AS (SELECT *, CASE WHEN sum(adjusted) OVER (PARTITION BY date) > 0.2 THEN adjusted * 0.2::DOUBLE / sum(adjusted) OVER (PARTITION BY date) ELSE adjusted END AS g FROM adj) SELECT date, ticker, round(CASE WHEN month(date) = 10 THEN CASE WHEN g IS NOT NULL THEN least(g, 0.002::DOUBLE) END ELSE g END, 5) AS weight FROM gc"
+)
+
+
+@query("pf_06_target_weights", "panel", _PF6)
+def _(spark, d):
+    p = _weekly(spark, d)
+    r = F.col("log_return")
+    vol = win.full(F.stddev_samp(r), r, win.by_ticker(), 20) * F.sqrt(F.lit(252.0))
+    held = signals.risk_parity(p).select("date", "ticker", F.col("held").cast("double").alias("confidence"))
+    v = win.panel_log_returns(p).select("date", "ticker", vol.alias("volatility"))
+    rows = v.withColumn("volatility", F.when(F.col("volatility") > 1e-9, F.col("volatility"))).join(held, ["date", "ticker"])
+    rows = rows.withColumns({"current": F.lit(0.002), "halted": F.month("date") == 10})
+    correlation = win.trailing_correlation(p, 60).withColumn("correlation", F.round("correlation", 8))
+    return rounded(sizing.target_weights(rows, correlation, target=0.1, name_cap=0.08, cap=0.2).select("date", "ticker", "weight"), 5)
