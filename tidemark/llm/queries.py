@@ -15,6 +15,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import co_train, score_quality
+from tidemark.llm.token_align import Tokenizers, alignment_digests
 from tidemark.llm.url_filter import url_filter
 
 
@@ -64,6 +65,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"), threshold=0.8)
 
 
+TOKENIZER_FILES = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(read(spark, sf_dir, "documents"), Tokenizers.read(*TOKENIZER_FILES))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -75,6 +83,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op13_token_align": op13_token_align,
 }
 
 _SPACE = "E' \\t\\n\\x0b\\x0c\\r'"
