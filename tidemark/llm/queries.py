@@ -15,6 +15,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_jaccard_join
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import co_train, score_quality
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.token_align import Tokenizers, alignment_digests
 from tidemark.llm.url_filter import url_filter
 
@@ -65,6 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"), min_chars=5, min_count=3, garble=97)
+
+
 TOKENIZER_FILES = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling": op11_spelling,
     "op13_token_align": op13_token_align,
 }
 
