@@ -17,6 +17,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.quality import co_train, score_quality
 from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.token_align import Tokenizers, alignment_digests
+from tidemark.llm.toxicity import fit_toxicity, toxicity_scores
 from tidemark.llm.url_filter import url_filter
 
 
@@ -70,6 +71,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"), min_chars=5, min_count=3, garble=97)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = fit_toxicity(docs.join(labels, "doc_id").where(~held_out), fit_rows=5000, fit_chars=40_000)
+    return toxicity_scores(docs, model, threshold=0.5).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_windows", "worst_word")
+
+
 TOKENIZER_FILES = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -89,6 +97,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
     "op11_spelling": op11_spelling,
+    "op12_toxicity": op12_toxicity,
     "op13_token_align": op13_token_align,
 }
 

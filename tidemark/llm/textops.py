@@ -85,14 +85,17 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarr
 
 
 class Words:
-    """Word hashes of a slice: ``hash``, ``doc`` (row in the slice) and ``bounds`` (first word of each row)."""
+    """Word hashes of a slice: ``hash``, ``doc`` (row in the slice) and ``bounds`` (first word of each row).
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    Words are runs of the bytes that ``is_word`` marks.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD):
         n, rows = len(raw), len(offsets) - 1
         self.start = self.end = np.zeros(0, np.int64)
         self.hash = np.zeros(0, _U)
         if n:
-            inside = _IS_WORD[raw]
+            inside = is_word[raw]
             edge = np.zeros(n + 1, bool)  # a row's first byte starts a word even after another row's word
             edge[offsets] = True
             first = inside & edge[:n]
