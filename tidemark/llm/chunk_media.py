@@ -176,9 +176,19 @@ def chunk_store(docs: DataFrame, lists: DataFrame, foreign: DataFrame) -> DataFr
     size = lists.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     name = f"tidemark_chunks_{uuid.uuid4().hex}"
     owned = payloads(docs).join(skipped, "payload_id", "left").select("payload_id", "packed", "skipped").mapInArrow(run, _STORE)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 26)  # with fewer than the session's, joins would shuffle the store again
+    here = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(size, here, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    if buckets != here:  # a task then writes one bucket, not a file in each
+        owned = owned.repartition(buckets, "payload_id")
     owned.write.bucketBy(buckets, "payload_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    store = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog forgets it; its files stay until the intermediates go
+    return store
+
+
+def bucket_count(size: int, partitions: int, most: int) -> int:
+    """Buckets of about 64 MB; with fewer than the session's partitions joins would shuffle the store again, and Spark refuses more than ``most``."""
+    return min(max(partitions, size >> 26), most)
 
 
 def _chunks(digests: list[bytes], sizes: list[int], body: bytes) -> dict[bytes, bytes]:
