@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import chunk_media as media
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import components
-from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams, template_words, window_sizes
+from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams, template_words
 from tidemark.llm.line_dedup import drop_lines, line_dedup, line_digests
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import entropy_of, find_alpha, mix, mix_rows, passes_of, weights_at
@@ -246,6 +246,24 @@ def test_nearest_ties_and_odd_vectors(spark):
     assert by[80] == [(81, 3.0)]
 
 
+def test_bucket_count():
+    assert media.bucket_count(1 << 20, 12, 100_000) == 12
+    assert media.bucket_count(100 << 26, 12, 100_000) == 100
+    assert media.bucket_count(1 << 60, 12, 100_000) == 100_000
+
+
+def test_store_under_a_low_bucket_limit(spark):
+    rows = table(spark, [(i, f"text {i} " * 50) for i in range(20)]).select("doc_id", "text")
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", 3)
+    try:
+        got = media.media_columns(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
+    assert len(got) == 20 and all(x.payload_sha256 == hashlib.sha256(media.payload(f"text {x.doc_id} " * 50)).hexdigest() for x in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_chunks")]
+
+
 def test_media_round_trip(spark):
     r = random.Random(2)
     shared = "".join(r.choice("abcdefgh \n") for _ in range(9000))
@@ -419,11 +437,12 @@ def test_license_scan(spark):
         grams = [" ".join(x) for x in zip(w, w[1:])] or w
         for name, t in TEMPLATES.items():
             b = set(template_bigrams(t))
-            for p in range(len(grams)):
+            for p in range(len(grams) if len(b.intersection(grams)) * 3 >= 2 * len(b) else 0):
                 if grams[p] in b:
-                    for n in window_sizes(len(b), 0.8):
-                        a = set(grams[p : p + n])
-                        if (score := 2 * len(a & b) / (len(a) + len(b))) >= 0.8 - 1e-9:
+                    a = set()
+                    for g in grams[p : p + len(b) * 3 // 2]:
+                        a.add(g)
+                        if g in b and (score := 2 * len(a & b) / (len(a) + len(b))) >= 0.8 - 1e-9:
                             found.append((-score, p + 1, name))
         best = min(found, default=None)
         return (best[2], round(-best[0], 6), best[1], ",".join(sorted({x[2] for x in found}))) if best else (None, 0.0, None, "")
@@ -443,6 +462,29 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_no_copy_with_inserted_words_is_missed(spark):
+    """A long notice with 8 to 29 words put in and some replaced: what reaches the threshold over any window is found."""
+    r = random.Random(21)
+    notice = max((t for name, t in TEMPLATES.items() if name == "mit"), key=len)
+    b, texts = set(template_bigrams(notice)), []
+    for i in range(40):
+        w = notice.split()
+        for _ in range(r.randrange(8, 22)):
+            w.insert(r.randrange(len(w) + 1), f"in{r.randrange(999)}")
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = f"re{r.randrange(999)}"
+        texts.append((i, "some words before " + " ".join(w) + " and after"))
+    reach = set()
+    for i, t in texts:
+        w = template_words(t)
+        grams = list(zip(w, w[1:]))
+        grams = [" ".join(g) for g in grams]
+        if any(2 * len((a := set(grams[p:q])) & b) / (len(a) + len(b)) >= 0.8 for p in range(len(grams) // 2) if grams[p] in b for q in range(p + len(b) // 2, min(len(grams), p + len(b) * 3 // 2) + 1) if grams[q - 1] in b):
+            reach.add(i)
+    got = {x.doc_id for x in license_scan(table(spark, texts)).where("score >= 0.8").collect()}
+    assert got == reach and len(reach) > 12
+
+
 def test_wrapped_and_embedded_notices(spark):
     """Notices as files have them: in comments, wrapped anywhere, inside a longer line, twice in one text."""
     bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"

@@ -137,9 +137,9 @@ def test_copies_count_once():
 def test_table(spark):
     texts, labels, truth = corpus(2, 240)
     rows = [(i if i % 50 else None, t, int(y), 0.1, "x") for i, (t, y) in enumerate(zip(texts, labels))]
-    rows += [(900, None, None, 0.1, "x"), (901, "", 0, 0.1, "x"), (901, "", 0, 0.1, "x"), (902, "Nastig " * 30_000, None, 0.1, "x"), (903, "9 9 9", None, 0.1, "x")]
+    rows += [(900, None, 0, 0.1, "x"), (901, "", 0, 0.1, "x"), (901, "", 0, 0.1, "x"), (902, "Nastig " * 30_000, None, 0.1, "x"), (903, "9 9 9", None, 0.1, "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score double, predicted string").repartition(3)
-    model = fit_toxicity(table)
+    model = fit_toxicity(table, table)
     got = toxicity_scores(table, model)
     assert got.columns == ["doc_id", "score", "predicted", "n_windows", "worst_word"]
     found = got.collect()
@@ -148,15 +148,15 @@ def test_table(spark):
     assert by_id[902].predicted == 1 and by_id[902].n_windows == math.ceil((30_000 - 16) / 16)
     assert by_id[900].score == by_id[901].score == by_id[903].score < 0.5
     assert np.mean([by_id[i].predicted == truth[i] for i in range(240) if i % 50]) > 0.95
-    again = toxicity_scores(table.repartition(7), fit_toxicity(table.repartition(7)))
+    again = toxicity_scores(table.repartition(7), fit_toxicity(table.repartition(7), table))
     assert sorted((r.doc_id or -1, round(r.score, 5)) for r in again.collect()) == sorted((r.doc_id or -1, round(r.score, 5)) for r in found)
 
 
 def test_without_labels(spark):
     one = spark.createDataFrame([(1, "a b", 1), (2, "c", 1), (3, "d", None)], "doc_id long, text string, toxic int")
-    assert [r.score for r in toxicity_scores(one, fit_toxicity(one)).collect()] == [1.0, 1.0, 1.0]
-    assert [r.score for r in toxicity_scores(one, fit_toxicity(one.where("false"))).collect()] == [0.5, 0.5, 0.5]
-    assert toxicity_scores(one.where("false"), fit_toxicity(one)).count() == 0
+    assert [r.score for r in toxicity_scores(one, fit_toxicity(one, one)).collect()] == [1.0, 1.0, 1.0]
+    assert [r.score for r in toxicity_scores(one, fit_toxicity(one.where("false"), one)).collect()] == [0.5, 0.5, 0.5]
+    assert toxicity_scores(one.where("false"), fit_toxicity(one, one)).count() == 0
 
 
 def test_query_on_held_out_labels(spark, sf):

@@ -7,8 +7,8 @@ window, so a notice may be wrapped over lines or stand inside a longer line.  Th
 has that word as its only bigram.  A score of ``threshold`` is possible only if
 ``|A|`` lies between ``threshold / (2 - threshold)`` and the inverse of it times
 ``|B|``, and if as many bigrams of the template as that lower bound occur in the text at all: that leaves
-few templates for few texts.  Their windows begin at every bigram of the template and have the template's length, or
-one that differs from it by quarters within the bounds.
+few templates for few texts.  Their windows begin at every bigram of the template and end at every place up to the upper
+bound, counted with repeats; the counts of a start's windows come from one pass.
 
 Per document the best (window, template) is returned; ties go to the earlier window,
 then the template's name.  The plan has no shuffle: the templates are literals.
@@ -118,11 +118,9 @@ def _bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, pairs).otherwise(words)
 
 
-def window_sizes(n: int, threshold: float) -> list[int]:
-    """Bigrams of the windows for a template of n: n, and by quarters of it to the bounds."""
-    ratio, step = threshold / (2 - threshold), max(1, n // 4)
-    least, most = max(1, math.ceil(ratio * n - 1e-9)), math.floor(n / ratio + 1e-9)
-    return [n + i * step for i in range(-n, n + 1) if least <= n + i * step <= most]
+def longest_window(n: int, threshold: float) -> int:
+    """The most bigrams of a window that can reach the threshold against a template of n."""
+    return math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
 def license_scan(docs: DataFrame, *, templates: Mapping[str, str] | Notices = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +130,7 @@ def license_scan(docs: DataFrame, *, templates: Mapping[str, str] | Notices = TE
     if not known:
         raise ValueError("no template has a word")
     ratio = threshold / (2 - threshold) - 1e-9
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams"), F.array(*map(F.lit, window_sizes(len(grams), threshold))).alias("sizes")) for name, grams in known])
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(longest_window(len(grams), threshold)).alias("most")) for name, grams in known])
     every = F.array(*map(F.lit, sorted({g for _, grams in known for g in grams})))
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _OTHER, " "), " +"), lambda w: w != "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -142,10 +140,29 @@ def license_scan(docs: DataFrame, *, templates: Mapping[str, str] | Notices = TE
     possible = F.filter(table, lambda t: F.size(F.array_intersect(t["grams"], F.col("held"))) >= ratio * t["n"])
     rows = rows.select("doc_id", "grams", F.when(F.size("held") >= ratio * min(len(g) for _, g in known), possible).alias("near"))
 
+    def seen(g: Column, i: Column) -> Column:
+        """Places back to the same bigram, 0 where no window that holds both is short enough."""
+        return F.array_position(F.reverse(F.slice("grams", F.greatest(i - longest + 1, F.lit(1)), F.least(i, F.lit(longest)))), g).cast("int")
+
     def windows(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda p: F.array_contains(t["grams"], F.get("grams", p - 1)))
-        return F.flatten(F.transform(starts, lambda p: F.transform(F.transform(t["sizes"], lambda n: F.array_distinct(F.slice("grams", p, n))), lambda a: F.struct((2.0 * F.size(F.array_intersect(a, t["grams"])) / (t["n"] + F.size(a))).alias("score"), p.alias("word_no"), t["name"].alias("name")))))
+        """Per start the best score of its windows: the end goes on bigram by bigram, those that are new in the window and those of the template are counted."""
+        flags = F.transform("marked", lambda m: F.struct(m["back"].alias("back"), F.array_contains(t["grams"], m["g"]).cast("int").alias("held")))
+        none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("score"))
+
+        def longer(x: Column, f: Column) -> Column:
+            fresh = F.when((f["back"] > 0) & (f["back"] <= x["i"]), 0).otherwise(1)
+            at = F.struct((x["a"] + fresh).alias("a"), (x["b"] + fresh * f["held"]).alias("b"))
+            return F.get(F.transform(F.array(at), lambda y: F.struct((x["i"] + 1).alias("i"), y["a"].alias("a"), y["b"].alias("b"), F.greatest(x["score"], 2.0 * y["b"] / (y["a"] + t["n"])).alias("score"))), 0)
+
+        def scored(all_flags: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(all_flags)), lambda p: F.get(all_flags, p - 1)["held"] == 1)
+            return F.transform(starts, lambda p: F.struct(F.aggregate(F.slice(all_flags, p, t["most"]), none, longer)["score"].alias("score"), p.alias("word_no"), t["name"].alias("name")))
+
+        return F.get(F.transform(F.array(flags), scored), 0)
 
+    longest = max(longest_window(len(grams), threshold) for _, grams in known)
+    marked = F.transform("grams", lambda g, i: F.struct(g.alias("g"), F.when(i > 0, seen(g, i)).otherwise(0).alias("back")))
+    rows = rows.select("doc_id", "near", F.when(F.size("near") > 0, marked).alias("marked"))
     hits = F.filter(F.flatten(F.transform("near", windows)), lambda h: h["score"] >= threshold - 1e-9)
     rows = rows.select("doc_id", F.coalesce(F.when(F.size("near") > 0, hits), F.array().cast("array<struct<score:double,word_no:int,name:string>>")).alias("hits"))
     better = lambda a, h: (h["score"] > a["score"]) | ((h["score"] == a["score"]) & ((h["word_no"] < a["word_no"]) | ((h["word_no"] == a["word_no"]) & (h["name"] < a["name"]))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest
 from tidemark.llm.chunk_media import media_columns
 from tidemark.llm.common import read
-from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams, window_sizes
+from tidemark.llm.license_scan import TEMPLATES, license_scan
 from tidemark.llm.line_dedup import line_dedup, line_digests
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import mix
@@ -74,7 +74,7 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    model = fit_toxicity(docs.join(labels, "doc_id").where(~held_out), fit_rows=5000, fit_chars=40_000)
+    model = fit_toxicity(docs.where(~held_out), labels, fit_rows=5000, fit_chars=40_000)
     return toxicity_scores(docs, model, threshold=0.5).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_windows", "worst_word")
 
 
@@ -131,19 +131,18 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
 """
 
-_GRAMS = ", ".join(
-    "{{'t': {}, 'name': '{}', 'grams': [{}], 'sizes': {}}}".format(i, n, ", ".join(f"'{g}'" for g in template_bigrams(t)), window_sizes(len(template_bigrams(t)), 0.8)) for i, (n, t) in enumerate(sorted(TEMPLATES.items()))
-)
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(TEMPLATES.items())))
+_NORMAL = "list_filter(list_transform(string_split(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), ' '), lambda w: regexp_replace(w, '\\.+$', '')), lambda w: w <> '')"
 _OP10_SQL = f"""
-WITH raw AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), ' '), lambda w: w <> '') AS raw FROM documents
-), words AS (SELECT doc_id, list_filter(list_transform(raw, lambda w: regexp_replace(w, '\\.+$', '')), lambda w: w <> '') AS w FROM raw),
+WITH words AS (SELECT doc_id, {_NORMAL.format("text")} AS w FROM documents),
 grams AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) ELSE w END AS g FROM words),
-templates AS (SELECT t.* FROM (SELECT unnest([{_GRAMS}]) AS t)),
-near AS (SELECT doc_id, g, t, name, grams, sizes FROM grams, templates WHERE 1.2::DOUBLE * len(list_intersect(g, grams)) + 1e-6::DOUBLE >= 0.8::DOUBLE * len(grams)),
+notices AS (SELECT t, name, {_NORMAL.format("text")} AS w FROM (VALUES {_NOTICES}) AS v(t, name, text)),
+templates AS (SELECT t, name, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS grams FROM notices),
+near AS (SELECT doc_id, g, t, name, grams FROM grams, templates WHERE 1.2::DOUBLE * len(list_intersect(g, grams)) + 1e-6::DOUBLE >= 0.8::DOUBLE * len(grams)),
 starts AS (SELECT *, unnest(range(1, len(g) + 1)) AS p FROM near),
-windows AS (SELECT doc_id, name, grams, p, list_distinct(g[p : p + size - 1]) AS a FROM (SELECT *, unnest(sizes) AS size FROM starts WHERE list_contains(grams, g[p]))),
-hits AS (SELECT doc_id, name, p, 2.0::DOUBLE * len(list_intersect(a, grams)) / (len(a) + len(grams)) AS score FROM windows),
+ends AS (SELECT doc_id, name, grams, p, g, unnest(range(p, least(len(g), p + len(grams) * 3 // 2 - 1) + 1)) AS q FROM starts WHERE list_contains(grams, g[p])),
+windows AS (SELECT doc_id, name, grams, p, list_distinct(g[p : q]) AS a FROM ends WHERE list_contains(grams, g[q])),
+hits AS (SELECT doc_id, name, p, max(2.0::DOUBLE * len(list_intersect(a, grams)) / (len(a) + len(grams))) AS score FROM windows GROUP BY ALL),
 good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, name) AS n FROM hits WHERE score >= 0.8::DOUBLE - 1e-9::DOUBLE),
 named AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM good GROUP BY doc_id)
 SELECT d.doc_id, g.name AS license, round(coalesce(g.score, 0.0::DOUBLE), 6) AS score, g.p::BIGINT AS word_no, coalesce(c.licenses, '') AS licenses

@@ -308,13 +308,16 @@ class ToxicModel:
         return pa.StructArray.from_arrays([pa.array(score), pa.array(count), pa.array(worst)], ["score", "n_windows", "worst_word"])
 
 
-def fit_toxicity(labelled: DataFrame, fit_rows: int = 5000, fit_chars: int = 40_000) -> ToxicModel:
-    """A model from rows (text, toxic); equal texts count once, with the share of their labels."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 5000, fit_chars: int = 40_000) -> ToxicModel:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic); equal texts count once, with the share of their labels.
+
+    Labels meet digests of texts; only the texts of the sample move.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = labelled.where(F.col("toxic").isNotNull()).select(text.alias("text"), F.col("toxic").cast("double").alias("toxic")).where(F.length("text") <= fit_chars)
-    key = F.sha2("text", 256)
-    shares = rows.select(key.alias("key"), "toxic").groupBy("key").agg(F.avg("toxic").alias("share")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
-    once = rows.select(key.alias("key"), "text").join(F.broadcast(shares), "key").dropDuplicates(["key"]).orderBy("key").select("text", "share").toArrow()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.length("text") <= fit_chars).select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic"))
+    shares = keyed.select("doc_id", "key").join(known, "doc_id").groupBy("key").agg(F.avg("toxic").alias("share")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
+    once = keyed.select("key", "text").join(F.broadcast(shares), "key").groupBy("key").agg(F.first("text").alias("text"), F.first("share").alias("share")).orderBy("key").select("text", "share").toArrow()
     share = once.column("share").to_numpy()
     if not len(share) or share.max() < 0.5 or share.min() >= 0.5:
         return ToxicModel(None, float(share.mean()) if len(share) else 0.5)
