@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal
 from tidemark.operators.aggregates import RISK_FREE_LOG, SESSIONS_PER_YEAR
 
 BLOCKS = 16
@@ -77,22 +76,21 @@ def overfit_probability(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("splits"), F.when(F.count("logit") == F.count("*"), share).alias("pbo"), F.avg("logit").alias("mean_logit"), F.avg("degradation").alias("mean_degradation"))
 
 
-def _dsr(observed: pd.Series, n: pd.Series, skew: pd.Series, kurt: pd.Series, spread: pd.Series, trials: pd.Series) -> pd.DataFrame:
-    normal, out = NormalDist(), []
-    for sr, t, g3, g4, sd, count in zip(observed, n, skew, kurt, spread, trials):
-        below = 1 - g3 * sr + (g4 - 1) * sr * sr / 4
-        if any(pd.isna(v) for v in (sr, t, g3, g4, sd, count)) or count < 1 or t < 2 or sd <= 0 or below <= 0 or g4 < 1:
-            out.append((None, None, None))
-            continue
-        top = 0.0 if count == 1 else sd * ((1 - EULER_GAMMA) * normal.inv_cdf(1 - 1 / count) + EULER_GAMMA * normal.inv_cdf(1 - 1 / (count * math.e)))
-        z = (sr - top) * math.sqrt(t - 1) / math.sqrt(below)
-        out.append((top, z, normal.cdf(z)))
-    return pd.DataFrame(out, columns=["benchmark", "z", "dsr"], dtype=float)
+def extreme_sharpe(spread: Column, trials: Column) -> Column:
+    """The Sharpe ratio that the best of so many trials without skill is expected to show; 0 for one trial."""
+    q = 1 / trials.cast("double")
+    high = spread * ((1 - EULER_GAMMA) * normal.tail_point(q) + EULER_GAMMA * normal.tail_point(q / math.e))
+    return F.when(trials == 1, F.lit(0.0)).otherwise(high)
 
 
 def deflated_sharpe(observed: Column, n: Column, skew: Column, kurtosis: Column, spread: Column, trials: Column) -> Column:
-    """Struct (benchmark, z, dsr) by the published formula; all null where undefined.  A handful of rows, one per trial."""
-    return F.pandas_udf(_dsr, "benchmark double, z double, dsr double")(observed, n, skew, kurtosis, spread, trials)
+    """Struct (benchmark, z, dsr) by the published formula; all null where undefined."""
+    below = 1 - skew * observed + (kurtosis - 1) * observed * observed / 4
+    top = extreme_sharpe(spread, trials)
+    z = (observed - top) * F.sqrt(n - 1) / F.sqrt(below)
+    fine = (trials >= 1) & (n >= 2) & (spread > 0) & (below > 0) & (kurtosis >= 1)
+    found = F.transform(F.array(F.struct(top.alias("benchmark"), z.alias("z"))), lambda s: F.struct(s["benchmark"].alias("benchmark"), s["z"].alias("z"), normal.cumulative(s["z"]).alias("dsr")))
+    return F.when(fine & z.isNotNull(), F.get(found, F.lit(0)))
 
 
 def trial_moments(matrix: DataFrame) -> DataFrame:
@@ -107,3 +105,27 @@ def matrix_dsr(matrix: DataFrame, trials: int) -> DataFrame:
     m = trial_moments(matrix).withColumn("trials", F.lit(trials))
     m = m.withColumn("_d", deflated_sharpe(F.col("sharpe"), F.col("n"), F.col("skew"), F.col("kurtosis"), F.col("spread"), F.col("trials")))
     return m.select("*", "_d.benchmark", "_d.z", "_d.dsr").drop("_d")
+
+
+def counted_dsr(moments: DataFrame, counts: DataFrame) -> DataFrame:
+    """(trial, lifetime_dsr, family_dsr) of ``trial_moments``: deflated by all trials ever counted, and beside it by those of the matrix's own family.
+
+    ``counts`` is one row (lifetime, family); a family count of null gives no family figure.
+    """
+    m = moments.crossJoin(F.broadcast(counts.select("lifetime", "family").limit(1)))
+    inputs = [F.col(c) for c in ("sharpe", "n", "skew", "kurtosis", "spread")]
+    return m.select("trial", *[deflated_sharpe(*inputs, F.col(c))["dsr"].alias(f"{c}_dsr") for c in ("lifetime", "family")])
+
+
+def selection(declared: DataFrame, completed: DataFrame, dsr: DataFrame) -> DataFrame:
+    """(place, config, trial, family_dsr, lifetime_dsr, selected): every declared configuration by its one completed trial; selected is the
+    highest family figure, ties to the lower place.
+
+    ValueError unless ``declared(config, place)`` and ``completed(config, trial)`` match one to one and every family figure is there.
+    """
+    rows = declared.join(completed, "config", "full_outer").join(dsr, "trial", "left")
+    bad = rows.groupBy("config").agg(F.count("*").alias("n"), F.count("place").alias("a"), F.count("trial").alias("b"), F.count("family_dsr").alias("c")).where("n <> 1 or a <> 1 or b <> 1 or c <> 1")
+    if faults := bad.select("config").orderBy("config").limit(5).collect():
+        raise ValueError("candidates incomplete, repeated or without a family figure: " + ", ".join(str(r.config) for r in faults))
+    best = rows.agg(F.max(F.struct("family_dsr", (-F.col("place")).alias("p"))).alias("best"))
+    return rows.crossJoin(F.broadcast(best)).select("place", "config", "trial", "family_dsr", "lifetime_dsr", (F.col("place") == -F.col("best.p")).alias("selected"))

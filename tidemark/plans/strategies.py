@@ -509,11 +509,6 @@ def _whole_matrix(spark, d):
     return r.select(F.col("ticker").alias("trial"), F.col("date").alias("session"), F.col("log_return").alias("r"))
 
 
-@query("sb_03_matrix_dsr")
-def _(spark, d):
-    return bias.matrix_dsr(_whole_matrix(spark, d), 25)
-
-
 # The queries above whose SQL takes six tickers, over all tickers and dates; without SQL.
 
 
