@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PART = 1 << 19
 SPACE = "▁"
 _SOLID = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)]))
