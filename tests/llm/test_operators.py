@@ -217,6 +217,36 @@ def test_probes_leave_most_vectors_out(spread):
     assert shares[0] < 0.25 and shares[1] < (0.85 if spread == 0 else 1.2) * shares[0]  # uneven norms leave few to score at either size
 
 
+@pytest.mark.parametrize(("count", "cosine"), [(10**6, 0.3), (10**8, 0.4), (10**6, 0.57)])
+def test_far_neighbours_are_reached(count, cosine):
+    """Neighbours at a low cosine, whose codes the list of long codes doesn't hold: codes get shorter until enough are met."""
+    from tidemark.llm import ann
+
+    r = np.random.default_rng(11)
+    unit = ann._unit(r.normal(size=(24, 64)))
+
+    def neighbours(of):
+        side = r.normal(size=(len(of), 64))
+        side = ann._unit(side - (side * of).sum(axis=1, keepdims=True) * of)
+        return cosine * of + np.sqrt(1 - cosine * cosine) * side
+
+    near = [(i, v, 0) for _ in range(8) for i, v in enumerate(neighbours(unit))]
+    scheme = ann.Scheme(64, 1.0, {0: count}, 16, 5, typical=cosine)
+    ann.fit_probes(scheme, unit, near, 0.94)
+    assert scheme.probes < ann.UNREACHED and (cosine > 0.5) == (scheme.shorter == 0)
+    met = total = 0
+    fresh = ann._unit(r.normal(size=(24, 64)))
+    row, _, table_, code = ann.probed(scheme, fresh)
+    for _ in range(4):
+        other = neighbours(fresh)
+        mine = [ann.codes_of(other, t, scheme.plan(0), 5) for t in range(16)]
+        for i in range(24):
+            own = row == i
+            met += any(((table_[own] == t) & (code[own] == mine[t][i])).any() for t in range(16))
+            total += 1
+    assert met >= 0.88 * total
+
+
 def test_nearest_with_uneven_norms(spark):
     r = np.random.default_rng(7)
     x = (r.normal(size=(3000, 32)) * np.exp(0.8 * r.normal(size=(3000, 1)))).astype(np.float32)

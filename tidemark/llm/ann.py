@@ -13,7 +13,8 @@ axes make the likeliest places of a neighbour (a ratio of likelihoods for a neig
 at the sample's typical score against any vector).  How many, ``probes``, is measured:
 the exact neighbours of ``SAMPLE`` queries a dimension are found by one pass over all
 rows, and the least number of probes is taken at which ``goal`` of them are met.  The
-rule is the same at every size; on a few hundred vectors in many dimensions, where
+rule is the same at every size; a query lists ``LISTED`` codes of a table at most, and where these don't reach the goal
+at any number of probes, all codes are a bit shorter until they do.  On a few hundred vectors in many dimensions, where
 neighbours hardly differ from others, it comes to probing most buckets.
 
 Neighbouring codes of a table form cells of about ``CELL`` entries; a query visits a
@@ -55,6 +56,7 @@ QUERIES = 256
 BANDS_AN_OCTAVE, OCTAVES = 4, 8
 #: Codes of a table that are ranked for a query, and codes of all tables held at once.
 LISTED, HELD = 1 << 12, 1 << 22
+UNREACHED = np.iinfo(np.int64).max
 _RESULT = "query_id long, ids array<long>, scores array<double>"
 
 
@@ -129,10 +131,11 @@ class Scheme:
     seed: int
     typical: float = 0.0  # score of a neighbour over its query's norm
     probes: int = 0
+    shorter: int = 0  # bits that codes leave off, so that the listed ones reach what is sought
     seeds: tuple[list[list[int]], np.ndarray] = ((), np.zeros((0, 0)))  # ids and vectors of the entries that give the floors
 
     def plan(self, band: int) -> list[int]:
-        return coordinates(self.counts[band], self.dim)
+        return coordinates(max(1, self.counts[band] >> self.shorter), self.dim)
 
     def band_top(self, band: int) -> float:
         return self.top / 2 ** (band / BANDS_AN_OCTAVE)
@@ -184,7 +187,7 @@ def needed_probes(scheme: Scheme, unit: np.ndarray, near: list[tuple[int, np.nda
         if own:
             for table in range(scheme.tables):
                 places[table, own] = codes_of(np.array([near[i][1] for i in own]), table, scheme.plan(band), scheme.seed)
-    rank = np.full(len(near), np.iinfo(np.int64).max)
+    rank = np.full(len(near), UNREACHED)
     for low in range(0, len(unit), scheme.step()):
         parts = list(scheme.likely(unit[low : low + scheme.step()]))
         order = np.sort(-np.concatenate([s for *_, s in parts], axis=1), axis=1)
@@ -199,6 +202,16 @@ def needed_probes(scheme: Scheme, unit: np.ndarray, near: list[tuple[int, np.nda
     return int(np.sort(rank)[int(np.ceil(goal * len(rank))) - 1])
 
 
+def fit_probes(scheme: Scheme, unit: np.ndarray, near: list[tuple[int, np.ndarray, int]], goal: float) -> None:
+    """Sets ``probes``, and ``shorter`` where the listed codes of longer ones don't reach ``goal``: codes of ``LISTED`` values are all listed, so
+    some length always does."""
+    for scheme.shorter in range(max(n.bit_length() for n in scheme.counts.values()) + 1):
+        scheme.probes = needed_probes(scheme, unit, near, goal)
+        if scheme.probes < UNREACHED:
+            return
+    raise ValueError(f"no number of probes finds {goal:.0%} of the sample's neighbours in {scheme.dim} dimensions")
+
+
 def probed(scheme: Scheme, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, band, table, code) of the probes of each row of unit."""
     parts = list(scheme.likely(unit))
@@ -291,9 +304,8 @@ def _schemes(entries: DataFrame, asked: DataFrame, kind: type, k: int, tables: i
             near.append((r["query"], x / norm, band_of(scheme.top, norm)))
             last[r["query"]].append(r["score"] / length[r["query"]])
         scheme.typical = float(np.median([min(x) for x in last.values()])) if last else 0.0
-        scheme.probes = needed_probes(scheme, _unit(queries), near, goal)
-    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec"), "vec"))
-    seeds = entries.withColumn("_n", place).where(F.col("_n") <= SEEDS).select("dim", "ids", "vec").collect() if sample else []
+        fit_probes(scheme, _unit(queries), near, goal)
+    seeds = [r for dim in sample for r in entries.where(F.col("dim") == dim).select("dim", "ids", "vec").orderBy(F.xxhash64("vec"), "vec").limit(SEEDS).collect()]
     for dim, scheme in schemes.items():
         own = sorted((bytes(r["vec"]), r["ids"]) for r in seeds if r["dim"] == dim)
         scheme.seeds = [i for _, i in own], np.frombuffer(b"".join(v for v, _ in own), kind).reshape(-1, dim)
