@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tidemark.llm.ann import nearest
 from tidemark.llm.common import components
 from tidemark.llm.license_scan import TEMPLATES, license_scan, template_bigrams, template_words
 from tidemark.llm.line_dedup import drop_lines, line_dedup, line_digests
+from tidemark.llm import lm_score as lm
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.mixing import entropy_of, find_alpha, mix, mix_rows, passes_of, weights_at
 from tidemark.llm.ngram_join import ngram_jaccard_join
@@ -382,19 +384,55 @@ def test_lm_counts_every_ngram_at_any_size(spark):
             two.update(zip(["<", *tokens], tokens))
     n, v = sum(one.values()), len(one)
 
+    shard_bits = lm.shard_bits_of(n)
+    frame = lambda texts: lm.slices(pa.array(texts, pa.large_string()))
+
+    def hashes(text):
+        ((_, raw, offsets),) = frame([text or ""])
+        return lm.pairs_of(*lm.tokens_of(lm.Words(raw, offsets)))[0]
+
+    # a filter of its own: sets of bit numbers by segment
+    entries = Counter()
+    for i, text in rows:
+        if not held(i):
+            entries.update(int(h) for h in hashes(text))
+    assert sorted(entries.values()) == sorted(two.values())
+    by_segment = defaultdict(Counter)
+    for h, c in entries.items():
+        by_segment[h >> (64 - shard_bits)][(h << shard_bits & (1 << 64) - 1) >> 32] += c
+    mix = lambda x: int(lm.mix64(np.array([x & (1 << 64) - 1], np.uint64))[0])
+
+    def spots(part, level, cells):
+        base = mix(part + level * 0x9E3779B97F4A7C15)
+        return {(base + i * (mix(base) | 1)) % (1 << 64) % cells for i in range(lm.PROBES)}
+
+    filled = {}
+    for seg, own in by_segment.items():
+        cells = 1 << max(6, int(lm.PROBES * sum(c.bit_length() for c in own.values()) / lm.FILL).bit_length())
+        filled[seg] = cells, {x for part, c in own.items() for level in range(1, c.bit_length() + 1) for x in spots(part, level, cells)}
+
+    def level(h):
+        cells, bits = filled.get(h >> (64 - shard_bits), (64, set()))
+        found = 0
+        while spots((h << shard_bits & (1 << 64) - 1) >> 32, found + 1, cells) <= bits:
+            found += 1
+        return found
+
     def brute(text):
         tokens, total = [*words(text), None], 0.0
-        for u, w in zip(["<", *tokens], tokens):
-            own, before, c = (one[w] + 0.5) / (n + 0.5 * (v + 1)), one[None] if u == "<" else one[u], two[u, w]
-            pair = 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0
-            total += math.log10(0.4 * min(1, pair / before) + 0.6 * own if before else own)
+        for u, w, h in zip(["<", *tokens], tokens, hashes(text).tolist()):
+            own, before, q = (one[w] + 0.5) / (n + 0.5 * (v + 1)), one[None] if u == "<" else one[u], level(h)
+            assert q >= two[u, w].bit_length()
+            total += math.log10(0.4 * min(1, (2 ** (q - 1) if q else 0) / before) + 0.6 * own if before else own)
         return total
 
     want = sorted((str(i), round(brute(t), 6)) for i, t in rows)
-    for small in ({"filter_bits": 1 << 15}, {"top": 16}):
-        assert sorted((str(x.doc_id), round(x.score, 6)) for x in lm_score(table(spark, rows), **small).collect()) == want
-    near = sorted((str(x.doc_id), x.score) for x in lm_score(table(spark, rows), filter_bits=1 << 24).collect())
-    assert np.mean([abs(a[1] - b[1]) < 1e-5 for a, b in zip(near, want)]) > 0.7
+    for way in ({"filter_bits": 1 << 15}, {"top": 16}, {"filter_bits": 1 << 24}):  # the first two by shards, the last by broadcast
+        assert sorted((str(x.doc_id), round(x.score, 6)) for x in lm_score(table(spark, rows), **way).collect()) == want
+    shares = Counter()
+    for (u, w), c in two.items():
+        shares[u] += 2 ** (c.bit_length() - 1) / (one[None] if u == "<" else one[u])
+    assert max(shares.values()) <= 1 + 1e-9
 
 
 def quality_docs(n=300):

@@ -1,21 +1,20 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counts of words and of word pairs in the training documents are quantised to
-levels ``1 + floor(log2(count))``; an n-gram of level q is entered q times, once
-per level.  The filter is broadcast; a count is read back by probing level 1, 2,
-... until a probe misses, and taken as the middle of its level.  The score is the
+Counts of word pairs in the training documents are quantised to levels
+``1 + floor(log2(count))``; a pair of level q is entered q times, once per level.  A count is
+read back by probing level 1, 2, ... until a probe misses, and taken as the least of its level.  The score is the
 sum of ``log10(fraction * min(1, c(u w) / c(u)) + (1 - fraction) * p(w))`` over the words
-and the end of the text, where p(w) is the word's own smoothed share; after a word
-u that the filter doesn't hold, p(w) alone.
-
-The filter is used while twice the training tokens (a bound on all entries) fill at
-most an eighth of ``filter_bits`` and all words are among the ``top`` ones: about one
-absent pair in 512 is then a false hit.  Beyond that nothing is broadcast: documents are
-dealt into chunks, each n-gram of a chunk is sent to its shard of the hash space with
-its number in the training documents, the shard adds these up and sends the counts
-back to the chunks, those of pairs as levels.  No n-gram is left out at any size; the counts of pairs are
-quantised to the same levels on both ways, those of single words are exact.  Pairs are
-told apart by 32 bits beside the shard's, which grow with the token count.
+and the end of the text, where p(w) is the word's own smoothed share and c(u) the exact count of u; after a word
+u that training doesn't hold, p(w) alone.  As a level's least count is no more than the count, what a context gives
+its words sums to one at most, false hits apart (about one absent pair in 512).
+
+The filter is a row of segments, told by the leading bits of a pair's hash, each with as many bits as its pairs
+need for an eighth of them to be set.  While ``filter_bits`` hold twice the training tokens (a bound on all
+entries) and all words are among the ``top`` ones, the segments are put together and broadcast.  Beyond that
+they stay where their shard is built: documents are dealt into chunks, each n-gram of a chunk goes to its shard with
+its number in the training documents, the shard fills its segment, probes it and sends the levels
+back to the chunks.  The segments, and so the scores, are the same on both ways.  Pairs are
+told apart by 32 bits beside the shard's, which grow with the token count; counts of single words are exact.
 
 Beside it stands the exact base score, the sum of
 ``log10((c + 0.5) / (N + 0.5 * (V + 1)))`` with each token's exact training
@@ -44,7 +43,6 @@ from tidemark.llm.textops import Words, mix64, slices
 
 _U = np.uint64
 END, START = _U(0x1D2C3B4A59687786), _U(0x70819203A4B5C6D7)
-SEGMENTS = 1024
 PROBES = 3
 FLUSH = 4_000_000
 #: Entries times probes over bits at which an eighth of the bits is set.
@@ -76,51 +74,62 @@ def single(tokens: np.ndarray) -> np.ndarray:
     return mix64(tokens + _U(0x2545F4914F6CDD1D))
 
 
-def _spots(keys: np.ndarray, level: int | np.ndarray, cells: int) -> np.ndarray:
-    """PROBES bit numbers inside their segment for each key at a level."""
-    base = mix64(keys + np.asarray(level, dtype=_U) * _U(0x9E3779B97F4A7C15))
+def _spots(keys: np.ndarray, level: int, cells: np.ndarray) -> np.ndarray:
+    """PROBES bit numbers inside its segment for each key at a level; cells: the segments' bits, a power of two."""
+    base = mix64(keys.astype(_U) + _U(level) * _U(0x9E3779B97F4A7C15))
     step = mix64(base) | _U(1)
-    return np.stack([(base + _U(i) * step) & _U(cells - 1) for i in range(PROBES)], axis=1)
+    inside = np.asarray(cells, _U) - _U(1)
+    return np.stack([(base + _U(i) * step) & inside for i in range(PROBES)], axis=1)
 
 
-def middle_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 1.5 * np.exp2(level - 1) - 0.5, 0.0)
+def least_of(level: np.ndarray) -> np.ndarray:
+    """The least count of a level: shares of a context then sum to one at most."""
+    return np.where(level > 0, np.exp2(np.maximum(level, 1) - 1.0), 0.0)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.uint8)
+    return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.int64)
 
 
-class LogFilter:
-    """Bits of the whole filter, segment after segment; a key's segment is its top ten bits."""
-
-    def __init__(self, bits: np.ndarray, hash_bits: int):
-        self.bits = bits
-        self.cells = len(bits) * 8 // SEGMENTS
-        self.mask = _U(((1 << 64) - 1) ^ ((1 << (64 - hash_bits)) - 1))
-
-    def _has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        segment = (keys >> _U(54)) * _U(self.cells)
-        spots = _spots(keys, level, self.cells) + segment[:, None]
-        got = (self.bits[(spots >> _U(3)).astype(np.int64)] >> (_U(7) - (spots & _U(7))).astype(np.uint8)) & 1
-        return got.all(axis=1)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Middle of the level of each key's count; 0 where level 1 misses."""
-        unique, inverse = np.unique(keys & self.mask, return_inverse=True)
-        level = np.zeros(len(unique), np.int64)
-        live = np.arange(len(unique))
-        while len(live) and level[live[0]] < 48:
-            live = live[self._has(unique[live], int(level[live[0]]) + 1)]
-            level[live] += 1
-        return middle_of(level)[inverse]
-
-
-def enter(bits: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Enter keys of one segment into its cells (one byte each)."""
-    levels = np.floor(np.log2(counts)).astype(np.int64) + 1
+def segment_of(parts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits of a segment: each n-gram entered once per level; as many bits as leave an eighth of them set at most."""
+    levels = level_of(counts)
+    cells = 1 << max(6, int(PROBES * levels.sum() / FILL).bit_length())
+    bits = np.zeros(cells, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        bits[_spots(keys[levels >= level], level, len(bits)).ravel().astype(np.int64)] = 1
+        bits[_spots(parts[levels >= level], level, cells).ravel().astype(np.int64)] = True
+    return bits
+
+
+class LogFilter:
+    """Segments side by side; ``bits`` are packed, ``start`` and ``cells`` are by segment."""
+
+    def __init__(self, bits: np.ndarray, start: np.ndarray, cells: np.ndarray):
+        self.bits, self.start, self.cells = bits, start.astype(_U), cells.astype(_U)
+
+    @classmethod
+    def of(cls, segments: dict[int, np.ndarray], count: int) -> LogFilter:
+        """From packed bits by number of segment; one without n-grams is all zeros."""
+        sizes = np.array([8 * len(segments[i]) if i in segments else 64 for i in range(count)], np.int64)
+        whole = np.zeros(int(sizes.sum()) // 8, np.uint8)
+        start = np.cumsum(sizes) - sizes
+        for i, x in segments.items():
+            whole[start[i] // 8 : start[i] // 8 + len(x)] = x
+        return cls(whole, start, sizes)
+
+    def _has(self, segment: np.ndarray, parts: np.ndarray, level: int) -> np.ndarray:
+        spots = _spots(parts, level, self.cells[segment]) + self.start[segment][:, None]
+        return (((self.bits[(spots >> _U(3)).astype(np.int64)] >> (_U(7) - (spots & _U(7))).astype(np.uint8)) & 1) > 0).all(axis=1)
+
+    def levels(self, segment: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """By probing level 1, 2, ... until one misses."""
+        level = np.zeros(len(parts), np.int64)
+        live, now = np.arange(len(parts)), 0
+        while len(live) and now < 48:
+            now += 1
+            live = live[self._has(segment[live], parts[live], now)]
+            level[live] = now
+        return level
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -202,44 +211,17 @@ def ngram_shards(train: DataFrame, shard_bits: int) -> DataFrame:
     return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, schema)
 
 
-def log_filter(train: DataFrame, n_tokens: int, filter_bits: int) -> LogFilter:
-    shard_bits = max(6, (n_tokens >> 19).bit_length())
-    shards = written(ngram_shards(train, shard_bits))
-    cells = filter_bits // SEGMENTS
+def log_filter(train: DataFrame, shard_bits: int) -> LogFilter:
+    """The whole filter, for a broadcast: its segments are those that the shards would build."""
+    shards = ngram_shards(train, shard_bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, r, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts = np.frombuffer(c, np.uint64)
-                keys = (_U(s) << _U(64 - shard_bits)) | (np.frombuffer(r, np.uint32).astype(_U) << _U(32 - shard_bits))
-                segment = (keys >> _U(54)).astype(np.int64)
-                for seg in np.unique(segment):
-                    own = segment == seg
-                    enter(made.setdefault(int(seg), np.zeros(cells, np.uint8)), keys[own], counts[own])
-            if len(made) > 64:
-                yield packed(made)
-                made = {}
-        if made:
-            yield packed(made)
-
-    def packed(made: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([np.packbits(x).tobytes() for x in made.values()], pa.binary())], ["segment", "bits"])
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for seg, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bits = np.frombuffer(b, np.uint8)
-                made[seg] = made[seg] | bits if seg in made else bits
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([x.tobytes() for x in made.values()], pa.binary())], ["segment", "bits"])
+            bits = [np.packbits(segment_of(np.frombuffer(r, np.uint32), np.frombuffer(c, np.uint64))).tobytes() for r, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["segment", "bits"])
 
-    rows = shards.mapInArrow(build, "segment long, bits binary").repartition("segment").mapInArrow(union, "segment long, bits binary").collect()
-    whole = np.zeros((SEGMENTS, cells // 8), np.uint8)
-    for r in rows:
-        whole[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return LogFilter(whole.ravel(), shard_bits + 32)
+    rows = shards.mapInArrow(build, "segment long, bits binary").collect()
+    return LogFilter.of({r["segment"]: np.frombuffer(r["bits"], np.uint8) for r in rows}, 1 << shard_bits)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -295,7 +277,8 @@ def asked(docs: DataFrame, shard_bits: int) -> DataFrame:
 
 def answered(questions: DataFrame, shards: int) -> DataFrame:
     """(chunk, kind, shard, counts): for each chunk and shard the counts of its words, or the levels of its pairs, in the
-    order of their hashes."""
+    order of their hashes.  A shard enters the pairs of its training documents in its segment of the filter; the levels are
+    read back from that by probes."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -303,12 +286,16 @@ def answered(questions: DataFrame, shards: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             shard, kind = key
             part, chunk, n = (np.concatenate([np.frombuffer(x, t) for x in xs]) for xs, t in zip(zip(*parts), (np.uint32 if kind else _U, np.uint32, np.uint32)))
-            _, where = np.unique(part, return_inverse=True)
+            names, where = np.unique(part, return_inverse=True)
             total = np.minimum(np.bincount(where, n), (1 << 32) - 1).astype(np.uint32)
+            if kind:
+                trained = total > 0
+                model = LogFilter.of({0: np.packbits(segment_of(names[trained], total[trained]))}, 1)
+                total = model.levels(np.zeros(len(names), np.int64), names).astype(np.uint8)
             order = np.argsort((chunk.astype(_U) << _U(32)) | where.astype(_U))
             chunk, where = chunk[order], where[order]
             first = _runs(chunk, where)
-            chunk, counts = chunk[first], level_of(total[where[first]]) if kind else total[where[first]]
+            chunk, counts = chunk[first], total[where[first]]
             starts = _runs(chunk)
             ends = np.append(starts[1:], len(chunk))
             yield pa.RecordBatch.from_arrays(
@@ -345,7 +332,7 @@ _NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_by_filter(docs: DataFrame, counts: DataFrame, model: LogFilter, n: int, v: int, fraction: float) -> DataFrame:
+def _score_by_filter(docs: DataFrame, counts: DataFrame, model: LogFilter, shard_bits: int, n: int, v: int, fraction: float) -> DataFrame:
     table = counts.toArrow()
     h = np.asarray(table.column("h").combine_chunks()).view(_U)
     order = np.argsort(h)
@@ -363,15 +350,21 @@ def _score_by_filter(docs: DataFrame, counts: DataFrame, model: LogFilter, n: in
         for batch in batches:
             for low, raw, offsets in slices(batch.column(1)):
                 tokens, bounds = tokens_of(Words(raw, offsets))
-                made = _scores(tokens, bounds, exact(tokens), lm.counts(pairs_of(tokens, bounds)[0]), exact(np.array([END]))[0], n, v, fraction)
+                pairs, at = np.unique(pairs_of(tokens, bounds)[0], return_inverse=True)
+                near = least_of(lm.levels((pairs >> _U(64 - shard_bits)).astype(np.int64), _part(pairs, 1, shard_bits)))
+                made = _scores(tokens, bounds, exact(tokens), near[at], exact(np.array([END]))[0], n, v, fraction)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(low, len(bounds) - 1) for i in (0, 2)] + made, _NAMES)
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(score, _SCHEMA)
 
 
-def _score_by_shards(docs: DataFrame, n: int, v: int, fraction: float) -> DataFrame:
-    # a shard has 2^18 tokens, more on large corpora, where a task's n-grams would else be a row each
-    shard_bits, chunks = max(5, (n // min(1 << 23, max(1 << 18, 16 * isqrt(n)))).bit_length()), max(512, n >> 19)
+def shard_bits_of(n: int) -> int:
+    """A shard has 2^18 tokens, more on large corpora, where a task's n-grams would else be a row each."""
+    return max(5, (n // min(1 << 23, max(1 << 18, 16 * isqrt(n)))).bit_length())
+
+
+def _score_by_shards(docs: DataFrame, shard_bits: int, n: int, v: int, fraction: float) -> DataFrame:
+    chunks = max(512, n >> 19)
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     answers = answered(asked(docs, shard_bits), 1 << shard_bits)
     mask = _U(((1 << 64) - 1) ^ ((1 << (32 - shard_bits)) - 1)) if shard_bits < 32 else _U((1 << 64) - 1)
@@ -381,7 +374,7 @@ def _score_by_shards(docs: DataFrame, n: int, v: int, fraction: float) -> DataFr
 
         def out() -> Iterator[pa.RecordBatch]:
             exact, near = (np.concatenate([np.frombuffer(x, t) for x in xs]) for xs, t in zip(known, (np.uint32, np.uint8)))
-            exact, near = exact.astype(np.float64), middle_of(near.astype(np.float64))
+            exact, near = exact.astype(np.float64), least_of(near.astype(np.float64))
             raw = pa.array([zlib.decompress(r[2]) for r in rows], pa.binary()).cast(pa.large_string())
             parts = [tokens_of(Words(b, o)) for _, b, o in slices(raw)]
             words, w_at = np.unique(np.concatenate([single(t) for t, _ in parts]), return_inverse=True)
@@ -427,8 +420,9 @@ def lm_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counts = written(token_counts(train))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
+    shard_bits = shard_bits_of(n)
     if v <= top and PROBES * 2 * n <= FILL * filter_bits:
-        out = _score_by_filter(docs, counts, log_filter(train, n, filter_bits), n, v, fraction)
+        out = _score_by_filter(docs, counts, log_filter(train, shard_bits), shard_bits, n, v, fraction)
     else:
-        out = _score_by_shards(docs, n, v, fraction)
+        out = _score_by_shards(docs, shard_bits, n, v, fraction)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
