@@ -11,6 +11,24 @@ def canonical(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].cast("string").alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def canonical_text(document: Column) -> Column:
+    """A JSON text in its one compact form: keys of objects sorted at every depth, arrays in order; null for a text that is no JSON."""
+    return F.to_json(F.try_parse_json(document))
+
+
+def tree_digest(rows: DataFrame, key: str, text: str, levels: tuple[int, ...] = (4, 2)) -> DataFrame:
+    """(prefix, digest, n): SHA-256 of every row's key and text, then of the sorted digests below each prefix, level by level up to the root (prefix '').
+
+    It doesn't depend on order or partitions; a group has the rows of one prefix, so no group is the table.  Repeated rows count.
+    """
+    leaves = rows.select(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("~"))), 256).alias("digest"), F.lit(1).cast("long").alias("n"))
+    here = leaves.withColumn("prefix", F.col("digest"))
+    for width in (*levels, 0):
+        up = here.groupBy(F.substring("prefix", 1, width).alias("prefix")) if width else here.groupBy(F.lit("").alias("prefix"))
+        here = up.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"), F.sum("n").alias("n"))
+    return here
+
+
 def record_hash(fields: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields]), 256)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bias, boosting, bundles, models, provenance
+from tidemark.operators import bias, boosting, bundles, ledger, models, provenance, studies
+from tidemark.operators import windows as win
 from tidemark.operators.trials import TrialLedger
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, query, rounded
-from tidemark.plans.strategies import _BOUNDS, _COLUMNS, _FEAT, _MX, _fold_rows, _matrix
+from tidemark.plans.research import _W
+from tidemark.plans.strategies import _BOUNDS, _COLUMNS, _FEAT, _FILLED, _MX, _fold_rows, _matrix, _weekly
 from tidemark.sources import frames as src
 from tidemark.sources import panels
 from tidemark.sources.storage import scratch_dir
@@ -226,3 +228,113 @@ def _(spark, d):
     candidates = src.table(spark, d, "lineitem").join(parts, "l_partkey").groupBy("ticker").agg(F.max("l_orderkey").alias("artifact"))
     dsr = rounded(_counted(spark, d)).withColumnRenamed("trial", "ticker")
     return provenance.gather(candidates, dsr, QUERIES["agg_04_hac"](spark, d), QUERIES["sb_10_pbo"](spark, d), current(spark, d), "ticker")
+
+
+# studies
+
+_COLS3 = ["log_return", "close_to_short", "label"]
+
+
+@query(
+    "aux_45_collinearity",
+    "bars",
+    _FEAT
+    + """, c AS (SELECT ticker, count(*) AS n, corr(lr, cts) AS x, corr(lr, label) AS y, corr(cts, label) AS z FROM known GROUP BY 1),
+d AS (SELECT *, 1 + 2 * x * y * z - x * x - y * y - z * z AS det, sqrt((x * x + y * y + z * z) / 3) AS p FROM c), e AS (SELECT *, (1 - z * z) / det AS v0, (1 - y * y) / det AS v1, (1 - x * x) / det AS v2, acos(greatest(-1, least(1, x * y * z / pow(p, 3)))) / 3 AS phi FROM d)
+SELECT ticker, n::BIGINT AS rows, round(sqrt((1 + 2 * p * cos(phi)) / (1 + 2 * p * cos(phi + 2 * pi() / 3))), 5) AS condition_number, round(v0, 5) AS vif_0, round(v1, 5) AS vif_1, round(v2, 5) AS vif_2,
+  CASE WHEN v0 >= v1 AND v0 >= v2 THEN 'log_return' WHEN v1 >= v2 THEN 'close_to_short' ELSE 'label' END AS worst, round(greatest(v0, v1, v2), 5) AS max_vif FROM e""",
+)
+def _(spark, d):
+    found = studies.collinearity_by_key(win.features(src.bars(spark, d)), "ticker", _COLS3)
+    return rounded(found.select("ticker", "rows", "condition_number", *[F.get("vifs", F.lit(i)).alias(f"vif_{i}") for i in range(3)], "worst", "max_vif"), 5)
+
+
+def _adf_moments(lag: int, skip: int) -> str:
+    """Centred moments by ticker of the level (a), two changes back (b, c) and the change (y), without the first changes."""
+    pairs = ", ".join(f"covar_pop({p}, {q}) * count(*) AS \"{p}{q}\"" for p, q in (("a", "a"), ("b", "b"), ("c", "c"), ("y", "y"), ("a", "b"), ("a", "c"), ("b", "c"), ("a", "y"), ("b", "y"), ("c", "y")))
+    return f"SELECT ticker, {lag} AS lag, count(*) AS n, {pairs} FROM dz WHERE i > {skip} GROUP BY 1"
+
+
+_ADF = (
+    f""", dx AS (SELECT ticker, date, ln(close) AS x FROM filled WHERE close IS NOT NULL), dy AS (SELECT ticker, date, lag(x) OVER ({_W}) AS a, x - lag(x) OVER ({_W}) AS y FROM dx),
+dz AS (SELECT ticker, a, y, coalesce(lag(y) OVER ({_W}), 0) AS b, coalesce(lag(y, 2) OVER ({_W}), 0) AS c, row_number() OVER ({_W}) - 1 AS i FROM dy WHERE y IS NOT NULL),
+g AS ({_adf_moments(9, 1)}), g1 AS (SELECT *, yy - ay * ay / aa AS r0, bb - ab * ab / aa AS b1, "by" - ab * ay / aa AS y1, cc - ac * ac / aa AS c1, bc - ab * ac / aa AS k1, cy - ac * ay / aa AS z1 FROM g),
+"""
+    + """g2 AS (SELECT *, r0 - y1 * y1 / b1 AS r1, c1 - k1 * k1 / b1 AS c2, z1 - k1 * y1 / b1 AS z2 FROM g1), g3 AS (SELECT *, r1 - z2 * z2 / c2 AS r2 FROM g2),
+ai AS (SELECT ticker, unnest([{'lag': 0, 'aic': round(n * ln(r0 / n) + 4, 9)}, {'lag': 1, 'aic': round(n * ln(r1 / n) + 6, 9)}, {'lag': 2, 'aic': round(n * ln(r2 / n) + 8, 9)}]) AS s FROM g3),
+ch AS (SELECT ticker, s.lag AS lag FROM ai QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY s.aic, s.lag) = 1), """
+    + f"fm AS ({_adf_moments(0, -1)} UNION ALL {_adf_moments(1, 0)} UNION ALL {_adf_moments(2, 1)}), "
+    + """fc AS (SELECT fm.* FROM fm JOIN ch ON ch.ticker = fm.ticker AND ch.lag = fm.lag),
+o1 AS (SELECT *, CASE WHEN lag >= 1 THEN ab / bb ELSE 0 END AS t, CASE WHEN lag >= 2 THEN 1 ELSE 0 END AS two FROM fc),
+o2 AS (SELECT *, aa - t * ab AS a1, ay - t * "by" AS ay1, yy - CASE WHEN lag >= 1 THEN "by" * "by" / bb ELSE 0 END AS yy1, cc - bc * bc / bb AS cc1, ac - ab * bc / bb AS ac1, cy - bc * "by" / bb AS cy1 FROM o1),
+o3 AS (SELECT *, a1 - two * ac1 * ac1 / cc1 AS a2, ay1 - two * ac1 * cy1 / cc1 AS ay2, yy1 - two * cy1 * cy1 / cc1 AS yy2 FROM o2),
+st AS (SELECT ticker, n, lag, (ay2 / a2) / sqrt((yy2 - ay2 * ay2 / a2) / (n - 2 - lag) / a2) AS tau FROM o3),
+sc AS (SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659::DOUBLE + 1.4412::DOUBLE * tau + 0.038269::DOUBLE * tau * tau ELSE 1.7339::DOUBLE + 0.93202::DOUBLE * tau - 0.12745::DOUBLE * tau * tau - 0.010368::DOUBLE * tau * tau * tau END AS z FROM st),
+pv AS (SELECT *, CASE WHEN tau > 2.74 THEN 1.0::DOUBLE WHEN tau < -18.83 THEN 0.0::DOUBLE ELSE """
+    + _CDF.format(z="z")
+    + """ END AS p FROM sc) SELECT ticker, n::BIGINT AS n, lag::BIGINT AS lag, round(tau, 5) AS statistic, round(p, 6) AS p_value, p < 0.05 AS stationary FROM pv"""
+)
+
+
+@query("agg_30_chosen_lag", "panel", _FILLED + _ADF)
+def _(spark, d):
+    return rounded(studies.unit_roots(_weekly(spark, d).withColumn("x", F.log("close")), "ticker", "date", "x", max_lag=2), 5, p_value=6)
+
+
+@query("agg_30_usual_lags")
+def _(spark, d):
+    """Up to 12 (n / 100)^(1/4) lags."""
+    return studies.unit_roots(_weekly(spark, d).withColumn("x", F.log("close")), "ticker", "date", "x")
+
+
+_SETS = {"a": ["log_return"], "b": _TWO}
+
+
+def _compared(spark, d, entries):
+    f = _fold_rows(spark, d, F.col("label"))
+    said = studies.feature_set_predictions(f, _SETS, entries, {"regression": F.col("label"), "classification": (F.col("label") > 0).cast("double")})
+    return studies.paired(said, "a", "b")
+
+
+@query(
+    "ml_14_ridge_comparison",
+    "bars",
+    _MOMENTS
+    + """, k1 AS (SELECT tr.fold, n.* FROM tr JOIN (SELECT * FROM ff WHERE lr IS NOT NULL AND label IS NOT NULL) n ON n.ticker = tr.ticker AND n.date = tr.date), m1 AS (SELECT ticker, fold, count(*) AS n, avg(lr) AS ma, avg(label) AS mt, stddev_pop(lr) AS sa, covar_pop(lr, label) AS lt FROM k1 GROUP BY 1, 2),
+pa AS (SELECT m1.ticker, m1.fold, x.date, x.label, mt + n * lt / sa / (n + 1) * (lr - ma) / sa AS a FROM m1 JOIN te ON te.ticker = m1.ticker AND te.fold = m1.fold JOIN ff x ON x.ticker = te.ticker AND x.date = te.date WHERE lr IS NOT NULL),
+pb AS (SELECT w.ticker, w.fold, x.date, mt + wa * (lr - ma) / sa + wb * (cts - mb) / sb AS b FROM w JOIN te ON te.ticker = w.ticker AND te.fold = w.fold JOIN ff x ON x.ticker = te.ticker AND x.date = te.date WHERE lr IS NOT NULL AND cts IS NOT NULL),
+df AS (SELECT pa.ticker, round(pow(a - label, 2) - pow(b - label, 2), 9) AS d FROM pa JOIN pb USING (ticker, fold, date) WHERE label IS NOT NULL), dn AS (SELECT * FROM df WHERE d <> 0),
+rk AS (SELECT ticker, d, rank() OVER (PARTITION BY ticker ORDER BY abs(d)) + (count(*) OVER (PARTITION BY ticker, abs(d)) - 1) / 2.0::DOUBLE AS r FROM dn)
+SELECT ticker, count(*)::BIGINT AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM rk GROUP BY 1""",
+)
+def _(spark, d):
+    return studies.compare_regressions(_compared(spark, d, [("ridge", "regression")]), "ticker")
+
+
+@query("ml_15_logistic_comparison")
+def _(spark, d):
+    return studies.compare_classifications(_compared(spark, d, [("logistic", "classification")]), "ticker")
+
+
+# canonical texts and digests
+
+
+@query("led_04_canonical", "", """SELECT event_id, '{"a":[' || user_id || ',"' || event_type || '"],"z":{"b":{"k":' || (props::JSON ->> 'k') || '},"id":' || event_id || '}}' AS canonical, sha256('{"a":[' || user_id || ',"' || event_type || '"],"z":{"b":{"k":' || (props::JSON ->> 'k') || '},"id":' || event_id || '}}') AS digest FROM events""")
+def _(spark, d):
+    text = F.concat(F.lit('{ "z" : {"id": '), F.col("event_id"), F.lit(', "b": '), F.col("props"), F.lit('}, "a": ['), F.col("user_id"), F.lit(', "'), F.col("event_type"), F.lit('"]}'))
+    out = src.table(spark, d, "events").select("event_id", ledger.canonical_text(text).alias("canonical"))
+    return out.withColumn("digest", F.sha2("canonical", 256))
+
+
+_LEAF = """lt AS (SELECT instrument_id, field, value FROM facts WHERE effective_date <= DATE '1997-06-30' AND observed_at < TIMESTAMP '1997-07-01' QUALIFY row_number() OVER (PARTITION BY instrument_id, field ORDER BY effective_date DESC, observed_at DESC, o_orderkey DESC) = 1),
+sn AS (SELECT instrument_id, '{' || string_agg('"' || field || '":"' || value || '"', ',' ORDER BY field) || '}' AS state FROM lt GROUP BY 1), l0 AS (SELECT sha256(instrument_id || '|' || state) AS x FROM sn),
+l1 AS (SELECT left(x, 4) AS p, sha256(string_agg(x, '' ORDER BY x)) AS x, count(*) AS n FROM l0 GROUP BY 1), l2 AS (SELECT left(p, 2) AS p, sha256(string_agg(x, '' ORDER BY x)) AS x, sum(n) AS n FROM l1 GROUP BY 1)"""
+
+
+@query("aux_11_snapshot_hash", "facts", ", " + _LEAF + " SELECT '' AS prefix, sha256(string_agg(x, '' ORDER BY x)) AS digest, sum(n)::BIGINT AS n FROM l2")
+def _(spark, d):
+    """The digest of every instrument's state as of a day."""
+    known = src.facts(spark, d).where("effective_date <= DATE '1997-06-30' and observed_at < TIMESTAMP '1997-07-01'")
+    last = known.groupBy("instrument_id", "field").agg(F.max_by("value", F.struct("effective_date", "observed_at", "o_orderkey")).alias("value"))
+    state = last.groupBy("instrument_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))).alias("state"))
+    return ledger.tree_digest(state.withColumn("state", ledger.canonical_text(F.col("state"))), "instrument_id", "state")
