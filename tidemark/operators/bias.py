@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,21 +36,26 @@ def block_moments(matrix: DataFrame) -> DataFrame:
 def half_sharpes(matrix: DataFrame) -> DataFrame:
     """(mask, trial, inside, outside): Sharpe ratios of both halves of every split, pooled from block moments.
 
-    The returns are read once, for 16 moments per trial; the 12,870 splits are a fixed
-    table that meets the moments, and every half is one conditional sum.
+    The returns are read once, for one row of 16 moments a trial; the 12,870 splits are a fixed
+    table that meets these rows, and both halves come from sums inside the row, without a shuffle.
     """
-    rows = block_moments(matrix).crossJoin(F.broadcast(splits(matrix.sparkSession)))
-    side = F.getbit("mask", F.col("block").cast("int"))
     n, m = F.col("n"), F.col("m")
-    sums = [F.sum(F.when(side == bit, x)).alias(f"{name}{bit}") for bit in (0, 1) for name, x in (("n", n), ("s", n * m), ("q", F.col("ss") + n * m * m))]
-    pooled = rows.groupBy("mask", "trial").agg(*sums)
+    moments = {"n": n, "s": n * m, "q": F.col("ss") + n * m * m}
+    columns = [F.coalesce(F.sum(F.when(F.col("block") == b, x)), F.lit(0.0)).alias(f"{k}{b}") for k, x in moments.items() for b in range(BLOCKS)]
+    rows = block_moments(matrix).groupBy("trial").agg(*columns).crossJoin(F.broadcast(splits(matrix.sparkSession)))
+
+    def pooled(k: str, bit: int) -> Column:
+        terms = [F.when(F.col("mask").bitwiseAND(1 << b) == (1 << b if bit else 0), F.col(f"{k}{b}")).otherwise(0.0) for b in range(BLOCKS)]
+        return reduce(lambda a, b: a + b, terms).alias(f"{k}_{bit}")
+
+    both = rows.select("mask", "trial", *[pooled(k, bit) for k in moments for bit in (0, 1)])
 
     def ratio(bit: int) -> Column:
-        count, mean = F.col(f"n{bit}"), F.col(f"s{bit}") / F.col(f"n{bit}")
-        centred = F.col(f"q{bit}") - count * mean * mean
+        count, mean = F.col(f"n_{bit}"), F.try_divide(F.col(f"s_{bit}"), F.col(f"n_{bit}"))
+        centred = F.col(f"q_{bit}") - count * mean * mean
         return F.when(centred > 0, mean / F.sqrt(centred / (count - 1)))
 
-    return pooled.select("mask", "trial", ratio(1).alias("inside"), ratio(0).alias("outside"))
+    return both.select("mask", "trial", ratio(1).alias("inside"), ratio(0).alias("outside"))
 
 
 def split_records(halves: DataFrame) -> DataFrame:

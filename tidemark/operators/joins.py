@@ -116,7 +116,7 @@ def return_matrix(returns: DataFrame, min_coverage: float) -> DataFrame:
     kept = returns.join(shared, "session")
     kept_n = kept.groupBy("trial").agg(F.count("*").alias("kept"))
     coverage = per_trial.join(kept_n, "trial").withColumn("coverage", F.col("kept") / F.col("rows"))
-    return kept.join(F.broadcast(coverage.select("trial", "coverage")), "trial").withColumn("enough", F.col("coverage") >= min_coverage)
+    return kept.join(coverage.select("trial", "coverage"), "trial").withColumn("enough", F.col("coverage") >= min_coverage)
 
 
 def exposure(holdings: DataFrame, own: DataFrame) -> DataFrame:

@@ -91,6 +91,25 @@ def volatility_target_book(selection: DataFrame, covariance: DataFrame, target:
     return scaled.withColumn("weight", gross_cap(F.col("weight"), cap)).select("date", "ticker", "weight")
 
 
+def volatility_target_of_returns(selection: DataFrame, returns: DataFrame, window: int, target: float, cap: float) -> DataFrame:
+    """``volatility_target_book`` without a covariance for every pair: the risk of a date's legs is the variance of their own weighted
+    return over its last ``window`` sessions, a row per name and session instead of one per pair of names.
+
+    Wants selection (date, ticker, held) and returns (session_no, date, ticker, log_return) with a row for each session.
+    """
+    spec = Window.partitionBy("ticker").orderBy("session_no").rowsBetween(1 - window, 0)
+    year = F.lit(window / (window - 1) * 252)
+    x = F.col("log_return")
+    whole = F.count(x).over(spec) == window
+    known = returns.select("date", "ticker", F.when(whole, F.sqrt((F.avg(x * x).over(spec) - F.avg(x).over(spec) * F.avg(x).over(spec)) * year)).alias("vol"), F.when(whole, F.collect_list(x).over(spec)).alias("past"))
+    legs = selection.join(known, ["date", "ticker"], "left").withColumn("leg", volatility_target(F.col("held").cast("double"), F.col("vol"), 1.0))
+    parts = legs.where("leg > 0").select("date", "leg", F.posexplode("past").alias("back", "x"))
+    book = parts.groupBy("date", "back").agg(F.sum(F.col("leg") * F.col("x")).alias("s"))
+    risk = book.groupBy("date").agg(((F.avg(F.col("s") * F.col("s")) - F.avg("s") * F.avg("s")) * year).alias("risk")).where("risk > 0")
+    scaled = legs.drop("past").join(risk, "date", "left").withColumn("weight", F.coalesce(F.col("leg") * target / F.sqrt("risk"), F.lit(0.0)))
+    return scaled.withColumn("weight", gross_cap(F.col("weight"), cap)).select("date", "ticker", "weight")
+
+
 def sizing_equity(budget: Column, owned: Column, cash: Column) -> Column:
     return F.least(budget, owned + cash)
 

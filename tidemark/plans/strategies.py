@@ -243,7 +243,7 @@ SELECT ticker, date, round(CASE WHEN sum(w) OVER (PARTITION BY date) > 1 THEN w
 )
 def _(spark, d):
     p = _weekly(spark, d)
-    return rounded(sizing.volatility_target_book(signals.risk_parity(p), sizing.pair_covariance(win.panel_log_returns(p), 60), 0.1, 1.0), 5)
+    return rounded(sizing.volatility_target_of_returns(signals.risk_parity(p), win.panel_log_returns(p), 60, 0.1, 1.0), 5)
 
 
 # simulation
