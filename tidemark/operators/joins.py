@@ -23,6 +23,14 @@ def missing_sessions(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     return expected.join(bars.select("ticker", "date"), ["ticker", "date"], "left_anti")
 
 
+def dividends_only(actions: DataFrame) -> DataFrame:
+    """(ticker, date, value) of an action table's dividends; ValueError unless it has one instrument."""
+    names = [r.ticker for r in actions.select("ticker").distinct().limit(2).collect()]
+    if len(names) != 1:
+        raise ValueError("dividends are reconciled for one instrument at a time")
+    return actions.where("kind = 'dividend'").select("ticker", "date", "value")
+
+
 def reconcile(first: DataFrame, second: DataFrame, covered: Column, tolerance: float) -> DataFrame:
     """Full outer join of (ticker, date, value); one status per key, the first rule that fails names the reason."""
     both = first.withColumnRenamed("value", "mine").join(second.withColumnRenamed("value", "theirs"), ["ticker", "date"], "full_outer")
