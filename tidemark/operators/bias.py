@@ -27,6 +27,18 @@ def splits(spark: SparkSession) -> DataFrame:
     return masks.select(F.col("id").cast("int").alias("mask"))
 
 
+def split_sizes(matrix: DataFrame) -> DataFrame:
+    """(mask, inside, outside): sessions in either half of every split."""
+    per = blocks(matrix).select("session", "block").distinct().groupBy("block").agg(F.count("*").alias("n"))
+    sizes = per.agg(*[F.coalesce(F.sum(F.when(F.col("block") == b, F.col("n"))), F.lit(0)).alias(f"n{b}") for b in range(BLOCKS)])
+    rows = splits(matrix.sparkSession).crossJoin(F.broadcast(sizes))
+
+    def half(bit: int) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(F.col("mask").bitwiseAND(1 << b) == (1 << b if bit else 0), F.col(f"n{b}")).otherwise(0) for b in range(BLOCKS)])
+
+    return rows.select("mask", half(1).alias("inside"), half(0).alias("outside"))
+
+
 def block_moments(matrix: DataFrame) -> DataFrame:
     """Per trial and block: rows, mean and centred sum of squares of the excess returns."""
     x = F.col("r") - RISK_FREE_LOG / SESSIONS_PER_YEAR

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as agg
-from tidemark.operators import orders, signals, sizing
+from tidemark.operators import orders, signals, sizing, tables
 from tidemark.operators import windows as win
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.research import _LR, _W, _roll
@@ -196,4 +196,4 @@ def _(spark, d):
 
 @query("st_18_deterministic_id", "", "SELECT o_orderkey, sha256(concat_ws('|', o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus)) AS id FROM orders")
 def _(spark, d):
-    return src.table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderpriority", F.to_date("o_orderdate").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus"), 256).alias("id"))
+    return src.table(spark, d, "orders").select("o_orderkey", tables.order_id(F.col("o_orderpriority"), F.to_date("o_orderdate"), F.col("o_custkey"), F.col("o_orderstatus")).alias("id"))

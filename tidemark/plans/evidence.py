@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, performance, screens, signals, sizing
+from tidemark.operators import joins, performance, screens, signals, sizing, tables
 from tidemark.operators import windows as win
 from tidemark.operators.calendar import market_holidays
 from tidemark.operators.windows import by_ticker
@@ -105,25 +105,30 @@ def _(spark, d):
 
 @query("agg_32_orders_by_outcome", "", "SELECT CAST(o_orderdate AS DATE) AS session, lower(o_orderstatus) AS outcome, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
 def _(spark, d):
-    return src.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("session"), F.lower("o_orderstatus").alias("outcome")).agg(F.count("*").alias("n"))
+    o = src.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("session"), F.col("o_orderstatus").alias("outcome"))
+    return tables.orders_by_outcome(o)
+
+
+def _runs_of(spark, d):
+    """Customers' orders as runs of configurations."""
+    outcome = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "errored")
+    return src.table(spark, d, "orders").select(F.col("o_custkey").alias("config"), outcome.alias("outcome"))
 
 
 @query("agg_33_ledger_progress", "", "SELECT o_custkey AS config, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS completed, count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS open, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS errored FROM orders GROUP BY 1")
 def _(spark, d):
-    s = F.col("o_orderstatus")
-    return src.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("config")).agg(*[F.count_if(s == c).alias(n) for c, n in (("F", "completed"), ("O", "open"), ("P", "errored"))])
+    return tables.ledger_progress(_runs_of(spark, d))
 
 
 @query("aux_22_resume", "", "SELECT DISTINCT o_custkey AS config FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
-    o = src.table(spark, d, "orders").select(F.col("o_custkey").alias("config"), "o_orderstatus")
-    return o.select("config").distinct().join(o.where("o_orderstatus = 'F'"), "config", "left_anti")
+    return tables.to_resume(_runs_of(spark, d))
 
 
 @query("agg_14_family_starts", "", "SELECT p_brand AS family, count(*) FILTER (WHERE p_size > 10)::BIGINT AS starts, count(*) FILTER (WHERE p_size > 10) > 60 AS over FROM part GROUP BY 1")
 def _(spark, d):
-    starts = F.count_if(F.col("p_size") > 10)
-    return src.table(spark, d, "part").groupBy(F.col("p_brand").alias("family")).agg(starts.alias("starts"), (starts > 60).alias("over"))
+    events = src.table(spark, d, "part").select(F.col("p_brand").alias("family"), F.when(F.col("p_size") > 10, "started").otherwise("other").alias("event_type"))
+    return tables.family_starts(events, 60)
 
 
 @query("join_18_mean_holding", "bars", f", p AS (SELECT ticker, date, row_number() OVER ({_W}) AS n FROM bars), t AS (SELECT ticker, month, min(date) AS entry, max(date) AS exit FROM (SELECT ticker, date, date_trunc('month', date) AS month FROM bars) GROUP BY 1, 2) SELECT t.ticker, count(*)::BIGINT AS trades, round(avg(b.n - a.n), 6) AS mean_bars FROM t JOIN p a ON a.ticker = t.ticker AND a.date = t.entry JOIN p b ON b.ticker = t.ticker AND b.date = t.exit GROUP BY 1")
@@ -323,7 +328,7 @@ def _segments(spark, d):
 
 @query("agg_12_completed_sessions", "", "SELECT c_mktsegment AS profile, count(DISTINCT CAST(o_orderdate AS DATE))::BIGINT AS sessions FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def _(spark, d):
-    return _segments(spark, d).where("o_orderstatus = 'F'").groupBy("profile").agg(F.count_distinct(F.to_date("o_orderdate")).alias("sessions"))
+    return tables.completed_sessions(_segments(spark, d).select("profile", F.to_date("o_orderdate").alias("session"), (F.col("o_orderstatus") == "F").alias("completed")))
 
 
 # sets
@@ -332,24 +337,24 @@ def _(spark, d):
 @query("set_02_test_windows", "", "SELECT CAST(o_orderdate AS DATE) AS date FROM orders WHERE month(o_orderdate) IN (1, 2, 3) UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE month(l_shipdate) IN (3, 4)")
 def _(spark, d):
     a = src.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).where(F.month("date").isin(1, 2, 3))
-    return a.union(src.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).where(F.month("date").isin(3, 4))).distinct()
+    return tables.union_of_dates(a, src.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).where(F.month("date").isin(3, 4)))
 
 
 @query("set_04_common_dates", "", "SELECT CAST(o_orderdate AS DATE) AS date FROM orders INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem")
 def _(spark, d):
-    return src.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).intersect(src.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")))
+    return tables.common_dates(src.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")), src.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")))
 
 
 @query("set_06_exclusions", "", "SELECT p_brand AS ticker FROM part WHERE p_size > 45 UNION SELECT p_brand FROM part WHERE p_retailprice < 910")
 def _(spark, d):
     p = src.table(spark, d, "part").select(F.col("p_brand").alias("ticker"), "p_size", "p_retailprice")
-    return p.where("p_size > 45").select("ticker").union(p.where("p_retailprice < 910").select("ticker")).distinct()
+    return tables.excluded(p, "ticker", F.col("p_size") > 45, F.col("p_retailprice") < 910)
 
 
 @query("set_08_not_in_superset", "", "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(spark, d):
     known = src.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
-    return src.table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().join(known, "id", "left_anti")
+    return tables.not_in_superset(src.table(spark, d, "orders").select(F.col("o_custkey").alias("id")), known, "id")
 
 
 # windows, signals, sizing
@@ -495,12 +500,12 @@ def _(spark, d):
 
 @query("aux_03_endpoints", "bars", f" SELECT ticker, date, lead(open) OVER ({_W}) AS entry, lead(open, 6) OVER ({_W}) AS exit FROM bars")
 def _(spark, d):
-    return src.bars(spark, d).select("ticker", "date", F.lead("open").over(by_ticker()).alias("entry"), F.lead("open", 6).over(by_ticker()).alias("exit"))
+    return tables.executable_endpoints(src.bars(spark, d), 5)
 
 
 @query("aux_04_excess", "panel", _FR + f" SELECT ticker, date, round(r - {_RF} / 252, 9) AS excess FROM fr")
 def _(spark, d):
-    return rounded(_returns(spark, d).select("ticker", "date", (F.col("log_return") - win_rf()).alias("excess")), 9)
+    return rounded(tables.excess_returns(_returns(spark, d)).select("ticker", "date", "excess"), 9)
 
 
 @query("aux_09_covered_closes", "sessions second_source", " SELECT b.ticker, b.date, b.close FROM second_source b JOIN sessions USING (date) WHERE b.date BETWEEN DATE '1995-03-01' AND DATE '1997-03-01'")

@@ -113,9 +113,9 @@ zz AS (SELECT *, (sharpe - benchmark) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (
     )
 
 
-@query("sb_03_matrix_dsr", "panel", _dsr_sql("SELECT 'a' AS k, 25 AS trials") + " SELECT trial, n::BIGINT AS n, round(sharpe, 6) AS sharpe, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(spread, 6) AS spread, trials::INT AS trials, round(benchmark, 6) AS benchmark, round(z, 5) AS z, round(dsr, 6) AS dsr FROM ds")
+@query("sb_03_matrix_dsr", "panel", _dsr_sql("SELECT 'a' AS k, 25 AS trials") + " SELECT trial, n::BIGINT AS n, round(sharpe, 10) AS sharpe, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(spread, 10) AS spread, trials::INT AS trials, round(benchmark, 6) AS benchmark, round(z, 5) AS z, round(dsr, 6) AS dsr FROM ds")
 def matrix_dsr(spark, d):
-    return rounded(bias.matrix_dsr(_matrix(spark, d), 25), 6, z=5)
+    return rounded(bias.matrix_dsr(_matrix(spark, d), 25), 6, sharpe=10, spread=10, z=5)
 
 
 _COUNTS = "SELECT 'lifetime' AS k, (SELECT count(*) FROM lineitem) + 16700000 AS trials UNION ALL SELECT 'family', (SELECT count(DISTINCT trial) FROM mx)"

@@ -6,17 +6,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar as cal
-from tidemark.operators import joins, quality
+from tidemark.operators import joins, quality, tables
 from tidemark.operators import windows as win
+from tidemark.plans.base_sql import with_frames
 from tidemark.plans.registry import query, rounded
 from tidemark.sources import frames as src
 
 # calendar
 
 
-@query("cal_05_market_holidays", "holidays", "SELECT date, holiday FROM holidays WHERE year(date) BETWEEN 1990 AND 2030")
+@query("cal_05_market_holidays", "", with_frames("holidays", ", y AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem UNION SELECT DISTINCT year(o_orderdate) FROM orders) SELECT date, holiday FROM holidays WHERE year(date) IN (SELECT y FROM y)"))
 def _(spark, d):
-    return cal.market_holidays(spark, 1990, 2030)
+    """The holidays of the years that the tables have."""
+    years = src.table(spark, d, "lineitem").select(F.year("l_shipdate").alias("y")).union(src.table(spark, d, "orders").select(F.year("o_orderdate").alias("y"))).distinct()
+    return cal.market_holidays(spark, 1990, 2030).withColumn("y", F.year("date")).join(years, "y", "left_semi").select("date", "holiday")
 
 
 @query("cal_07_trading_days", "sessions", "SELECT date, session_no FROM sessions")
@@ -63,7 +66,7 @@ def _(spark, d):
 
 @query("src_02_cache_key", "bars", "SELECT array_to_string(list_sort(list(DISTINCT ticker)), '-') AS key FROM bars")
 def _(spark, d):
-    return src.bars(spark, d).agg(F.array_join(F.array_sort(F.collect_set("ticker")), "-").alias("key"))
+    return tables.cache_key(src.bars(spark, d))
 
 
 @query("src_31_distinct_tickers", "bars", "SELECT DISTINCT ticker FROM bars")
@@ -73,8 +76,7 @@ def _(spark, d):
 
 @query("src_29_json_events", "", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, d):
-    parsed = F.from_json("props", "k bigint")
-    return src.table(spark, d, "events").select("event_id", parsed.k.alias("k"))
+    return tables.json_events(src.table(spark, d, "events"), "props", "k bigint").select("event_id", "k")
 
 
 @query("src_28_money", "", "SELECT c_custkey, round(c_acctbal, 2) AS amount FROM customer")

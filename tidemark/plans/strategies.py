@@ -489,9 +489,9 @@ def _(spark, d):
     return rounded(bias.block_moments(_matrix(spark, d)), 8)
 
 
-@query("sb_06_splits", "", "SELECT i::INT AS mask FROM range(65536) t(i) WHERE bit_count(i) = 8")
+@query("sb_06_splits", "panel", _MX + ", bs AS (SELECT block, count(*) AS n FROM sb GROUP BY 1) SELECT i::INT AS mask, sum(CASE WHEN (i >> block) & 1 = 1 THEN n ELSE 0 END)::BIGINT AS inside, sum(CASE WHEN (i >> block) & 1 = 0 THEN n ELSE 0 END)::BIGINT AS outside FROM range(65536) t(i), bs WHERE bit_count(i) = 8 GROUP BY 1")
 def _(spark, d):
-    return bias.splits(spark)
+    return bias.split_sizes(_matrix(spark, d))
 
 
 @query("sb_09_split_records", "panel", _MX + _CS + " SELECT mask, winner, round(rel, 6) AS relative_rank, round(logit, 6) AS logit, round(degradation, 6) AS degradation FROM rec")
