@@ -80,3 +80,56 @@ def test_fills(spark):
     got = [tuple(r.x) for r in df.select("i", receipts.reconciled_fill(F.col("status"), F.col("filled"), F.col("price"), F.lit(10.0)).alias("x")).orderBy("i").collect()]
     assert [x[1] for x in got] == [False, False, True, False, False, False, False, True, True, False, False]
     assert got[2] == ("filled", True, 2.5, "") and got[3][2:] == (2.5, "filled another quantity") and got[1][0] == "unknown"
+
+
+def test_one_key_of_a_bundle(spark, tmp_path):
+    from tidemark.operators import bundles
+
+    rows = spark.createDataFrame([(t, dt.date(2024, 1, 1) + dt.timedelta(i), i) for t in "ab" for i in range(5)], "ticker string, date date, volume long")
+    path = str(tmp_path / "b")
+    bundles.publish(rows, path, "ticker", ["date", "volume"])
+    got = bundles.load_one(spark, path, "ticker", "a", ["date", "volume"])
+    assert got.count() == 5 and "EqualTo(ticker,a)" in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(LookupError, match="'c' is not in the bundle"):
+        bundles.load_one(spark, path, "ticker", "c", ["date", "volume"])
+    rows.where("ticker = 'a' and volume = 1").write.mode("append").parquet(f"{path}/rows")
+    with pytest.raises(ValueError, match="a: rows,digest"):
+        bundles.load_one(spark, path, "ticker", "a", ["date", "volume"])
+    assert bundles.load_one(spark, path, "ticker", "b", ["date", "volume"]).count() == 5
+
+
+def test_random_books_by_class(spark):
+    import numpy as np
+
+    from tidemark.operators import sizing
+
+    r = np.random.default_rng(3)
+    x = r.normal(0, 0.01, (40, 3)) * [1, 2, 3]
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
+    returns = spark.createDataFrame([(i, days[i], "abc"[j], float(x[i, j])) for i in range(40) for j in range(3)], "session_no int, date date, ticker string, log_return double").repartition(3)
+    picked = returns.select("date", "ticker", (F.col("ticker") != "b").alias("held"))
+    decisions = spark.createDataFrame([(d, i % 10 == 9) for i, d in enumerate(days)], "date date, decides boolean")
+    kinds = {k: {(w.date, w.ticker): w.weight for w in sizing.random_book(picked, returns, decisions, k, cap=5.0, target=0.1, window=20).collect()} for k in ("equal_weight_unscaled", "equal_legs_vol_target", "inverse_vol_vol_target")}
+    for k, book in kinds.items():
+        assert {d for d, _ in book} == {days[i] for i in (9, 19, 29, 39)} and all(book[days[i], "b"] == 0 for i in (9, 19, 29, 39)), k
+    assert kinds["equal_weight_unscaled"][days[9], "a"] == 2.5
+    past = x[20:40]
+    vol = past.std(axis=0, ddof=1) * np.sqrt(252)
+    assert np.isclose(kinds["equal_legs_vol_target"][days[39], "c"], min(1, 0.1 / vol[2]) / 2)
+    legs = np.array([1 / vol[0], 0, 1 / vol[2]])
+    risk = (past @ legs).var(ddof=1) * 252
+    assert np.allclose([kinds["inverse_vol_vol_target"][days[39], t] for t in "abc"], legs * 0.1 / np.sqrt(risk))
+    assert all(v == 0 for (d, _), v in kinds["inverse_vol_vol_target"].items() if d == days[9])
+    with pytest.raises(ValueError, match="sizing class"):
+        sizing.random_book(picked, returns, decisions, "other", cap=1.0, target=0.1, window=20)
+
+
+def test_payload_and_inventory(spark, tmp_path):
+    df = spark.createDataFrame([("a", 3, -0.001, None), ("b", 0, 2.345, 0.5)], "run string, n long, p double, w double")
+    got = [r.payload for r in receipts.payload(df, "run", {"n": 0, "p": 2, "w": 1}).orderBy("run").collect()]
+    assert got == ['{"run":"a","n":"3","p":"0.00","w":null}', '{"run":"b","n":"0","p":"2.35","w":"0.5"}']
+    rows = spark.createDataFrame([(1, "x"), (2, "y, z")], "id int, name string")
+    receipt = receipts.publish_inventory(rows, str(tmp_path / "inv"), "id", "name")
+    assert receipt["rows"] == 2 and (tmp_path / "inv" / "receipt.json").exists()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        receipts.publish_inventory(rows, str(tmp_path / "inv"), "id", "name")

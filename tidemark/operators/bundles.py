@@ -44,6 +44,18 @@ def load(spark: SparkSession, path: str, key: str, columns: list[str]) -> DataFr
     return rows.withColumn("basis", F.lit("nominal"))
 
 
+def load_one(spark: SparkSession, path: str, key: str, value: str, columns: list[str]) -> DataFrame:
+    """The rows of one key, read with a filter on it; LookupError if the manifest doesn't list it, ValueError if its rows aren't what it says."""
+    listed = spark.read.parquet(f"{path}/manifest").where(F.col(key) == value)
+    if listed.isEmpty():
+        raise LookupError(f"{key} {value!r} is not in the bundle")
+    rows = spark.read.parquet(f"{path}/rows").where(F.col(key) == value)
+    bad = differences(listed, manifest_of(rows, key, columns), key).first()
+    if bad is not None:
+        raise ValueError(f"bundle does not match its manifest: {value}: {bad.faults}")
+    return rows.withColumn("basis", F.lit("nominal"))
+
+
 def resolved(wanted: DataFrame, manifests: DataFrame, key: str) -> DataFrame:
     """wanted(key) with the path of its only manifest, or why there is none: missing or ambiguous."""
     m = manifests.groupBy(key).agg(F.count("*").alias("n"), F.min("path").alias("path"))

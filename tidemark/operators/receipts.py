@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ledger import tree_digest
 from tidemark.operators.screens import reasons
 from tidemark.operators.trials import Refused, TrialLedger, canonical_json, sha256
 from tidemark.sources.storage import create_once, exists, read_whole
@@ -152,9 +153,27 @@ def rundown(features: DataFrame) -> DataFrame:
     )
 
 
+def payload(summary: DataFrame, key: str, places: dict[str, int]) -> DataFrame:
+    """(key, payload): each row's figures as compact JSON in column order, numbers as texts of so many places; nulls stay."""
+    shown = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{places[c]}f", F.round(F.col(c), places[c]) + 0.0) if places[c] else F.round(F.col(c)).cast("long").cast("string")).alias(c) for c in summary.columns if c in places]
+    return summary.select(key, F.to_json(F.struct(F.col(key).cast("string").alias(key), *shown), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 # records that are written once
 
 
+def publish_inventory(frame: DataFrame, path: str, key: str, text: str) -> dict:
+    """Rows as CSV and a receipt, created once, with their number and tree digest as read back; a taken path is refused."""
+    spark = frame.sparkSession
+    frame.select(key, text).write.mode("errorifexists").option("header", True).csv(f"{path}/rows")
+    back = spark.read.schema(frame.select(key, text).schema).option("header", True).csv(f"{path}/rows")
+    root = tree_digest(back, key, text).first()
+    receipt = {"rows": root.n if root else 0, "digest": root.digest if root else sha256("")}
+    if not create_once(spark, f"{path}/receipt.json", canonical_json(receipt).encode()):
+        raise Refused(f"{path} has a receipt")
+    return receipt
+
+
 def declare_family(spark: SparkSession, path: str, declaration: dict, ledger: TrialLedger) -> dict:
     """The family's one declaration with its hashes; Refused if it was declared before or has trials."""
     family = declaration["family"]

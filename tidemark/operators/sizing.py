@@ -110,6 +110,27 @@ def volatility_target_of_returns(selection: DataFrame, returns: DataFrame, windo
     return scaled.withColumn("weight", gross_cap(F.col("weight"), cap)).select("date", "ticker", "weight")
 
 
+def random_book(selection: DataFrame, returns: DataFrame, decisions: DataFrame, kind: str, *, cap: float, target: float, window: int) -> DataFrame:
+    """(date, ticker, weight) on decision rows of a random selection (date, ticker, held), sized as its candidate's class is.
+
+    Wants returns (session_no, date, ticker, log_return) with a row for each session.
+    """
+    if kind == "equal_weight_unscaled":
+        book = equal_weight(selection, cap)
+    elif kind == "equal_legs_vol_target":
+        spec = Window.partitionBy("ticker").orderBy("session_no").rowsBetween(1 - window, 0)
+        r = F.col("log_return")
+        vol = returns.select("date", "ticker", F.when(F.count(r).over(spec) == window, F.stddev_samp(r).over(spec) * F.sqrt(F.lit(252.0))).alias("volatility"))
+        met = selection.join(vol, ["date", "ticker"], "left").withColumn("held", F.col("held") & F.coalesce(F.col("volatility") > 0, F.lit(False)))
+        book = equal_weight_volatility(met, target)
+    elif kind == "inverse_vol_vol_target":
+        book = volatility_target_of_returns(selection, returns, window, target, cap)
+    else:
+        raise ValueError(f"no sizing class {kind!r}")
+    days = decisions.where("decides").select("date")
+    return book.select("date", "ticker", "weight").join(F.broadcast(days), "date", "left_semi")
+
+
 def sizing_equity(budget: Column, owned: Column, cash: Column) -> Column:
     return F.least(budget, owned + cash)
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, receipts
+from tidemark.operators import aggregates as agg
+from tidemark.operators import bundles, joins, quality, receipts, signals, simulate, sizing
+from tidemark.operators import calendar as cal
 from tidemark.operators import windows as win
-from tidemark.plans import research  # noqa: F401  (SQL here is built on its SQL)
-from tidemark.plans.registry import ORACLE_SQL, query
+from tidemark.plans import accounts, research  # noqa: F401  (SQL here is built on theirs)
+from tidemark.plans.registry import ORACLE_SQL, query, rounded
+from tidemark.plans.strategies import _RUN, _SAFE, _SECTORS, _TRADES, _crossings, _panel, _weekly
 from tidemark.sources import frames as src
+from tidemark.sources.storage import scratch_dir
 
 _NY = "timezone('America/New_York', {})"
 
@@ -141,3 +145,70 @@ SELECT ticker, date, CASE WHEN close_to_short > 0 AND sma_spread > 0 THEN 'bulli
   CASE WHEN volatility * sqrt(252) > 0.35 THEN 'caution' WHEN volatility * sqrt(252) > 0.22 THEN 'neutral' ELSE 'bullish' END AS volatility, CASE WHEN relative_volume > 1.25 AND close_to_short > 0 THEN 'bullish' WHEN relative_volume > 1.4 AND close_to_short < 0 THEN 'caution' ELSE 'neutral' END AS flow FROM l""")
 def _(spark, d):
     return receipts.rundown(win.features(src.bars(spark, d)))
+
+
+# books, payloads, bundles
+
+
+@query("sig_16_random_book", "", f"WITH s AS ({ORACLE_SQL['sig_03_random_selection']}) SELECT ticker, date, round(CASE WHEN held THEN 0.93::DOUBLE / count(*) FILTER (WHERE held) OVER (PARTITION BY date) ELSE 0 END, 8) AS weight FROM s WHERE date IN (SELECT date FROM ({ORACLE_SQL['cal_11_decisions_monthly']}) WHERE decides)")
+def _(spark, d):
+    decisions = cal.decision_sessions(src.sessions_of(spark, src.bars(spark, d)), "monthly")
+    picked = signals.random_selection(_panel(spark, d), decisions, enter=0.45, leave=0.4, start=0.5, seed=7)
+    return rounded(sizing.random_book(picked, win.panel_log_returns(_weekly(spark, d)), decisions, "equal_weight_unscaled", cap=0.93, target=0.1, window=60), 8)
+
+
+_CONFIGS = {"H1-3": "win_14_momentum_h1_3", "H1-12": "win_14_momentum_h1_12", "H2-100": "win_15_trend_h2_100", "H3-3": "top_02_cross_momentum_h3_3", "H4": "top_07_risk_parity_h4", "H6-6": "top_03_dual_momentum_h6_6", "H8": "top_06_reversal_h8"}
+
+
+@query("top_08_dispatch", "", " UNION ALL ".join(f"SELECT '{c}' AS config, ticker, count(*) FILTER (WHERE held)::BIGINT AS sessions FROM ({ORACLE_SQL[n]}) x GROUP BY 2" for c, n in _CONFIGS.items()))
+def _(spark, d):
+    """Sessions held by name under each declared configuration, all by its id."""
+    known = signals.hypotheses(_SAFE, _SECTORS)
+    made = [known[c](_weekly(spark, d)).groupBy("ticker").agg(F.count_if("held").alias("sessions")).select(F.lit(c).alias("config"), "ticker", "sessions") for c in _CONFIGS]
+    return quality.union_of(*made)
+
+
+@query("agg_36_payload", "bars", _RUN + _TRADES + """, s AS (SELECT run, count(*) AS n, round(sum(pnl), 2) AS p, round(avg((pnl > 0)::INT), 4) AS w FROM trades GROUP BY 1) SELECT run, '{"run":"' || run || '","n_trades":"' || n || '","total_pnl":"' || printf('%.2f', p + 0.0) || '","win_rate":"' || printf('%.4f', w) || '"}' AS payload FROM s""")
+def _(spark, d):
+    summary = agg.trade_summary(simulate.paired_trades(_crossings(spark, d)), "run").select("run", "n_trades", "total_pnl", "win_rate")
+    return receipts.payload(summary, "run", {"n_trades": 0, "total_pnl": 2, "win_rate": 4})
+
+
+@query("set_07_concat", "bars", " SELECT ticker, date, close FROM bars WHERE right(ticker, 1) IN ('1', '2', '3')")
+def _(spark, d):
+    b = src.bars(spark, d).select("ticker", "date", "close")
+    return quality.union_of(*[b.where(F.col("ticker").endswith(x)) for x in "123"])
+
+
+@query("src_05_round_trip", "bars", " SELECT ticker, date, open, high, low, close, volume FROM bars WHERE ticker IN ('Brand#1', 'Brand#3')")
+def _(spark, d):
+    """Bars written by ticker, and two of them read back by their folders."""
+    path = scratch_dir(spark)
+    src.write_bars(src.bars(spark, d), path)
+    return src.read_bars(spark, path, tickers=["Brand#1", "Brand#3"]).select("ticker", "date", "open", "high", "low", "close", "volume")
+
+
+def _bundle(spark, d):
+    path = scratch_dir(spark)
+    rows = src.bars(spark, d).select("ticker", "date", F.round("volume").cast("long").alias("volume"))
+    bundles.publish(rows, path, "ticker", ["date", "volume"])
+    return path
+
+
+@query("src_07_loaded", "bars", " SELECT ticker, date, round(volume)::BIGINT AS volume, 'nominal' AS basis FROM bars")
+def _(spark, d):
+    return bundles.load(spark, _bundle(spark, d), "ticker", ["date", "volume"])
+
+
+@query("src_09_loaded_ticker", "bars", " SELECT ticker, date, round(volume)::BIGINT AS volume, 'nominal' AS basis FROM bars WHERE ticker = 'Brand#3'")
+def _(spark, d):
+    return bundles.load_one(spark, _bundle(spark, d), "ticker", "Brand#3", ["date", "volume"])
+
+
+@query("src_35_inventory", "", """WITH l0 AS (SELECT sha256(p_partkey || '|' || p_brand) AS x FROM part), l1 AS (SELECT left(x, 4) AS p, sha256(string_agg(x, '' ORDER BY x)) AS x, count(*) AS n FROM l0 GROUP BY 1), l2 AS (SELECT left(p, 2) AS p, sha256(string_agg(x, '' ORDER BY x)) AS x, sum(n) AS n FROM l1 GROUP BY 1)
+SELECT p_partkey, p_brand, (SELECT sha256(string_agg(x, '' ORDER BY x)) FROM l2) AS digest FROM part""")
+def _(spark, d):
+    path = scratch_dir(spark)
+    rows = src.table(spark, d, "part").select("p_partkey", "p_brand")
+    receipt = receipts.publish_inventory(rows, path, "p_partkey", "p_brand")
+    return spark.read.schema(rows.schema).option("header", True).csv(f"{path}/rows").withColumn("digest", F.lit(receipt["digest"]))
