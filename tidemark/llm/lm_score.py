@@ -76,7 +76,7 @@ def single(tokens: np.ndarray) -> np.ndarray:
 
 def _spots(keys: np.ndarray, level: int, cells: np.ndarray) -> np.ndarray:
     """PROBES bit numbers inside its segment for each key at a level; cells: the segments' bits, a power of two."""
-    base = mix64(keys.astype(_U) + _U(level) * _U(0x9E3779B97F4A7C15))
+    base = mix64(keys.astype(_U) + _U(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     step = mix64(base) | _U(1)
     inside = np.asarray(cells, _U) - _U(1)
     return np.stack([(base + _U(i) * step) & inside for i in range(PROBES)], axis=1)
