@@ -12,10 +12,10 @@ from tidemark.functions.columns import RISK_FREE_ANNUAL, SESSIONS_PER_YEAR
 RISK_FREE_LOG = math.log1p(RISK_FREE_ANNUAL)
 
 
-def sharpe(r: Column) -> Column:
-    """Annualised, from log returns; null with any missing return, fewer than two, or no variance."""
+def sharpe(r: Column, gaps: bool = False) -> Column:
+    """Annualised, from log returns; null with any missing return (with ``gaps``, those that are known count), fewer than two, or no variance."""
     sd = F.stddev_samp(r)
-    return F.when((F.count(r) == F.count("*")) & (F.count(r) >= 2) & (sd > 0), (F.avg(r) * SESSIONS_PER_YEAR - RISK_FREE_LOG) / (sd * F.sqrt(F.lit(SESSIONS_PER_YEAR))))
+    return F.when((F.lit(gaps) | (F.count(r) == F.count("*"))) & (F.count(r) >= 2) & (sd > 0), (F.avg(r) * SESSIONS_PER_YEAR - RISK_FREE_LOG) / (sd * F.sqrt(F.lit(SESSIONS_PER_YEAR))))
 
 
 def return_stats(returns: DataFrame, key: str) -> DataFrame:
