@@ -111,15 +111,21 @@ def capable(declared: Column, capability: Column) -> Column:
 
 def skipped_while_killed(kills: DataFrame, sessions: DataFrame, runs: DataFrame, leases: DataFrame) -> DataFrame:
     """Sessions (profile, session) after the day of a profile's kill (profile, day) up to the calendar's end, with neither a
-    run nor a lease (profile, session).  A kill on no session counts from the session before it."""
+    run nor a lease (profile, session).  A kill on no session counts from the session before it.
+
+    Sessions with a run or a lease meet the kill as one array per profile, no longer than the calendar, so that the sessions
+    left are listed after the last shuffle."""
     days = F.broadcast(sessions.select("date", "session_no"))  # a calendar is a bounded table
     until = sessions.select("date", F.col("session_no").alias("_no"), F.lead("date").over(Window.orderBy("date")).alias("_next"))
     known = until.select("_no", F.explode(F.sequence("date", F.coalesce(F.date_sub("_next", 1), F.col("date")))).alias("day"))
     at = kills.join(F.broadcast(known), "day")
     span = F.broadcast(sessions.agg(F.max("session_no").alias("_last")))
-    later = at.crossJoin(span).where("_no < _last").select("profile", F.explode(F.sequence(F.col("_no") + 1, F.col("_last"))).alias("session_no"))
-    later = later.join(days, "session_no").select("profile", F.col("date").alias("session"))
-    return later.join(runs, ["profile", "session"], "left_anti").join(leases, ["profile", "session"], "left_anti")
+    seen = runs.select("profile", F.col("session").alias("date")).union(leases.select("profile", "session"))
+    seen = seen.join(days, "date").groupBy("profile").agg(F.collect_set("session_no").alias("_seen"))
+    after = F.sequence(F.col("_no") + 1, F.col("_last"))
+    left = F.when(F.col("_seen").isNull(), after).otherwise(F.array_except(after, "_seen"))
+    later = at.join(seen, "profile", "left").crossJoin(span).where("_no < _last").select("profile", F.explode(left).alias("session_no"))
+    return later.join(days, "session_no").select("profile", F.col("date").alias("session"))
 
 
 def price_guard(prices: DataFrame, key: str) -> DataFrame:
