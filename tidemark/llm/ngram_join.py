@@ -20,7 +20,8 @@ Candidates of a signature are compared with one hub first, the set with the
 fewest rare shingles, which is the middle of a group of near copies; that joins
 the group without naming its pairs.  What then still lies in different
 components under one signature is compared in full, closest pairs of each
-component first, so that pairs which a merge settles are not verified; a signature with many
+component first, so that pairs which a merge settles are not verified; signatures with the
+same members count as one, a pair is not named again under a later one that short lists of signatures show, and one with many
 such members is compared in cells of ``CELL`` against all, as many groups.  Before
 any set moves, parity sketches give an exact lower bound of the symmetric
 difference.
@@ -49,6 +50,7 @@ from tidemark.llm.textops import Words, mix64, shingle_sets, shingles, slices
 _U = np.uint64
 SMALL = 16
 CELL = 256
+FEW = 16
 
 
 def text_key(text: Column) -> Column:
@@ -198,6 +200,18 @@ def _index(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> Da
     return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(build, "doc_id long, text_key long, n long, node long, sketch binary, rare long, sigs array<long>")
 
 
+def apart_by_members(sigs: DataFrame) -> DataFrame:
+    """(sig, cells): one of the signatures (sig, m members, h0 and h1 over their nodes) of each set of members, as the others name the same
+    pairs; the members are told by their number and 128 bits."""
+    return sigs.groupBy("m", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+
+
+def first_met(sig: Column, x: Column, y: Column) -> Column:
+    """Whether no smaller signature is on both lists (the smallest signatures of two sets); so a pair is named under its smallest common
+    signature, and again only where that one is not on both lists."""
+    return F.coalesce(F.array_min(F.array_intersect(x, y)) >= sig, F.lit(True))
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, gap): the pairs whose sizes and sketches leave a link possible."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -279,13 +293,17 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cells = nodes.withColumn("_short", F.col("n") <= 512)  # sketches of 256 cells as they are; longer ones are compared after
     cells = cells.select("node", "n", *[F.when(F.col("_short"), word(i)).alias(f"w{i}") for i in range(4)])
     placed = members.drop("rare").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("low < high").select("sig", "cells")
-    placed = cut(placed.join(mixed, "sig").join(cells, "node"))
+    mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)])
+    mixed = apart_by_members(mixed.where("low < high"))
+    placed = placed.join(mixed, "sig").groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("sig", "cells")).alias("at"))
+    placed = placed.withColumn("few", F.slice(F.sort_array(F.col("at.sig")), 1, FEW)).join(cells, "node")
+    placed = cut(placed.select("node", "label", "few", *cells.columns[1:], F.inline("at")))
     x = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
     y = placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
     gap = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
     possible = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
     possible &= F.coalesce((num + den) * gap <= (den - num) * (F.col("x.n") + F.col("y.n")), F.lit(True))
+    possible &= first_met(F.col("x.sig"), F.col("x.few"), F.col("y.few"))
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cell") == F.col("y.cell")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = cut(_close(rest, nodes, num, den).join(best, ["a", "b"], "left_anti"))
     for closest in (True, False):
