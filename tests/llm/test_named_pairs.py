@@ -32,3 +32,29 @@ def test_every_pair_is_named_and_few_twice(spark):
     named = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & ngram_join.first_met(F.col("x.sig"), F.col("x.few"), F.col("y.few"))).select("x.node", "y.node").collect()
     assert {tuple(r) for r in named} == wanted
     assert len(named) < 1.5 * len(wanted) < shared / 3
+
+
+def test_large_groups_meet_in_few_rows(spark):
+    """Forty signatures over nearly the same 1,200 sets, of which 500 are one component: every pair of components meets, and rows stay few."""
+    rng = random.Random(5)
+    members = {rng.randrange(-(2**63), 2**63): [n for n in range(1200) if rng.random() < 0.8] for _ in range(40)}
+    members |= {s: [2000, 2001 + s] for s in range(20)} | {20: list(range(500))}  # pairs with one common set stay pairs; one component is no group
+    label = lambda n: 0 if n < 500 else n
+    placed = spark.createDataFrame([(n, label(n), s) for s, m in members.items() for n in m], "node long, label long, sig long")
+    groups = ngram_join.grouped(placed).cache()
+    assert groups.where("node >= 2000").count() == 40 and groups.where("sig = 20").count() == 0
+    x, y = (side.alias(c) for side, c in zip(ngram_join.opposite(ngram_join.dealt(groups)), "xy"))
+    before = sum(len(m) * -(-len(m) // ngram_join.CELL) for m in members.values())
+    assert x.count() < before / 8 and y.count() < before / 8
+
+    met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q")) & (F.col("x.label") != F.col("y.label"))
+    met &= (F.col("x.p") < F.col("x.q")) | (F.col("x.node") < F.col("y.node"))
+    named = x.join(y, met).select("x.sig", F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    assert named.count() == named.distinct().count()
+    lists = {n: set() for m in members.values() for n in m}
+    for s, m in members.items():
+        for n in m:
+            lists[n].add(s)
+    wanted = {(a, b) for a, b in combinations(sorted(lists), 2) if label(a) != label(b) and lists[a] & lists[b]}
+    found = {(r.a, r.b) for r in named.select("a", "b").distinct().collect()}
+    assert wanted <= found and all(b < 2000 or a == 2000 for a, b in found)

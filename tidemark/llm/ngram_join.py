@@ -21,10 +21,11 @@ fewest rare shingles, which is the middle of a group of near copies; that joins
 the group without naming its pairs.  What then still lies in different
 components under one signature is compared in full, closest pairs of each
 component first, so that pairs which a merge settles are not verified; signatures with the
-same members count as one, a pair is not named again under a later one that short lists of signatures show, and one with many
-such members is compared in cells of ``CELL`` against all, as many groups.  Before
-any set moves, parity sketches give an exact lower bound of the symmetric
-difference.
+same members count as one, those with nearly the same members are compared as one group where their union has fewer pairs than
+they have, and a pair is not named again under a later group that short lists of groups show.  A group of many members is
+compared part against part, those of its largest component only against the others; a group of m is dealt to so many parts that
+a member is repeated ``sqrt(m / CELL)`` times or so.  Before any set moves, parity sketches give an exact lower bound of the
+symmetric difference.
 
 Edge cases.  Null or blank text: an empty set, linked with nothing; its
 component is its own doc_id.  Repeated rows: one result row each, told apart by
@@ -201,9 +202,49 @@ def _index(docs: DataFrame, k: int, num: int, den: int, heavy: np.ndarray) -> Da
 
 
 def apart_by_members(sigs: DataFrame) -> DataFrame:
-    """(sig, cells): one of the signatures (sig, m members, h0 and h1 over their nodes) of each set of members, as the others name the same
-    pairs; the members are told by their number and 128 bits."""
-    return sigs.groupBy("m", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+    """One of the signatures (sig, m members, h0 and h1 over their nodes, and what else follows from these) of each set of members, as the
+    others name the same pairs; the members are told by their number and 128 bits."""
+    return sigs.groupBy(*[c for c in sigs.columns if c != "sig"]).agg(F.min("sig").alias("sig")).drop("h0", "h1")
+
+
+def grouped(placed: DataFrame) -> DataFrame:
+    """(node, label, sig): groups that hold together every two nodes of different labels which a signature of ``placed`` (same columns) does.
+
+    Signatures with one label are left out.  The others meet by the member whose hash is least, as lists with much in common mostly do;
+    those that meet are one group, named by that hash, if their union has no more pairs than they have, and else stay as they are.
+    """
+    mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)], F.min(F.xxhash64("node", F.lit(2))).alias("root"))
+    mixed = cut(apart_by_members(mixed.where("low < high").drop("low", "high")))
+    lists = cut(placed.select("node", "label", "sig").join(mixed.select("sig", "root"), "sig"))
+    pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1)
+    union = lists.select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("u"))
+    union = union.join(mixed.groupBy("root").agg(F.sum(pairs("m")).alias("apart")), "root").where(pairs("u") <= F.col("apart")).select("root", F.lit(True).alias("_one"))
+    names = mixed.join(union, "root", "left").select("sig", F.when(F.col("_one"), F.col("root")).otherwise(F.col("sig")).alias("_group"))
+    return lists.join(names, "sig").select("node", "label", F.col("_group").alias("sig")).distinct()
+
+
+def dealt(groups: DataFrame) -> DataFrame:
+    """``groups`` (node, label, sig) with each node's ``part`` of its group, the first part ``others`` of those outside the largest label
+    and the number of ``parts``.  Of a group of m each part has about sqrt(m * CELL) nodes, so two parts are m * CELL comparisons."""
+    sizes = groups.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
+    room = F.sqrt(F.col("m") * CELL)
+    small = F.col("m") <= CELL
+    others = F.when(small, 0).otherwise(F.ceil(F.col("top.c") / room)).cast("int")
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("m") - F.col("top.c")) / room)).cast("int")
+    sizes = sizes.select("sig", others.alias("others"), (others + rest).alias("parts"), F.col("top.label").alias("_top"))
+    inner = (F.col("others") > 0) & (F.col("label") == F.col("_top"))
+    among = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    part = F.when(inner, among(F.greatest("others", F.lit(1)))).otherwise(F.col("others") + among(F.col("parts") - F.col("others")))
+    return groups.join(sizes, "sig").withColumn("part", part).drop("_top")
+
+
+def opposite(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the comparison of nodes that are ``dealt``, with the parts ``p <= q`` that meet: every two nodes of a group of which
+    one at least is outside the largest label meet once if their parts differ, and if not, twice, either way round."""
+    last = F.col("parts") - 1
+    x = placed.withColumns({"p": F.col("part"), "q": F.explode(F.sequence(F.greatest("part", "others"), last))})
+    y = placed.where("part >= others").withColumns({"q": F.col("part"), "p": F.explode(F.sequence(F.lit(0), F.col("part")))})
+    return x, y
 
 
 def first_met(sig: Column, x: Column, y: Column) -> Column:
@@ -293,18 +334,16 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cells = nodes.withColumn("_short", F.col("n") <= 512)  # sketches of 256 cells as they are; longer ones are compared after
     cells = cells.select("node", "n", *[F.when(F.col("_short"), word(i)).alias(f"w{i}") for i in range(4)])
     placed = members.drop("rare").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)])
-    mixed = apart_by_members(mixed.where("low < high"))
-    placed = placed.join(mixed, "sig").groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("sig", "cells")).alias("at"))
+    placed = dealt(cut(grouped(placed))).groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("sig", "part", "others", "parts")).alias("at"))
     placed = placed.withColumn("few", F.slice(F.sort_array(F.col("at.sig")), 1, FEW)).join(cells, "node")
     placed = cut(placed.select("node", "label", "few", *cells.columns[1:], F.inline("at")))
-    x = placed.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).alias("x")
-    y = placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).alias("y")
+    x, y = (side.alias(name) for side, name in zip(opposite(placed), "xy"))
     gap = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(1, 4)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
-    possible = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
+    possible = ((F.col("x.p") < F.col("x.q")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.label") != F.col("y.label")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
     possible &= F.coalesce((num + den) * gap <= (den - num) * (F.col("x.n") + F.col("y.n")), F.lit(True))
     possible &= first_met(F.col("x.sig"), F.col("x.few"), F.col("y.few"))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cell") == F.col("y.cell")) & possible).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    rest = x.join(y, met & possible).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = cut(_close(rest, nodes, num, den).join(best, ["a", "b"], "left_anti"))
     for closest in (True, False):
         sides = [label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
