@@ -10,7 +10,9 @@ calibrated on labelled rows that neither was fitted on, combined there by a
 logistic layer over both log-odds, and all documents are scored.
 
 Only the fit is bounded: by ``fit_rows`` labelled rows, in the order of a hash of
-the id, and ``picks`` pseudo-labels per view and round.  Scoring, and the
+the id, and ``picks`` pseudo-labels per view and round.  These rows come to the
+driver as Arrow batches, metadata as one byte a cell, and a fit takes ``PART``
+of them at a time in double precision.  Scoring, and the
 search for confident rows, covers all documents.  Labels are looked up by id and scores
 only; features are made again for the picked rows, so texts are never shuffled.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from tidemark.llm.textops import Words, slices
 
 WORD_CELLS, LANG_CELLS, SOURCE_CELLS, LENGTH_CELLS = 128, 16, 64, 32
 TEXT_WIDTH, META_WIDTH = WORD_CELLS + 14, LANG_CELLS + SOURCE_CELLS + LENGTH_CELLS
+PART = 1024
 _KIND = np.full(256, 7, np.int32)  # 7: other symbols
 _KIND[list(range(97, 123))] = 0
 _KIND[list(range(65, 91))] = 1
@@ -89,16 +93,21 @@ class Logistic:
     """Ridge-penalised logistic regression by Newton steps, on standardised features."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25):
-        x = x.astype(np.float64)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
+        parts = [slice(i, i + PART) for i in range(0, len(x), PART)]
+        self.mean = sum(x[p].sum(axis=0, dtype=np.float64) for p in parts) / len(x)
+        self.scale = np.sqrt(sum(((x[p] - self.mean) ** 2).sum(axis=0) for p in parts) / len(x))
         self.scale[self.scale < 1e-9] = 1
-        z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
-        penalty = np.full(z.shape[1], ridge)
+        w = np.zeros(x.shape[1] + 1)
+        penalty = np.full(len(w), ridge)
         penalty[0] = 1e-6
-        w = np.zeros(z.shape[1])
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+            bent, up = np.diag(penalty), -penalty * w
+            for p in parts:
+                z = np.column_stack([np.ones(len(x[p])), (x[p] - self.mean) / self.scale])
+                q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                bent += (z * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ z
+                up += z.T @ (y[p] - q)
+            step = np.linalg.solve(bent, up)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -122,18 +131,44 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
 
-def _matrices(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float32).reshape(len(rows), width) for c, width in (("x", TEXT_WIDTH), ("m", META_WIDTH)))
+class Fit(NamedTuple):
+    """Rows to fit on, as arrays: their ids, classes, text and metadata features."""
 
+    ids: np.ndarray
+    y: np.ndarray
+    x: np.ndarray
+    m: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Fit:
+        return Fit(*(a[rows] for a in self))
+
+
+def _packed(x: np.ndarray, m: np.ndarray) -> list[pa.Array]:
+    """Features as two binary columns; those of metadata are 0 or 1."""
+    return [pa.array([r.tobytes() for r in f], pa.binary()) for f in (x, m.astype(np.uint8))]
+
+
+def _matrices(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The features of ``_packed`` columns x and m."""
+    out = np.empty((rows.num_rows, TEXT_WIDTH), np.float32), np.empty((rows.num_rows, META_WIDTH), np.uint8)
+    for name, into in zip("xm", out):
+        for i, r in enumerate(rows.column(name)):
+            into[i] = np.frombuffer(r.as_buffer(), into.dtype)
+    return out
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, fit_rows: int) -> Fit:
+    """In the order of the ids; those of one id in that of the bytes of their text features."""
 
-def _labelled(rows: DataFrame, labels: DataFrame, fit_rows: int) -> list:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x, m in _batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "y", "x", "m"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *_packed(x, m)], ["doc_id", "y", "x", "m"])
 
     known = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = rows.join(F.broadcast(known), "doc_id").mapInArrow(features, "doc_id long, y int, x binary, m binary")
-    return sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    sample = rows.join(F.broadcast(known), "doc_id").mapInArrow(features, "doc_id long, y int, x binary, m binary").toArrow()
+    x, m = _matrices(sample)
+    ids, y = (np.asarray(sample.column(c)) for c in ("doc_id", "y"))
+    return Fit(ids, y.astype(float), x, m).of(np.lexsort((*x.view(">u4").T[::-1], ids)))
 
 
 def _tied(rows: DataFrame) -> DataFrame:
@@ -160,16 +195,17 @@ def _confident(rows: DataFrame, labels: DataFrame, models: tuple[Logistic, Logis
     return out
 
 
-def _features_of(rows: DataFrame, ties: set[int]) -> dict[int, tuple[bytes, bytes]]:
-    """Text and metadata features by tie, of at most a few times ``picks`` rows."""
+def _features_of(rows: DataFrame, ties: set[int]) -> tuple[dict[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Each tie's row in the text and metadata features, of at most a few times ``picks`` rows."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x, m in _batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column("tie"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["tie", "x", "m"])
+            yield pa.RecordBatch.from_arrays([part.column("tie"), *_packed(x, m)], ["tie", "x", "m"])
 
     wanted = rows.sparkSession.createDataFrame([(t,) for t in sorted(ties)], "tie long")
     found = rows.join(F.broadcast(wanted), "tie", "left_semi").mapInArrow(features, "tie long, x binary, m binary")
-    return {r["tie"]: (bytes(r["x"]), bytes(r["m"])) for r in found.groupBy("tie").agg(F.first("x").alias("x"), F.first("m").alias("m")).collect()}
+    once = found.groupBy("tie").agg(F.first("x").alias("x"), F.first("m").alias("m")).toArrow()
+    return {t: i for i, t in enumerate(once.column("tie").to_pylist())}, _matrices(once)
 
 
 class CoTrained:
@@ -193,23 +229,20 @@ def co_train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, pick
     rows = _tied(_rows(docs))
     every = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null")
     known = _labelled(rows, every.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y"), fit_rows)
-    held = [r for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
-    fit = [r for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5]
-    if any(len({r["y"] for r in part}) < 2 for part in (held, fit)):
+    apart = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in known.ids.tolist()], bool)
+    held, fit = known.of(apart), known.of(~apart)
+    if any(len(np.unique(part.y)) < 2 for part in (held, fit)):
         return None
-    x, m = _matrices(fit)
-    y = np.array([r["y"] for r in fit], float)
-    models = Logistic(x, y), Logistic(m, y)
+    models = Logistic(fit.x, fit.y), Logistic(fit.m, fit.y)
     for _ in range(rounds):
-        found = _confident(rows, every, models, picks, float(y.mean()), float(np.log(sure / (1 - sure))))
-        features = _features_of(rows, {t for ties in found.values() for t in ties})
-        data = []
-        for view in (0, 1):  # what the other view is sure of
-            taught = [(features[t][view], c) for c in (0, 1) for t in found[1 - view, c]]
-            base = (x, m)[view]
-            data.append((np.vstack([base, np.frombuffer(b"".join(f for f, _ in taught), np.float32).reshape(-1, base.shape[1])]), np.concatenate([y, [float(c) for _, c in taught]])))
-        models = Logistic(*data[0]), Logistic(*data[1])
-    return CoTrained(*models, (*_matrices(held), np.array([r["y"] for r in held], float)))
+        found = _confident(rows, every, models, picks, float(fit.y.mean()), float(np.log(sure / (1 - sure))))
+        at, features = _features_of(rows, {t for ties in found.values() for t in ties})
+        models = ()
+        for view, base in enumerate((fit.x, fit.m)):  # what the other view is sure of
+            taught = [(at[t], c) for c in (0, 1) for t in found[1 - view, c]]
+            more = features[view][np.array([i for i, _ in taught], np.int64)]
+            models += (Logistic(np.vstack([base, more]), np.concatenate([fit.y, [float(c) for _, c in taught]])),)
+    return CoTrained(*models, (held.x, held.m, held.y))
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, *, threshold: float = 0.5) -> DataFrame:
